@@ -1,0 +1,182 @@
+"""Items that appear together more often than chance.
+
+Exact pair counts per group (repository), judged against a fitted bipartite
+configuration model: item i is in basket b with probability
+``x_i * y_b / (1 + x_i * y_b)``, where x and y are fitted so that every item
+keeps its expected frequency and every basket its expected size.  The number of
+joint baskets of a pair is then Poisson-binomial.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from filigree.session import cut
+
+#: Sweeps of the fit; it stops earlier when no margin is off by more than FIT_ERROR of itself.
+FIT_SWEEPS = 200
+FIT_ERROR = 1e-6
+
+
+def baskets(commits: DataFrame, least: int = 1, most: int = 50) -> DataFrame:
+    """One row ``grp, basket, items`` per commit, items distinct, sorted and without trailing white space.
+
+    Rows of the same commit are united; null and blank entries are no items;
+    commits with fewer than ``least`` or more than ``most`` items are left out.
+    Copies of a row collapse before the shuffle, whatever their order.
+    """
+    clean = F.filter(F.transform("files", lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x.isNotNull() & (x != ""))
+    rows = commits.where(F.col("files").isNotNull()).select(F.col("repo").alias("grp"), F.col("commit_id").alias("basket"), F.array_sort(F.array_distinct(clean)).alias("items"))
+    one = rows.groupBy("grp", "basket").agg(F.collect_set("items").alias("sets"))
+    items = F.when(F.size("sets") == 1, F.col("sets")[0]).otherwise(F.array_sort(F.array_distinct(F.flatten("sets"))))
+    return one.select("grp", "basket", items.alias("items")).where(F.size("items").between(least, most))
+
+
+def item_counts(b: DataFrame) -> DataFrame:
+    """Baskets per item: ``grp, item, n``."""
+    return b.select("grp", F.explode("items").alias("item")).groupBy("grp", "item").agg(F.count("*").alias("n"))
+
+
+def _pairs(items: Column) -> Column:
+    return F.flatten(F.transform(items, lambda x, i: F.transform(F.slice(items, i + 2, F.size(items)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+
+
+def pair_counts(b: DataFrame, counts: DataFrame, support: int) -> DataFrame:
+    """Exact joint counts ``grp, a, b, nab`` of the pairs in at least ``support`` baskets, a < b.
+
+    Items in fewer baskets than that cannot be in such a pair and are taken
+    out of the baskets first, which loses no pair.  A basket has at most 50
+    items (see ``baskets``), so it yields at most 1,225 pairs; equal pairs are
+    added up before the shuffle.
+    """
+    keep = counts.where(F.col("n") >= support).select("grp", "item")
+    kept = b.select("grp", "basket", F.explode("items").alias("item")).join(keep, ["grp", "item"], "left_semi")
+    small = kept.groupBy("grp", "basket").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
+    pairs = small.select("grp", F.explode(_pairs(F.col("items"))).alias("p"))
+    return pairs.groupBy("grp", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("nab")).where(F.col("nab") >= support)
+
+
+def fit_margins(item_n: np.ndarray, item_c: np.ndarray, size: np.ndarray, size_c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fit x per item frequency and y per basket size by fixed-point sweeps on the two histograms."""
+    total = float((item_n * item_c).sum())
+    x, y = item_n / np.sqrt(total), size / np.sqrt(total)
+    nb = float(size_c.sum())
+    full = item_n >= nb  # in every basket: probability 1 has no finite x
+    for _ in range(FIT_SWEEPS):
+        x = item_n / np.maximum((size_c * y / (1 + np.outer(x, y))).sum(1), 1e-300)
+        x = np.where(full, 1e12, np.minimum(x, 1e12))
+        y = np.minimum(size / np.maximum((item_c[:, None] * x[:, None] / (1 + np.outer(x, y))).sum(0), 1e-300), 1e12)
+        p = np.outer(x, y) / (1 + np.outer(x, y))
+        if np.all(np.abs((p * size_c).sum(1) - item_n) <= FIT_ERROR * item_n + 1e-9):
+            break
+    return x, y
+
+
+def null_model(b: DataFrame, counts: DataFrame) -> DataFrame:
+    """The fitted null of each group: ``grp, xs, ys``.
+
+    ``xs`` is an array of (n, x), ``ys`` of (size, m, y) with m baskets of the
+    size.  Only the histograms of frequencies and of sizes (at most 50 values)
+    reach one task: a group with M incidences has at most sqrt(2 M) different
+    frequencies.
+    """
+    hi = counts.groupBy("grp", "n").agg(F.count("*").alias("c")).select("grp", F.lit(0).alias("side"), "n", "c")
+    hb = b.groupBy("grp", F.size("items").cast("long").alias("n")).agg(F.count("*").alias("c")).select("grp", F.lit(1).alias("side"), "n", "c")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "n"])
+        i, s = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        n, c, z, m = (v.to_numpy(float) for v in (i.n, i.c, s.n, s.c))
+        x, y = fit_margins(n, c, z, m)
+        grp = pdf.grp.iloc[0]
+        return pd.DataFrame({"grp": [grp], "xs": [[{"n": int(a), "x": float(v)} for a, v in zip(n, x)]], "ys": [[{"size": int(a), "m": int(k), "y": float(v)} for a, k, v in zip(z, m, y)]]})
+
+    return hi.unionByName(hb).groupBy("grp").applyInPandas(fit, "grp string, xs array<struct<n:long,x:double>>, ys array<struct<size:long,m:long,y:double>>")
+
+
+def poisson_binomial_tail(q: np.ndarray, m: np.ndarray, k: int, extra: int = 64) -> float:
+    """P(X >= k) for X a sum of Binomial(m_j, q_j): exact convolution of the truncated mass functions.
+
+    Above the mean the upper terms are added directly, so that small tails
+    keep their digits; below it the complement of the lower terms is taken.
+    """
+    mean = float((q * m).sum())
+    if k <= 0:
+        return 1.0
+    if k > m.sum():
+        return 0.0
+    length = k + extra if k > mean else k
+    pmf = np.zeros(length)
+    pmf[0] = 1.0
+    for qj, mj in zip(q, m):
+        mj = int(mj)
+        if qj <= 0 or mj == 0:
+            continue
+        qj = min(qj, 1 - 1e-12)
+        top = min(mj, length - 1)
+        j = np.arange(1, top + 1)
+        logs = np.concatenate([[mj * np.log1p(-qj)], np.log((mj - j + 1) / j) + np.log(qj) - np.log1p(-qj)]).cumsum()
+        pmf = np.convolve(pmf, np.exp(logs))[:length]
+    return float(min(1.0, pmf[k:].sum() if k > mean else max(0.0, 1.0 - pmf.sum())))
+
+
+def surprise(pairs: DataFrame, counts: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs with their null: ``grp, a, b, nab, na, nb, n, expected, p_value``.
+
+    ``n`` is the number of baskets of the group.  The null depends on (group,
+    na, nb, nab) only, so it is computed once per such combination, of which
+    there are far fewer than pairs.
+    """
+    ca = counts.select("grp", F.col("item").alias("a"), F.col("n").alias("na"))
+    cb = counts.select("grp", F.col("item").alias("b"), F.col("n").alias("nb"))
+    full = cut(pairs.join(ca, ["grp", "a"]).join(cb, ["grp", "b"]))
+    combos = full.select("grp", "na", "nb", "nab").distinct()
+    null = null_model(b, counts)
+    x_of = lambda c: F.element_at(F.map_from_entries("xs"), F.col(c))
+    job = combos.join(null, "grp").select("grp", "na", "nb", "nab", x_of("na").alias("xa"), x_of("nb").alias("xb"), "ys")
+
+    def tails(batches):
+        for pdf in batches:
+            out = []
+            for xa, xb, k, ys in zip(pdf.xa, pdf.xb, pdf.nab, pdf.ys):
+                m = np.array([v["m"] for v in ys], float)
+                y = np.array([v["y"] for v in ys], float)
+                q = (xa * y / (1 + xa * y)) * (xb * y / (1 + xb * y))
+                out.append((float(m.sum()), float((q * m).sum()), poisson_binomial_tail(q, m, int(k))))
+            n, e, p = zip(*out) if out else ((), (), ())
+            yield pd.DataFrame({"grp": pdf.grp, "na": pdf.na, "nb": pdf.nb, "nab": pdf.nab, "n": np.array(n, "int64"), "expected": e, "p_value": p})
+
+    scored = job.mapInPandas(tails, "grp string, na long, nb long, nab long, n long, expected double, p_value double")
+    return full.join(scored, ["grp", "na", "nb", "nab"]).select("grp", "a", "b", "nab", "na", "nb", "n", "expected", "p_value")
+
+
+def false_discovery(scored: DataFrame, counts: DataFrame, alpha: float) -> DataFrame:
+    """Add ``significant`` by the Benjamini-Hochberg rule within each group.
+
+    All pairs of the group's items count as tests; those below the support
+    have their p-values above any threshold, which only makes the rule
+    stricter.  Equal p-values are counted first, and the running count runs
+    over distinct values.
+    """
+    tests = counts.groupBy("grp").agg((F.count("*") * (F.count("*") - 1) / 2).alias("tests"))
+    from pyspark.sql import Window
+
+    by = scored.groupBy("grp", "p_value").agg(F.count("*").alias("c"))
+    rank = F.sum("c").over(Window.partitionBy("grp").orderBy("p_value").rowsBetween(Window.unboundedPreceding, 0))
+    cutoff = by.withColumn("rank", rank).join(tests, "grp").where(F.col("p_value") <= alpha * F.col("rank") / F.greatest("tests", F.lit(1.0))).groupBy("grp").agg(F.max("p_value").alias("cutoff"))
+    return scored.join(cutoff, "grp", "left").withColumn("significant", F.coalesce(F.col("p_value") <= F.col("cutoff"), F.lit(False))).drop("cutoff")
+
+
+def surprising_pairs(commits: DataFrame, support: int = 5, alpha: float = 0.01) -> DataFrame:
+    """The whole operator over ``commits``: see ``surprise`` and ``false_discovery``.
+
+    Adds ``lift`` = nab * n / (na * nb).  Empty input gives an empty result.
+    """
+    b = cut(baskets(commits))
+    counts = item_counts(b)
+    pairs = pair_counts(b, counts, support)
+    scored = false_discovery(cut(surprise(pairs, counts, b)), counts, alpha)
+    return scored.withColumn("lift", F.col("nab") * F.col("n") / (F.col("na") * F.col("nb")))
