@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions.paths import SCRIPT_SUFFIX, dirname, extension, join_relative, python_relative, served_keys
 from filigree.operators.salted import hot_keys, salted_join
+from filigree.session import staged
 
 # Endings of files that are no code, whose references are never orphans.
 ASSET_SUFFIX = r"\.(css|scss|svg|png|json)$"
@@ -23,14 +24,17 @@ def existence_deltas(files: DataFrame, keys: Column) -> DataFrame:
     return f.select("repo", "key", change.alias("c")).select("repo", "key", "c.at", "c.d")
 
 
-def existence_history(deltas: DataFrame, keys: list[str]) -> DataFrame:
-    """The deltas of each key folded to an array ``hist`` of ``(at, d)``.
+def _life() -> Column:
+    """One file's life for a set: equal for copies of a row, different for two files."""
+    born = F.coalesce("first_seen", F.lit("0001-01-01").cast("timestamp"))
+    return F.named_struct(F.lit("id"), F.col("id"), F.lit("born"), born, F.lit("died"), F.col("deleted_at"))
 
-    Deltas of equal time are summed before, so the array holds one element per
-    time at which the key's existence changes, not one per file.
-    """
-    by = deltas.groupBy(*keys, "at").agg(F.sum("d").alias("d"))
-    return by.groupBy(*keys).agg(F.collect_list(F.struct("at", "d")).alias("hist"))
+
+def _history(lives: Column) -> Column:
+    """A set of lives as signed deltas ``(at, d)``."""
+    born = F.transform(lives, lambda x: F.struct(x["born"].alias("at"), F.lit(1).alias("d")))
+    died = F.transform(F.filter(lives, lambda x: x["died"].isNotNull()), lambda x: F.struct(x["died"].alias("at"), F.lit(-1).alias("d")))
+    return F.concat(born, died)
 
 
 def exists_at(hist: Column, at: Column) -> Column:
@@ -40,10 +44,22 @@ def exists_at(hist: Column, at: Column) -> Column:
 
 
 def id_history(files: DataFrame, shared: DataFrame) -> DataFrame:
-    """``key`` (file id), ``hist`` and, for files of a repository, ``repo`` and ``rel``."""
-    d = existence_deltas(files, F.array(F.col("id"))).select("key", "at", "d")
-    always = shared.select(F.col("id").alias("key"), F.lit("0001-01-01").cast("timestamp").alias("at"), F.lit(1).alias("d")).distinct()
-    return existence_history(d.unionByName(always), ["key"])
+    """``key`` (file id), ``hist`` and, for files of a repository, ``repo`` and ``rel``.
+
+    Shared files exist since ever and have no repository.
+    """
+    one = files.select(F.col("id").alias("key"), F.struct("repo", "rel").alias("at"), _life().alias("life"))
+    own = one.groupBy("key").agg(F.max("at").alias("at"), F.collect_set("life").alias("lives"))
+    own = own.select("key", "at.repo", "at.rel", _history(F.col("lives")).alias("hist"))
+    ever = F.array(F.struct(F.lit("0001-01-01").cast("timestamp").alias("at"), F.lit(1).alias("d")))
+    none = F.lit(None).cast("string")
+    return own.unionByName(shared.select(F.col("id").alias("key"), none.alias("repo"), none.alias("rel"), ever.alias("hist")).dropDuplicates(["key"]))
+
+
+def path_history(files: DataFrame) -> DataFrame:
+    """``repo, key, hist`` for every path a file answers to."""
+    served = files.select("repo", F.explode(served_keys(F.col("rel"))).alias("key"), _life().alias("life"))
+    return served.groupBy("repo", "key").agg(F.collect_set("life").alias("lives")).select("repo", "key", _history(F.col("lives")).alias("hist"))
 
 
 def specifier_keys(refs: DataFrame) -> DataFrame:
@@ -64,16 +80,17 @@ def specifier_keys(refs: DataFrame) -> DataFrame:
 def orphan_edges(edges: DataFrame, files: DataFrame, shared: DataFrame) -> DataFrame:
     """Distinct edges with ``orphan``: an end is not there at ``seen_at``.
 
-    Columns ``src, dst, seen_at, orphan``.  Null ids are never there.
+    Columns ``src, dst, seen_at, repo, orphan`` with the source's repository.
+    Null ids are never there.  Copies are removed after the first join, whose
+    partitioning serves the distinct as well.
     """
     hist = id_history(files, shared)
-    e = edges.select("src", "dst", "seen_at").distinct()
-    hot_dst = hot_keys(e, ["dst"])
-    e = salted_join(e, hist.select(F.col("key").alias("src"), F.col("hist").alias("src_hist")), ["src"], "left")
-    e = e.select("src", "dst", "seen_at", exists_at(F.col("src_hist"), F.col("seen_at")).alias("src_there"))
-    e = salted_join(e, hist.select(F.col("key").alias("dst"), F.col("hist").alias("dst_hist")), ["dst"], "left", hot_dst)
-    there = F.col("src_there") & exists_at(F.col("dst_hist"), F.col("seen_at"))
-    return e.select("src", "dst", "seen_at", (~there).alias("orphan"))
+    e = edges.select("src", "dst", "seen_at")
+    seen = F.col("seen_at")
+    one = salted_join(e, hist.select(F.col("key").alias("src"), "repo", F.col("hist").alias("h")), ["src"], "left", hot_keys(edges, ["src"]), keep_salt=True)
+    one = one.select("src", "dst", "seen_at", "repo", exists_at(F.col("h"), seen).alias("there"), "_salt").distinct().drop("_salt")
+    two = salted_join(one, hist.select(F.col("key").alias("dst"), F.col("hist").alias("h")), ["dst"], "left", hot_keys(edges, ["dst"]))
+    return two.select("src", "dst", "seen_at", "repo", (~(F.col("there") & exists_at(F.col("h"), seen))).alias("orphan"))
 
 
 def orphan_refs(refs: DataFrame, files: DataFrame, shared: DataFrame) -> DataFrame:
@@ -86,29 +103,18 @@ def orphan_refs(refs: DataFrame, files: DataFrame, shared: DataFrame) -> DataFra
     by their file alone.  Candidates are not enumerated per extension: each
     file offers the few keys it answers to, and a reference asks for one or two.
     """
-    r = refs.select("file", "pos", "specifier", "seen_at").distinct()
-    f = files.select(F.col("id").alias("file"), "repo", "rel", F.coalesce("first_seen", F.lit("0001-01-01").cast("timestamp")).alias("born"), F.col("deleted_at").alias("died")).distinct()
-    # the importer's own deltas, with its place: one group per id
-    own = f.groupBy("file").agg(
-        F.max(F.struct("repo", "rel")).alias("at"),
-        F.flatten(F.collect_set(F.array_compact(F.array(F.struct(F.col("born").alias("at"), F.lit(1).alias("d")), F.when(F.col("died").isNotNull(), F.struct(F.col("died").alias("at"), F.lit(-1).alias("d"))))))).alias("hist"),
-    ).select("file", "at.repo", "at.rel", "hist")
-    fixed = shared.select(F.col("id").alias("file"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("rel"), F.array(F.struct(F.lit("0001-01-01").cast("timestamp").alias("at"), F.lit(1).alias("d"))).alias("hist")).dropDuplicates(["file"])
-    own = own.unionByName(fixed)
-    r = salted_join(r, own, ["file"], "left")
-    r = r.select("file", "pos", "specifier", "seen_at", "repo", "rel", exists_at(F.col("hist"), F.col("seen_at")).alias("file_there"))
-    r = specifier_keys(r)
-    plain = r.where(F.col("wanted").isNull() | ~F.col("file_there")).select("file", "pos", "specifier", "seen_at", "repo", F.col("wanted").isNotNull().alias("judged"), (~F.col("file_there")).alias("orphan"))
-    asked = r.where(F.col("wanted").isNotNull() & F.col("file_there"))
-    # one question per path and time, however many references ask it
-    want = asked.select("repo", F.explode_outer("wanted").alias("key"), "seen_at", "file", "pos", "specifier")
-    ask = want.where(F.col("key").isNotNull()).select("repo", "key", "seen_at").distinct()
-    paths = existence_history(existence_deltas(files, served_keys(F.col("rel"))), ["repo", "key"])
-    answer = salted_join(ask, paths, ["repo", "key"], "inner").where(exists_at(F.col("hist"), F.col("seen_at"))).select("repo", "key", "seen_at")
-    # two answers to the two candidates of one reference are one hit, so the join is a semi join per candidate
-    yes = answer.select(F.col("repo").alias("a_repo"), F.col("key").alias("a_key"), F.col("seen_at").alias("a_seen"), F.lit(1).alias("ok"))
-    hit = want.join(yes, F.col("repo").eqNullSafe(F.col("a_repo")) & (F.col("key") == F.col("a_key")) & F.col("seen_at").eqNullSafe(F.col("a_seen")), "left")
-    judged = hit.groupBy("file", "pos", "specifier", "seen_at", "repo").agg(F.max("ok").isNull().alias("orphan")).withColumn("judged", F.lit(True))
+    seen = F.col("seen_at")
+    r = refs.select("file", "pos", "specifier", "seen_at")
+    own = id_history(files, shared).withColumnRenamed("key", "file")
+    r = salted_join(r, own, ["file"], "left", hot_keys(refs, ["file"]), keep_salt=True)
+    r = r.select("file", "pos", "specifier", "seen_at", "repo", "rel", exists_at(F.col("hist"), seen).alias("file_there"), "_salt").distinct().drop("_salt")
+    r = staged(specifier_keys(r).drop("rel"), "refs")
+    ask = F.col("wanted").isNotNull() & F.col("file_there")
+    plain = r.where(~ask).select("file", "pos", "specifier", "seen_at", "repo", F.col("wanted").isNotNull().alias("judged"), (~F.col("file_there")).alias("orphan"))
+    # explode_outer keeps the references that nothing can answer
+    want = r.where(ask).select("repo", F.explode_outer("wanted").alias("key"), "file", "pos", "specifier", "seen_at")
+    hit = salted_join(want, path_history(files), ["repo", "key"], "left").select("file", "pos", "specifier", "seen_at", "repo", exists_at(F.col("hist"), seen).alias("ok"))
+    judged = hit.groupBy("file", "pos", "specifier", "seen_at").agg(F.first("repo").alias("repo"), (~F.max("ok")).alias("orphan")).withColumn("judged", F.lit(True))
     return plain.unionByName(judged)
 
 
@@ -126,8 +132,7 @@ def orphan_report(refs: DataFrame, edges: DataFrame, files: DataFrame, shared: D
     are null where unknown.  The rate is the share of rows that are no orphans.
     """
     r = orphan_refs(refs, files, shared).select(F.lit("refs").alias("tab"), "seen_at", "repo", "orphan")
-    home = files.select(F.col("id").alias("src"), "repo").dropDuplicates(["src"])
-    e = salted_join(orphan_edges(edges, files, shared), home, ["src"], "left").select(F.lit("edges").alias("tab"), "seen_at", "repo", "orphan")
+    e = orphan_edges(edges, files, shared).select(F.lit("edges").alias("tab"), "seen_at", "repo", "orphan")
     return (
         r.unionByName(e)
         .groupBy("tab", F.date_format("seen_at", "yyyy-MM").alias("month"), "repo")

@@ -23,14 +23,15 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return hot.select(*keys)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None, keep_salt: bool = False) -> DataFrame:
     """Join where one key may hold a large part of ``left`` and few rows of ``right``.
 
     Rows of hot keys (``hot_keys`` of ``left``, or those given) get a salt from
     a hash of all their columns, so a recomputed task gives the same salt;
     right rows of hot keys are repeated once per salt, all others stay single.
     The list of hot keys is broadcast: it has fewer than ``HOT_PARTS`` rows by
-    construction.  ``how`` is inner, left, left_semi or left_anti.  Exact
+    construction.  ``keep_salt`` leaves the column ``_salt`` in the result, so
+    that a following distinct over all columns needs no shuffle of its own.  ``how`` is inner, left, left_semi or left_anti.  Exact
     copies of one row share a salt; remove them before.  Null keys match nothing.
     """
     hot = F.broadcast((hot_keys(left, keys) if hot is None else hot.select(*keys)).withColumn("_hot", F.lit(True)))
@@ -38,4 +39,5 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     lft = left.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_hot")
     rgt = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return lft.join(rgt, [*keys, "_salt"], how).drop("_salt")
+    out = lft.join(rgt, [*keys, "_salt"], how)
+    return out if keep_salt else out.drop("_salt")
