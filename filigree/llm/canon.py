@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.operators.salted import salted_join
+from filigree.session import staged
 
 # Look-alike letters, each pair of strings aligned by position.
 CYRILLIC_FROM, CYRILLIC_TO = "АВЕЅІЈКМНОРСТХҮԚԜаеорсухіјѕһԁԛԝӏ", "ABESIJKMHOPCTXYQWaeopcyxijshdqwl"
@@ -108,7 +109,7 @@ def lookalike_classes(documents: DataFrame) -> DataFrame:
     Texts with the same characters are one spelling; their number per form is
     counted on distinct (form, raw), so copies do not meet in one task.
     """
-    h = form_hashes(documents)
+    h = staged(form_hashes(documents), "forms")
     many = h.select("form", "raw").distinct().groupBy("form").agg(F.count("*").alias("spellings")).where("spellings > 1")
     return salted_join(h, many, ["form"])
 
@@ -118,9 +119,7 @@ def lookalike_pairs(documents: DataFrame) -> DataFrame:
 
     Null, empty and blank texts are in no pair, nor are exact copies with each other.
     """
-    from filigree.session import staged
-
-    c = staged(lookalike_classes(documents), "forms")
+    c = staged(lookalike_classes(documents), "classes")
     a = c.select("form", F.col("doc_id").alias("doc_a"), F.col("raw").alias("raw_a"))
     b = c.select("form", F.col("doc_id").alias("doc_b"), F.col("raw").alias("raw_b"))
     return salted_join(a, b, ["form"]).where("doc_a < doc_b AND raw_a <> raw_b").select("doc_a", "doc_b")

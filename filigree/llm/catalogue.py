@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import canon, leaks
+from filigree.llm import canon, leaks, syntax
 from filigree.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_files(table(spark, d, "files")).select("file")
+
+
+def p1_errors(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken_files(table(spark, d, "files")).select("file", "repo", "language", "cause", "line", "message", "n_errors", "accepted_by")
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.parse_rates(*[table(spark, d, t) for t in ("files", "symbols", "refs")])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -29,7 +41,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canon.canonical(table(spark, d, "documents").select("doc_id", "text").distinct()).select("doc_id", F.col("canon").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_items, p9_found, p9_classes, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p7_found, p7_items, p9_found, p9_classes, p9_canonical)}
 
 _CANON = canon.canonical_sql("text")
 _WORDS = f"""
