@@ -411,13 +411,14 @@ class Parser:
                 known = self.memo.get(block)
                 if known and k[self.nl(b)] not in _FOLLOWERS:
                     return b
+        found = len(self.errors)
         q = self._statement(p)
-        if chunk is not None or block is not None:
+        if (chunk is not None or block is not None) and len(self.errors) == found:
             if len(self.memo) > _MEMO_MOST:
                 self.memo.clear()
             if chunk is not None:
                 self.memo[chunk] = q == m.end()
-            if block is not None and q == b and not self.errors:
+            if block is not None and q == b:
                 self.memo[block] = True
         return q
 
