@@ -1492,7 +1492,7 @@ _RULES = {
 
 def accepts(text: str, ts: bool, jsx: bool) -> bool:
     """Whether the text parses; the fast lexer decides if it can, the exact one otherwise."""
-    if not jsx and not text.startswith("#!"):
+    if (not jsx or "</" not in text and "/>" not in text) and not text.startswith("#!"):
         k = _DEAD.sub("", fast_kinds(text, ts, jsx))
         if "E" not in k and not Parser(k, ts, jsx).program():
             return True
