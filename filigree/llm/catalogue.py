@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import canon, leaks, syntax
+from filigree.llm import canon, leaks, origin, syntax
 from filigree.session import table
 
 
@@ -21,6 +21,18 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.parse_rates(*[table(spark, d, t) for t in ("files", "symbols", "refs")])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return origin.classify_origin(table(spark, d, "files")).select("file").distinct()
+
+
+def p5_origin(spark: SparkSession, d: str) -> DataFrame:
+    return origin.classify_origin(table(spark, d, "files")).select("file", "repo", "rel", F.array_join("origin", ",").alias("origin")).distinct()
+
+
+def p5_shared_subtrees(spark: SparkSession, d: str) -> DataFrame:
+    return origin.shared_subtrees(origin.merkle(origin.leaves(table(spark, d, "files")).distinct()))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -41,7 +53,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canon.canonical(table(spark, d, "documents").select("doc_id", "text").distinct()).select("doc_id", F.col("canon").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p7_found, p7_items, p9_found, p9_classes, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p5_found, p5_origin, p5_shared_subtrees, p7_found, p7_items, p9_found, p9_classes, p9_canonical)}
 
 _CANON = canon.canonical_sql("text")
 _WORDS = f"""
