@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import canon, leaks, origin, syntax
+from filigree.llm import canon, leaks, mixing, origin, syntax
 from filigree.session import table
 
 
@@ -41,6 +41,14 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return canon.lookalike_pairs(table(spark, d, "documents"))
 
@@ -53,7 +61,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canon.canonical(table(spark, d, "documents").select("doc_id", "text").distinct()).select("doc_id", F.col("canon").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p5_found, p5_origin, p5_shared_subtrees, p7_found, p7_items, p9_found, p9_classes, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p5_found, p5_origin, p5_shared_subtrees, p7_found, p7_items, p8_mixture, p8_report, p9_found, p9_classes, p9_canonical)}
 
 _CANON = canon.canonical_sql("text")
 _WORDS = f"""
