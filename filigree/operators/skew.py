@@ -104,3 +104,39 @@ def dependents(clusters: DataFrame) -> DataFrame:
 def dependent_counts(clusters: DataFrame) -> DataFrame:
     """Clusters by number of distinct dependents over all repositories (kind ``cluster``)."""
     return key_counts(dependents(clusters), "cluster_id", "dependent").withColumn("key_kind", F.lit("cluster"))
+
+
+def weighted_prefix(rows: DataFrame, limits: DataFrame, bins: int = BINS) -> DataFrame:
+    """Per key the greatest ``value`` up to which the weights sum to no more than ``limit``.
+
+    ``rows`` has ``key, value`` (LONG) and ``weight`` (>= 0), ``limits`` has
+    ``key, limit``; output ``key, cut, taken``: ``cut`` is null where not even
+    the smallest value fits, ``taken`` the weight up to it.  Rows of equal
+    value are taken together.  The histograms of weight are refined as in
+    ``exact_quantiles``; only (key, bin) sums are shuffled.
+    """
+    rows = rows.where(F.col("key").isNotNull() & F.col("value").isNotNull()).select("key", "value", "weight")
+    span = rows.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("weight").alias("all"))
+    none = F.lit(None).cast("long")
+    live = cut(span.join(limits, "key").select("key", "lo", "hi", "limit", none.alias("cut"), F.lit(0).cast("long").alias("taken"), "all"))
+    done = live.where(F.col("all") <= F.col("limit")).select("key", F.col("hi").alias("cut"), F.col("all").cast("long").alias("taken"))
+    live = live.where(F.col("all") > F.col("limit")).drop("all")
+    while not live.isEmpty():
+        wide = live.withColumn("width", F.expr(f"CAST(((CAST(hi AS DECIMAL(20,0)) - lo) / {bins}) AS LONG) + 1L"))
+        hist = rows.join(wide.select("key", "lo", "hi", "width"), "key").where("value BETWEEN lo AND hi").groupBy("key", F.expr("CAST((CAST(value AS DECIMAL(20,0)) - lo) DIV width AS LONG)").alias("bin")).agg(
+            F.sum("weight").cast("long").alias("w"), F.min("value").alias("vlo"), F.max("value").alias("vhi")
+        )
+        steps = hist.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("bin", "w", "vlo", "vhi"))).alias("steps"))
+        found = steps.join(live, "key").withColumn(
+            "at",
+            F.expr(
+                "aggregate(steps, named_struct('cut', cut, 'taken', taken, 'lo', CAST(NULL AS BIGINT), 'hi', CAST(NULL AS BIGINT)), (a, s) -> "
+                "CASE WHEN a.lo IS NOT NULL THEN a WHEN a.taken + s.w <= limit THEN named_struct('cut', s.vhi, 'taken', a.taken + s.w, 'lo', a.lo, 'hi', a.hi) "
+                "ELSE named_struct('cut', a.cut, 'taken', a.taken, 'lo', s.vlo, 'hi', s.vhi) END)"
+            ),
+        )
+        live = cut(found.select("key", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "limit", F.col("at.cut").alias("cut"), F.col("at.taken").alias("taken")))
+        over = F.coalesce(F.col("lo") >= F.col("hi"), F.lit(True))
+        done = done.unionByName(live.where(over).select("key", "cut", "taken"))
+        live = live.where(~over)
+    return done
