@@ -73,10 +73,10 @@ def file_errors(text: str, ext: str) -> list[tuple[int, str]]:
     if ext in ("vue", "svelte"):
         blocks, bad = script_blocks(text)
         for at, body in blocks:
-            if not syntax_js.accepts(body, ts, jsx):
+            if not syntax_js.quickly_accepts(body, ts, jsx):
                 bad += [(at + o, e) for o, e in syntax_js.errors(body, ts, jsx)]
         return sorted(bad)
-    return [] if syntax_js.accepts(text, ts, jsx) else syntax_js.errors(text, ts, jsx)
+    return [] if syntax_js.quickly_accepts(text, ts, jsx) else syntax_js.errors(text, ts, jsx)
 
 
 def _python_parses(text: str) -> bool:
@@ -90,10 +90,22 @@ def _python_parses(text: str) -> bool:
         return False
 
 
-def accepted_by(text: str) -> list[str]:
-    """All languages that the text is valid source of (a component needs a script block)."""
-    out = [LANGUAGES[e][0] for e in ("py", "js", "ts", "tsx") if not file_errors(text, e)]
-    return out + ["component"] * bool(_SCRIPT.search(text) and not file_errors(text, "vue"))
+def accepted_by(text: str, ext: str) -> list[str]:
+    """The other languages that a refused text is valid source of.
+
+    Texts with elements are lexed exactly, others fast; a component needs a
+    script block.
+    """
+    own = LANGUAGES[ext][0]
+    elements = "</" in text or "/>" in text
+    out = ["Python"] if own != "Python" and syntax_py.accepts(text) else []
+    for e in ("js", "ts", "tsx"):
+        name, ts, jsx = LANGUAGES[e]
+        if name != own and (syntax_js.quickly_accepts(text, ts, jsx) or elements and jsx and syntax_js.accepts(text, ts, jsx)):
+            out.append(name)
+    if own not in ("Vue", "Svelte") and _SCRIPT.search(text) and not file_errors(text, "vue"):
+        out.append("component")
+    return out
 
 
 def cause(text: str, errs: list[tuple[int, str]], others: list[str], ext: str) -> str:
@@ -129,7 +141,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                 text = text or ""
                 errs = file_errors(text, e)
                 lines = [(text.count("\n", 0, o) + 1, m) for o, m in errs]
-                others = [] if not errs else accepted_by(text)
+                others = [] if not errs else accepted_by(text, e)
                 row = (i, repo, rel, LANGUAGES[e][0], not errs, len(errs), cause(text, errs, others, e) if errs else None, lines[0][0] if errs else None, lines[0][1] if errs else None, [{"line": a, "message": m} for a, m in lines], others)
                 for c, v in zip(out, row):
                     c.append(v)

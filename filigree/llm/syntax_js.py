@@ -291,7 +291,8 @@ _MEMO_MOST = 400_000
 
 
 class Parser:
-    def __init__(self, kinds: str, ts: bool, jsx: bool):
+    def __init__(self, kinds: str, ts: bool, jsx: bool, stop: bool = False):
+        self.stop = stop  # give up at the first error
         self.k, self.ts, self.jsx = kinds + END * 3, ts, jsx
         self.memo = _MEMO.setdefault(ts, {})
         self._close: dict | None = None
@@ -354,6 +355,8 @@ class Parser:
             if self.k[p] == END:
                 return self.errors
             self.errors.append((p, "unexpected }"))
+            if self.stop:
+                return self.errors
             p += 1
 
     def statements(self, p: int, top: bool = False) -> int:
@@ -369,6 +372,8 @@ class Parser:
                 p = self.statement(p)
             except Bad as e:
                 self.errors.append((e.at, e.what))
+                if self.stop:
+                    return len(k) - 3
                 p = self.recover(max(e.at, p), p)
             except RecursionError:
                 self.errors.append((p, "nested too deeply"))
@@ -1490,13 +1495,17 @@ _RULES = {
 }
 
 
+def quickly_accepts(text: str, ts: bool, jsx: bool) -> bool:
+    """Whether the fast lexer and the parser accept the text; a refusal may be the lexer's fault."""
+    if jsx and ("</" in text or "/>" in text) or text.startswith("#!"):
+        return False
+    k = _DEAD.sub("", fast_kinds(text, ts, jsx))
+    return "E" not in k and not Parser(k, ts, jsx, stop=True).program()
+
+
 def accepts(text: str, ts: bool, jsx: bool) -> bool:
     """Whether the text parses; the fast lexer decides if it can, the exact one otherwise."""
-    if (not jsx or "</" not in text and "/>" not in text) and not text.startswith("#!"):
-        k = _DEAD.sub("", fast_kinds(text, ts, jsx))
-        if "E" not in k and not Parser(k, ts, jsx).program():
-            return True
-    return not errors(text, ts, jsx)
+    return quickly_accepts(text, ts, jsx) or not errors(text, ts, jsx)
 
 
 def errors(text: str, ts: bool, jsx: bool) -> list[tuple[int, str]]:
