@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from filigree.plans import general
+from filigree.plans import general, scalar
+
+_MODULES = (general, scalar)
 
 
 def queries() -> dict:
-    return dict(general.QUERIES)
+    return {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(general.SQL)
+    return {k: q for m in _MODULES for k, q in m.SQL.items()}
