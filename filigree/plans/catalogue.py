@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from filigree.plans import general, scalar
+from filigree.plans import general, graph, links, scalar
 
-_MODULES = (general, scalar)
+_MODULES = (general, scalar, graph, links)
 
 
 def queries() -> dict:
