@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from filigree.plans import general, graph, links, scalar
+from filigree.plans import clusters, general, graph, links, scalar
 
-_MODULES = (general, scalar, graph, links)
+_MODULES = (general, scalar, graph, links, clusters)
 
 
 def queries() -> dict:
