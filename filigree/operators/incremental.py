@@ -117,17 +117,20 @@ class VersionedTarget:
         top = df.groupBy(*self.keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in self.keys]), order).alias("_r"))
         return top.select(*self.keys, "_r.*").where(~F.col("_gone")).drop("_gone")
 
-    def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame]) -> int:
+    def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame], whole: bool = True) -> int:
         """Process what is new or changed and publish it; returns the version.
 
         ``process`` gets the pending source rows and must keep the key and
-        version columns.  Keys that left the source are recorded as gone.
+        version columns.  Keys that left a ``whole`` source are recorded as
+        gone; a batch that holds only part of the source removes nothing.
+        Of several source rows for one key any one is taken.
         """
         base, seen = self.current(), self.read()
+        source = source.dropDuplicates(self.keys)
         todo, gone = source, None
         if seen is not None:
             todo = pending(source, seen.select(*self.keys, self.version), self.keys, lambda s, t: F.col(f"{s}.{self.version}") == F.col(f"{t}.{self.version}"))
-            gone = seen.join(source.select(*self.keys), self.keys, "left_anti")
+            gone = seen.join(source.select(*self.keys), self.keys, "left_anti") if whole else None
         out = process(todo).withColumn("_run", F.lit(base + 1)).withColumn("_gone", F.lit(False))
         if gone is not None:
             out = out.unionByName(gone.drop("_run").withColumn("_run", F.lit(base + 1)).withColumn("_gone", F.lit(True)))

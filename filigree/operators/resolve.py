@@ -66,11 +66,15 @@ def python_roots(nodes: DataFrame) -> DataFrame:
     return every.select("repo", "root", (F.row_number().over(Window.partitionBy("repo").orderBy("tier", "root")) - 1).alias("place"))
 
 
-def outcomes(refs: DataFrame, nodes: DataFrame, local_packages: DataFrame | None = None, aliases: DataFrame | None = None, all_paths: DataFrame | None = None) -> DataFrame:
+def outcomes(refs: DataFrame, nodes: DataFrame, local_packages: DataFrame | None = None, aliases: DataFrame | None = None, all_paths: DataFrame | None = None, root_base: bool = True, extra_roots: DataFrame | None = None) -> DataFrame:
     """What became of each reference: ``repo, file, pos, specifier, outcome, target, package``.
 
-    ``aliases(repo, pattern, target, place)`` are path aliases with at most
-    one ``*`` each; ``local_packages(repo, package)`` are names the repository
+    ``aliases(repo, scope, pattern, target, place, stop)`` are path aliases
+    with at most one ``*`` each, in the order of ``place``; a file uses those
+    of its nearest scope directory ('' is every file's last resort), and a
+    matching row with ``stop`` ends the search there.  ``root_base`` tries bare
+    specifiers at the repository root at last, ``extra_roots(repo, root)`` are
+    further Python roots; ``local_packages(repo, package)`` are names the repository
     owns; ``all_paths(repo, path)`` are paths on disk that the inventory left
     out.  Outcomes: ``resolved``, ``unresolved``, ``asset``, ``external``,
     ``excluded`` and ``ignored`` (``__future__``).  Null specifiers are left
@@ -88,7 +92,10 @@ def outcomes(refs: DataFrame, nodes: DataFrame, local_packages: DataFrame | None
     rel_c = relative.withColumn("path", rel_path).select("repo", "file", "pos", "specifier", F.explode(F.array(*variants(F.col("path"), 0))).alias("c"))
 
     # absolute Python references: the roots in order, then the sibling outside packages
-    roots = python_roots(nodes).groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("place", "root"))).alias("roots"))
+    every = python_roots(nodes)
+    if extra_roots is not None:
+        every = every.unionByName(extra_roots.select("repo", "root", F.lit(1000).alias("place"))).groupBy("repo", "root").agg(F.min("place").alias("place"))
+    roots = every.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("place", "root"))).alias("roots"))
     py = r.where(F.col("python") & ~spec.startswith(".") & (spec != "__future__")).join(roots, "repo", "left")
     inits = nodes.where(F.col("rel").rlike(r"(^|/)__init__\.py$")).select("repo", dirname(F.col("rel")).alias("_dir"), F.lit(True).alias("in_package")).distinct()
     py = py.withColumn("_dir", base).join(inits, ["repo", "_dir"], "left")
@@ -99,16 +106,26 @@ def outcomes(refs: DataFrame, nodes: DataFrame, local_packages: DataFrame | None
     # bare references of the others: aliases in order, then the repository root
     bare = r.where(~F.col("python") & ~spec.startswith("."))
     bare_c = bare.select("repo", "file", "pos", "specifier", F.explode(F.array(*variants(spec, 100_000))).alias("c"))
+    if not root_base:
+        bare_c = bare_c.where(F.lit(False))
+    stops = None
     if aliases is not None:
-        star = aliases.select("repo", "pattern", F.col("target").alias("_target"), "place", F.substring_index("pattern", "*", 1).alias("_head"), F.when(F.col("pattern").contains("*"), F.substring_index("pattern", "*", -1)).alias("_tail"))
-        # the table of aliases is configuration, not data; its rows are matched by repository
-        m = bare.join(star, "repo").where(F.when(F.col("_tail").isNull(), spec == F.col("pattern")).otherwise(spec.startswith(F.col("_head")) & spec.endswith(F.col("_tail")) & (F.length(spec) >= F.length("_head") + F.length("_tail"))))
+        if "scope" not in aliases.columns:
+            aliases = aliases.withColumns({"scope": F.lit(""), "stop": F.lit(False)})
+        near = nearest_scope(nodes, aliases.where("scope <> ''").select("repo", F.col("scope").alias("dir")))
+        star = aliases.select("repo", "scope", "pattern", F.col("target").alias("_target"), "place", "stop", F.substring_index("pattern", "*", 1).alias("_head"), F.when(F.col("pattern").contains("*"), F.substring_index("pattern", "*", -1)).alias("_tail"))
+        # the table of aliases is configuration, not data; its rows are matched by repository and scope
+        m = bare.join(near, ["repo", "rel"]).join(star, ["repo", "scope"]).where(F.when(F.col("_tail").isNull(), spec == F.col("pattern")).otherwise(spec.startswith(F.col("_head")) & spec.endswith(F.col("_tail")) & (F.length(spec) >= F.length("_head") + F.length("_tail"))))
         got = F.substr(spec, F.length("_head") + 1, F.length(spec) - F.length("_head") - F.length(F.coalesce("_tail", F.lit(""))))
         path = F.replace(F.col("_target"), F.lit("*"), F.when(F.col("_tail").isNull(), F.lit("")).otherwise(got))
         m = m.withColumn("path", path)
-        bare_c = bare_c.unionByName(m.select("repo", "file", "pos", "specifier", F.explode(F.transform(F.array(*variants(F.col("path"), 0)), lambda x: F.struct((x["prio"] + F.col("place") * 3).alias("prio"), x["key"].alias("key")))).alias("c")))
+        at_place = F.transform(F.array(*variants(F.col("path"), 0)), lambda x: F.struct((x["prio"] + F.col("place") * 3).alias("prio"), x["key"].alias("key")))
+        bare_c = bare_c.unionByName(m.where("path IS NOT NULL").select("repo", "file", "pos", "specifier", F.explode(at_place).alias("c")))
+        stops = m.where("stop").groupBy("file", "pos", "specifier").agg(F.min(F.col("place") * 3 + 2).alias("stop"))
 
     cand = rel_c.unionByName(py_c).unionByName(bare_c).select("repo", "file", "pos", "specifier", "c.prio", "c.key").where("key IS NOT NULL")
+    if stops is not None:
+        cand = cand.join(stops, ["file", "pos", "specifier"], "left").where("stop IS NULL OR prio <= stop").drop("stop")
     hits = salted_join(cand, keys, ["repo", "key"]).groupBy("file", "pos", "specifier").agg(F.min(F.struct("prio", "id")).alias("h")).select("file", "pos", "specifier", F.col("h.id").alias("target"))
 
     j = r.join(hits, ["file", "pos", "specifier"], "left")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from filigree.plans import clusters, general, graph, links, scalar
+from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = (general, scalar, graph, links, clusters)
+from filigree.plans import clusters, facts, general, graph, links, scalar
+
+_MODULES = (general, graph, links, scalar, clusters, facts)
 
 
 def queries() -> dict:
@@ -13,3 +15,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {k: q for m in _MODULES for k, q in m.SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who imports these files, directly or not, and how far away."""
+    return graph.importers_closure(spark, sf_dir)
