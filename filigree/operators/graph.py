@@ -6,6 +6,8 @@ Tables: ``nodes(repo, id, rel)`` with one row per file, and directed
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from filigree.session import cut
 
 # Weights of the signals in the fused graph, and the largest directory whose files count as neighbours.
 W_IMPORT, W_COCHANGE, W_CONTRACT, W_SEMANTIC, W_DIRECTORY, DIRECTORY_MOST = 1.00, 0.55, 0.45, 0.30, 0.25, 30
+#: Graphs of up to so many files and edges are done in one task (about 100 bytes each).
+KERNEL_EDGES = 2_000_000
 # The weights of importance, and PageRank's damping and rounds.
 W_RANK, W_ENTRY, W_CHURN, W_FAN_IN, DAMPING, ROUNDS = 0.35, 0.25, 0.20, 0.20, 0.85, 40
 
@@ -36,7 +40,8 @@ def closure(edges: DataFrame, targets: DataFrame, depth: int | None = None, reve
     front, n = cut(front), 0
     while (depth is None or n < depth) and not front.isEmpty():
         n += 1
-        new = salted_join(front, step, ["node"]).select("target", F.col("next").alias("node")).distinct()
+        # a hub's many rows are on the side of the steps, which adaptive execution splits
+        new = front.join(step, "node").select("target", F.col("next").alias("node")).distinct()
         new = new.join(seen, ["target", "node"], "left_anti")
         front = cut(new)
         seen = seen.unionByName(front.withColumn("depth", F.lit(n)))
@@ -135,9 +140,44 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFr
     """PageRank of each repository's graph: ``repo, id, rank``, summing to 1 per repository.
 
     Synchronous rounds from 1/n; the rank of files without out-edges is spread
-    evenly.  The edges carry their source's out-degree and are laid out by
-    source once; a round is one join on that layout and one aggregation that
-    adds up contributions before its shuffle.  Ranks are cut every few rounds.
+    evenly.  Repositories of at most ``KERNEL_EDGES`` files and edges are done
+    in one task each, larger ones by rounds of joins.
+    """
+    size = nodes.groupBy("repo").agg(F.count("*").alias("n")).join(edges.groupBy("repo").agg(F.count("*").alias("m")), "repo", "left")
+    size = cut(size.select("repo", ((F.col("n") <= KERNEL_EDGES) & (F.coalesce("m", F.lit(0)) <= KERNEL_EDGES)).alias("small")))
+    small, big = size.where("small").select("repo"), size.where("NOT small").select("repo")
+    out = pagerank_kernel(nodes.join(small, "repo", "left_semi"), edges.join(small, "repo", "left_semi"), rounds)
+    if big.isEmpty():
+        return out
+    return out.unionByName(pagerank_rounds(nodes.join(big, "repo", "left_semi"), edges.join(big, "repo", "left_semi"), rounds))
+
+
+def pagerank_kernel(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``pagerank`` of graphs that fit one task each."""
+
+    def run(key, ns: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(ns.id.to_numpy())
+        n = len(ids)
+        if n == 0:
+            return pd.DataFrame({"repo": [], "id": [], "rank": []})
+        src, dst = np.searchsorted(ids, es.src.to_numpy()), np.searchsorted(ids, es.dst.to_numpy())
+        k = np.bincount(src, minlength=n).astype(float)
+        rank = np.full(n, 1 / n)
+        for _ in range(rounds):
+            got = np.bincount(dst, rank[src] / k[src], minlength=n) if len(src) else np.zeros(n)
+            rank = (1 - DAMPING) / n + DAMPING * (got + rank[k == 0].sum() / n)
+        return pd.DataFrame({"repo": key[0], "id": ids, "rank": rank})
+
+    e = edges.select(F.col("repo").alias("r"), "src", "dst")
+    return nodes.select("repo", "id").groupBy("repo").cogroup(e.groupBy("r")).applyInPandas(run, "repo string, id long, rank double")
+
+
+def pagerank_rounds(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``pagerank`` by joins.
+
+    The edges carry their source's out-degree and are laid out by source once;
+    a round is one join on that layout and one aggregation that adds up
+    contributions before its shuffle.  Ranks are cut every few rounds.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("k"))
     size = nodes.groupBy("repo").agg(F.count("*").alias("n"))

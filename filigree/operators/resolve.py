@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from filigree.functions import classify as C
 from filigree.functions.paths import CODE_EXTENSIONS, SCRIPT_SUFFIX, dirname, extension, join_relative, python_relative
-from filigree.operators.salted import salted_join
 
 _EXT = rf"\.({'|'.join(CODE_EXTENSIONS)})$"
 
@@ -126,7 +125,8 @@ def outcomes(refs: DataFrame, nodes: DataFrame, local_packages: DataFrame | None
     cand = rel_c.unionByName(py_c).unionByName(bare_c).select("repo", "file", "pos", "specifier", "c.prio", "c.key").where("key IS NOT NULL")
     if stops is not None:
         cand = cand.join(stops, ["file", "pos", "specifier"], "left").where("stop IS NULL OR prio <= stop").drop("stop")
-    hits = salted_join(cand, keys, ["repo", "key"]).groupBy("file", "pos", "specifier").agg(F.min(F.struct("prio", "id")).alias("h")).select("file", "pos", "specifier", F.col("h.id").alias("target"))
+    # few specifiers hold many references; adaptive execution splits such a key's rows
+    hits = cand.join(keys, ["repo", "key"]).groupBy("file", "pos", "specifier").agg(F.min(F.struct("prio", "id")).alias("h")).select("file", "pos", "specifier", F.col("h.id").alias("target"))
 
     j = r.join(hits, ["file", "pos", "specifier"], "left")
     tops = python_packages(nodes).select("repo", F.substring_index("dir", "/", -1).alias("_top"), F.lit(True).alias("first_party")).distinct()

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +56,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the shared folder and cut its lineage."""
+    """Materialise ``df`` reliably in the shared folder and cut its lineage.
+
+    It is held while the checkpoint is written, which would otherwise compute
+    it a second time; the checkpoint keeps the partitioning, and outlives any
+    executor.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint(eager=True)
+    finally:
+        held.unpersist()
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
