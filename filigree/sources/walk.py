@@ -7,7 +7,6 @@ a checkout on its own disk.
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import os
 import re
@@ -26,6 +25,12 @@ CONFIG_NAMES = frozenset(("package.json", "tsconfig.json", "jsconfig.json", "pnp
 CODE = re.compile(r"\.(?:ts|mts|cts|tsx|js|mjs|cjs|jsx|py|vue|svelte)\Z")
 
 
+def _glob(segment: str) -> str:
+    """One segment of an ignore pattern as a regular expression."""
+    out = re.sub(r"\\\[(!|\\\^)?(.+?)\\\]", lambda m: "[" + "^" * bool(m.group(1)) + m.group(2).replace("\\-", "-") + "]", re.escape(segment))
+    return out.replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+
+
 class Ignore:
     """The rules of the ignore files on the way to a directory; later rules win, ``!`` takes back."""
 
@@ -44,7 +49,7 @@ class Ignore:
             line = line.rstrip("/")
             anchored = "/" in line
             line = line.lstrip("/")
-            parts = ["(?:.*/)?" if p == "**" else re.sub(r"\\Z|\\z|\(\?s:|\)$", "", fnmatch.translate(p)).replace(".*", "[^/]*") + "/" for p in line.split("/")]
+            parts = ["(?:.*/)?" if p == "**" else _glob(p) + "/" for p in line.split("/")]
             body = "".join(parts).removesuffix("/") if parts[-1] != "(?:.*/)?" else "".join(parts) + ".*"
             out.append((base, re.compile(("" if anchored else "(?:.*/)?") + body + r"\Z"), only_dir, keep))
         return Ignore(out)
@@ -129,5 +134,5 @@ def binary_files(spark: SparkSession, path: str, repo: str) -> DataFrame:
     rel = F.regexp_replace(F.col("path"), r"^.*?" + re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
     skip = "(^|/)(" + "|".join(re.escape(d) for d in sorted(VENDOR_DIRS)) + r"|\.[^/]+)(/|$)"
     f = raw.where(F.col("length") <= SIZE_MOST).withColumn("rel", rel).where(F.col("rel").rlike(r"\.(ts|mts|cts|tsx|js|mjs|cjs|jsx|py|vue|svelte)$") & ~F.col("rel").rlike(skip))
-    f = f.select(F.lit(repo).alias("repo"), F.xxhash64(F.lit(repo), "rel").alias("id"), "rel", F.col("length").alias("bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("hash"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    f = f.select(F.lit(repo).alias("repo"), F.xxhash64(F.lit(repo), "rel").alias("id"), "rel", F.col("length").alias("bytes"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("hash"), F.decode("content", "UTF-8").alias("text"))
     return classified(f)
