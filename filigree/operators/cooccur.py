@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filigree.operators.skew import running_sum
 from filigree.session import cut
 
 #: Sweeps of the fit; it stops earlier when no margin is off by more than FIT_ERROR of itself.
@@ -76,12 +77,12 @@ def fit_margins(item_n: np.ndarray, item_c: np.ndarray, size: np.ndarray, size_c
 
 
 def null_model(b: DataFrame, counts: DataFrame) -> DataFrame:
-    """The fitted null of each group: ``grp, xs, ys``.
+    """The fitted null of each group: ``grp, side, n, c, v``.
 
-    ``xs`` is an array of (n, x), ``ys`` of (size, m, y) with m baskets of the
-    size.  Only the histograms of frequencies and of sizes (at most 50 values)
-    reach one task: a group with M incidences has at most sqrt(2 M) different
-    frequencies.
+    ``side`` 0: items of frequency n, of which there are c, have x = v; side
+    1: c baskets of size n have y = v.  Only the histograms of frequencies and
+    of sizes (at most 50 values) reach one task: a group with M incidences has
+    at most sqrt(2 M) different frequencies.
     """
     hi = counts.groupBy("grp", "n").agg(F.count("*").alias("c")).select("grp", F.lit(0).alias("side"), "n", "c")
     hb = b.groupBy("grp", F.size("items").cast("long").alias("n")).agg(F.count("*").alias("c")).select("grp", F.lit(1).alias("side"), "n", "c")
@@ -89,12 +90,10 @@ def null_model(b: DataFrame, counts: DataFrame) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "n"])
         i, s = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        n, c, z, m = (v.to_numpy(float) for v in (i.n, i.c, s.n, s.c))
-        x, y = fit_margins(n, c, z, m)
-        grp = pdf.grp.iloc[0]
-        return pd.DataFrame({"grp": [grp], "xs": [[{"n": int(a), "x": float(v)} for a, v in zip(n, x)]], "ys": [[{"size": int(a), "m": int(k), "y": float(v)} for a, k, v in zip(z, m, y)]]})
+        x, y = fit_margins(*(v.to_numpy(float) for v in (i.n, i.c, s.n, s.c)))
+        return pdf.assign(v=np.concatenate([x, y]))
 
-    return hi.unionByName(hb).groupBy("grp").applyInPandas(fit, "grp string, xs array<struct<n:long,x:double>>, ys array<struct<size:long,m:long,y:double>>")
+    return hi.unionByName(hb).groupBy("grp").applyInPandas(fit, "grp string, side int, n long, c long, v double")
 
 
 def poisson_binomial_tail(q: np.ndarray, m: np.ndarray, k: int, extra: int = 64) -> float:
@@ -134,9 +133,11 @@ def surprise(pairs: DataFrame, counts: DataFrame, b: DataFrame) -> DataFrame:
     cb = counts.select("grp", F.col("item").alias("b"), F.col("n").alias("nb"))
     full = cut(pairs.join(ca, ["grp", "a"]).join(cb, ["grp", "b"]))
     combos = full.select("grp", "na", "nb", "nab").distinct()
-    null = null_model(b, counts)
-    x_of = lambda c: F.element_at(F.map_from_entries("xs"), F.col(c))
-    job = combos.join(null, "grp").select("grp", "na", "nb", "nab", x_of("na").alias("xa"), x_of("nb").alias("xb"), "ys")
+    null = cut(null_model(b, counts))
+    x = null.where("side = 0")
+    ys = null.where("side = 1").groupBy("grp").agg(F.collect_list(F.struct(F.col("c").alias("m"), F.col("v").alias("y"))).alias("ys"))
+    xa, xb = x.select("grp", F.col("n").alias("na"), F.col("v").alias("xa")), x.select("grp", F.col("n").alias("nb"), F.col("v").alias("xb"))
+    job = combos.join(xa, ["grp", "na"]).join(xb, ["grp", "nb"]).join(ys, "grp").select("grp", "na", "nb", "nab", "xa", "xb", "ys")
 
     def tails(batches):
         for pdf in batches:
@@ -162,11 +163,8 @@ def false_discovery(scored: DataFrame, counts: DataFrame, alpha: float) -> DataF
     over distinct values.
     """
     tests = counts.groupBy("grp").agg((F.count("*") * (F.count("*") - 1) / 2).alias("tests"))
-    from pyspark.sql import Window
-
-    by = scored.groupBy("grp", "p_value").agg(F.count("*").alias("c"))
-    rank = F.sum("c").over(Window.partitionBy("grp").orderBy("p_value").rowsBetween(Window.unboundedPreceding, 0))
-    cutoff = by.withColumn("rank", rank).join(tests, "grp").where(F.col("p_value") <= alpha * F.col("rank") / F.greatest("tests", F.lit(1.0))).groupBy("grp").agg(F.max("p_value").alias("cutoff"))
+    by = running_sum(scored.groupBy("grp", "p_value").agg(F.count("*").alias("c")), "grp", "p_value", "c")
+    cutoff = by.join(tests, "grp").where(F.col("p_value") <= alpha * F.col("running") / F.greatest("tests", F.lit(1.0))).groupBy("grp").agg(F.max("p_value").alias("cutoff"))
     return scored.join(cutoff, "grp", "left").withColumn("significant", F.coalesce(F.col("p_value") <= F.col("cutoff"), F.lit(False))).drop("cutoff")
 
 

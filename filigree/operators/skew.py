@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.session import cut
+from filigree.operators.salted import HOT_PARTS, HOT_ROWS, salted_join
+from filigree.session import cut, staged
 
 #: Bins of one refinement step.  One step moves at most this many rows per key and quantile.
 BINS = 256
@@ -50,32 +51,31 @@ def exact_quantiles(df: DataFrame, qs: Sequence[float], bins: int = BINS) -> Dat
     ceil(q * n))`` of the key's non-null values, duplicates counted.  Keys
     without a value are absent.  Ties are equal values, so they need no rule.
 
-    Each round histograms the live interval of each (key, q) in ``bins`` bins
-    and keeps the bin holding the rank; an interval is at most 1/``bins`` of
-    the one before, so 64-bit values need at most 8 rounds of 256 bins.  Rows
-    are never grouped by key: each round shuffles (key, q, bin) counts only,
-    and joins the rows to one interval per key, whose hot keys are spread by
-    a salt on both sides.
+    Equal (key, value) rows are added up first.  Each round histograms the
+    live interval of each (key, q) in ``bins`` bins and keeps the bin holding
+    the rank; an interval is at most 1/``bins`` of the one before, so 64-bit
+    values need at most 8 rounds of 256 bins.  Rows are never grouped by key:
+    a round shuffles (key, q, bin) sums only, and in the join with the
+    intervals the rows of hot keys are spread by a salt.
     """
     rows = df.where(F.col("key").isNotNull() & F.col("value").isNotNull()).select("key", F.col("value").cast("long").alias("value"))
-    span = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    rows = staged(rows.groupBy("key", "value").agg(F.count("*").alias("c")), "values")
+    span = cut(rows.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("d"), F.min("value").alias("lo"), F.max("value").alias("hi")))
+    total = span.agg(F.sum("d").alias("total"))
+    hot = cut(span.crossJoin(F.broadcast(total)).where((F.col("d") * HOT_PARTS > F.col("total")) & (F.col("d") > HOT_ROWS)).select("key"))
     want = F.array(*[F.lit(float(q)) for q in qs])
     live = span.select("key", "n", F.explode(want).alias("q"), "lo", "hi")
-    live = live.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))).cast("long"))
-    live = cut(live)
+    live = cut(live.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))).cast("long")))
     done = live.where("lo = hi").select("key", "n", "q", F.col("lo").alias("value"))
     live = live.where("lo < hi")
-    salts = 16
     while not live.isEmpty():
-        # an odd division in exact integers: (hi - lo) may need 64 bits, so it is halved first
-        live = live.withColumn("width", F.expr(f"greatest(1L, CAST(((CAST(hi AS DECIMAL(20,0)) - lo) / {bins}) AS LONG) + 1)"))
-        spread = live.select("key", "q", "lo", "hi", "width", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        at = rows.withColumn("salt", F.expr(f"CAST(pmod(xxhash64(value), {salts}) AS INT)"))
-        hit = at.join(spread, ["key", "salt"]).where("value BETWEEN lo AND hi")
+        # exact integers: hi - lo may need 65 bits
+        live = live.withColumn("width", F.expr(f"CAST(((CAST(hi AS DECIMAL(20,0)) - lo) / {bins}) AS LONG) + 1L"))
+        hit = salted_join(rows, live.select("key", "q", "lo", "hi", "width"), ["key"], "inner", hot).where("value BETWEEN lo AND hi")
         hist = hit.groupBy("key", "q", F.expr("CAST((CAST(value AS DECIMAL(20,0)) - lo) DIV width AS LONG)").alias("bin")).agg(
-            F.count("*").alias("c"), F.min("value").alias("vlo"), F.max("value").alias("vhi")
+            F.sum("c").alias("c"), F.min("value").alias("vlo"), F.max("value").alias("vhi")
         )
-        # at most `bins` rows per (key, q): a bounded group
+        # at most `bins` + 1 rows per (key, q): a bounded group
         steps = hist.groupBy("key", "q").agg(F.array_sort(F.collect_list(F.struct("bin", "c", "vlo", "vhi"))).alias("steps"))
         found = steps.join(live.select("key", "n", "q", "rank"), ["key", "q"]).withColumn(
             "at",
@@ -140,3 +140,19 @@ def weighted_prefix(rows: DataFrame, limits: DataFrame, bins: int = BINS) -> Dat
         done = done.unionByName(live.where(over).select("key", "cut", "taken"))
         live = live.where(~over)
     return done
+
+
+def running_sum(df: DataFrame, group: str, order: str, weight: str) -> DataFrame:
+    """``df`` with ``running``: the sum of ``weight`` of its group up to and with the row, by ``order``.
+
+    ``order`` must be unique within a group.  Rows are laid out by ranges of
+    (group, order); each range is summed by itself, and the sums of the ranges
+    before it, at most one row per range and group, are added.  So no task
+    holds a whole group.
+    """
+    laid = df.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id())
+    laid = staged(laid, "ranges")
+    local = Window.partitionBy(group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    per = laid.groupBy(group, "_range").agg(F.sum(weight).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    return laid.withColumn("_local", F.sum(weight).over(local)).join(per, [group, "_range"]).withColumn("running", F.col("_local") + F.col("_before")).drop("_local", "_before", "_range")

@@ -274,6 +274,17 @@ n AS (SELECT DISTINCT repo, rel AS path, mtime_ns, bytes AS size FROM files WHER
 SELECT coalesce(s.repo, n.repo) AS repo, coalesce(s.path, n.path) AS path, CASE WHEN s.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' ELSE 'changed' END AS change
 FROM s FULL JOIN n ON s.repo = n.repo AND s.path = n.path WHERE s.path IS NULL OR n.path IS NULL OR s.mtime_ns IS DISTINCT FROM n.mtime_ns OR s.size IS DISTINCT FROM n.size""",
 }
+SQL["nested_clusters"] = f"""WITH {_N}, {G._DIRP}, {G._PARTITION}, fullc AS (SELECT DISTINCT repo, lo % 60 AS cluster FROM dirp WHERE lo % 60 <> hi % 60 UNION SELECT DISTINCT repo, hi % 60 FROM dirp WHERE lo % 60 <> hi % 60),
+u AS (SELECT n.repo, n.id, CASE WHEN f.cluster IS NOT NULL THEN 'full' ELSE 'bucket' END AS kind, CASE WHEN f.cluster IS NOT NULL THEN CAST(f.cluster AS VARCHAR) WHEN n.rel LIKE '%/%' THEN string_split(n.rel, '/')[1] ELSE '(root)' END AS unit
+  FROM nodes n LEFT JOIN fullc f ON n.repo = f.repo AND n.id % 60 = f.cluster),
+k AS (SELECT p.repo, p.cluster, u.kind, u.unit, row_number() OVER (PARTITION BY p.repo, p.cluster ORDER BY count(*) DESC, u.unit, u.kind) AS k FROM part p JOIN u ON p.id = u.id GROUP BY p.repo, p.cluster, u.kind, u.unit)
+SELECT repo, cluster, kind, unit FROM k WHERE k = 1"""
+SQL["repo_fingerprint"] = """WITH h AS (SELECT DISTINCT repo, sha256(rel || ':' || coalesce(hash, '')) AS h FROM files WHERE deleted_at IS NULL),
+g AS (SELECT repo, left(h, 3) AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS g FROM h GROUP BY repo, left(h, 3)) SELECT repo, sha256(string_agg(g, chr(10) ORDER BY b)) AS fingerprint FROM g GROUP BY repo"""
+SQL["label_quality"] = f"""WITH {_N}, l AS (SELECT repo AS grp, id, string_split(rel, '/')[-1] AS name, 'key files under ' || rel AS summary, regexp_extract(rel, '^(.*)\\.', 1) AS txt FROM nodes),
+k AS (SELECT *, array_to_string(list_sort({_words('name')}), ' ') AS key, {_words("(name || ' ' || summary)")} AS content, {_words('txt')} AS ok FROM l),
+c AS (SELECT *, count(*) OVER (PARTITION BY grp, key) AS same FROM k)
+SELECT count(*) AS count, round(avg(CASE WHEN len(list_filter(content, lambda w: NOT list_contains(ok, w) AND w NOT IN ('{"', '".join(evals.BOILERPLATE)}'))) = 0 THEN 1.0 ELSE 0.0 END), 6) AS grounded, round(avg(CASE WHEN same > 1 THEN 1.0 ELSE 0.0 END), 6) AS collisions FROM c"""
 SQL["freshness_state"] = f"""WITH d AS ({SQL['freshness_diff']}), c AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS k FROM d),
 known AS (SELECT DISTINCT repo FROM stored_files WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'succeeded')),
 r AS (SELECT DISTINCT repo FROM files WHERE deleted_at IS NULL UNION SELECT repo FROM known)

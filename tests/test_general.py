@@ -187,6 +187,17 @@ def test_weighted_prefix(spark):
     assert got == {"a": (cut, total), "b": (None, 0)}
 
 
+def test_running_sum(spark):
+    r = random.Random(5)
+    data = [(r.choice("aab"), i, r.randint(0, 5)) for i in range(300)]
+    want, at = {}, {}
+    for g, o, w in data:
+        at[g] = at.get(g, 0) + w
+        want[g, o] = at[g]
+    df = spark.createDataFrame(data, "g string, o long, w long").repartition(7)
+    assert {(x.g, x.o): x.running for x in skew.running_sum(df, "g", "o", "w").collect()} == want
+
+
 def test_counts_and_heavy_keys(spark):
     e = spark.createDataFrame([(i, 1) for i in range(50)] * 2 + [(i, i + 100) for i in range(60)] + [(None, 1), (3, None)], "src long, dst long")
     c = skew.importer_counts(e)
