@@ -117,9 +117,14 @@ def lookalike_classes(documents: DataFrame) -> DataFrame:
 def lookalike_pairs(documents: DataFrame) -> DataFrame:
     """Pairs ``doc_a < doc_b`` whose texts differ in characters but have one canonical form.
 
-    Null, empty and blank texts are in no pair, nor are exact copies with each other.
+    Null, empty and blank texts are in no pair, nor are exact copies with each
+    other.  The work grows with the pairs that come out, however many copies a
+    spelling has.
     """
     c = staged(lookalike_classes(documents), "classes")
-    a = c.select("form", F.col("doc_id").alias("doc_a"), F.col("raw").alias("raw_a"))
-    b = c.select("form", F.col("doc_id").alias("doc_b"), F.col("raw").alias("raw_b"))
-    return salted_join(a, b, ["form"]).where("doc_a < doc_b AND raw_a <> raw_b").select("doc_a", "doc_b")
+    # spellings are paired first, then given their documents: copies of one spelling never meet each other
+    reps = c.select("form", "raw").distinct()
+    two = reps.withColumnRenamed("raw", "raw_a").join(reps.withColumnRenamed("raw", "raw_b"), "form").where("raw_a < raw_b").select("raw_a", "raw_b")
+    a, b = c.select(F.col("raw").alias("raw_a"), F.col("doc_id").alias("x")), c.select(F.col("raw").alias("raw_b"), F.col("doc_id").alias("y"))
+    pairs = salted_join(salted_join(a, two, ["raw_a"]), b, ["raw_b"])
+    return pairs.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()

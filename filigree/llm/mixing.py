@@ -47,7 +47,7 @@ def source_name(c: Column) -> Column:
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, source, tokens`` with one row per document; null texts have 0 tokens."""
+    """``doc_id, source, tokens``; null texts have 0 tokens, and of several rows of a document the longest counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(tokenizer)
@@ -56,7 +56,8 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
 
     rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text")
-    return rows.mapInArrow(run, "doc_id long, source string, tokens long").groupBy("doc_id").agg(F.max_by("source", "tokens").alias("source"), F.max("tokens").alias("tokens"))
+    one = rows.mapInArrow(run, "doc_id long, source string, tokens long").groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("m"))
+    return one.select("doc_id", "m.source", "m.tokens")
 
 
 def plan(tokens: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
