@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.operators.salted import HOT_PARTS, HOT_ROWS, salted_join
+from filigree.operators.salted import HOT_PARTS, HOT_ROWS, hot_keys, salted_join
 from filigree.session import cut, staged
 
 #: Bins of one refinement step.  One step moves at most this many rows per key and quantile.
@@ -117,13 +117,14 @@ def weighted_prefix(rows: DataFrame, limits: DataFrame, bins: int = BINS) -> Dat
     """
     rows = rows.where(F.col("key").isNotNull() & F.col("value").isNotNull()).select("key", "value", "weight")
     span = rows.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("weight").alias("all"))
+    hot = cut(hot_keys(rows, ["key"]))
     none = F.lit(None).cast("long")
     live = cut(span.join(limits, "key").select("key", "lo", "hi", "limit", none.alias("cut"), F.lit(0).cast("long").alias("taken"), "all"))
     done = live.where(F.col("all") <= F.col("limit")).select("key", F.col("hi").alias("cut"), F.col("all").cast("long").alias("taken"))
     live = live.where(F.col("all") > F.col("limit")).drop("all")
     while not live.isEmpty():
         wide = live.withColumn("width", F.expr(f"CAST(((CAST(hi AS DECIMAL(20,0)) - lo) / {bins}) AS LONG) + 1L"))
-        hist = rows.join(wide.select("key", "lo", "hi", "width"), "key").where("value BETWEEN lo AND hi").groupBy("key", F.expr("CAST((CAST(value AS DECIMAL(20,0)) - lo) DIV width AS LONG)").alias("bin")).agg(
+        hist = salted_join(rows, wide.select("key", "lo", "hi", "width"), ["key"], "inner", hot).where("value BETWEEN lo AND hi").groupBy("key", F.expr("CAST((CAST(value AS DECIMAL(20,0)) - lo) DIV width AS LONG)").alias("bin")).agg(
             F.sum("weight").cast("long").alias("w"), F.min("value").alias("vlo"), F.max("value").alias("vhi")
         )
         steps = hist.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("bin", "w", "vlo", "vhi"))).alias("steps"))
