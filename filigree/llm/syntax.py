@@ -109,15 +109,30 @@ def accepted_by(text: str, ext: str) -> list[str]:
 
 
 def cause(text: str, errs: list[tuple[int, str]], others: list[str], ext: str) -> str:
-    """The first cause of a text's errors: conflict, cut-off, other-language or syntax."""
-    if _MARKER.search(text) and (m := _MARKER.search(text)) and errs[0][0] <= m.end() + 400 and m.start() <= errs[0][0] + 400:
+    """The first cause of a text's errors.
+
+    ``conflict``: a merge marker near the first error; ``other-language``:
+    another language accepts the text; ``other-format``: the first error is in
+    the first line, so it never was source of this language; ``cut-off``: an
+    error at either end, or brackets left open; else ``syntax``.
+    """
+    first = errs[0][0]
+    m = _MARKER.search(text)
+    if m and m.start() - 400 <= first <= m.end() + 400:
         return "conflict"
     if others:
         return "other-language"
+    start = len(text) - len(text.lstrip())
+    indented = text[:1] in " \t" and errs[0][1] in ("unexpected }", "unexpected indent", "expected ;", "script block without a start", "expected a statement")
+    if first <= start + 1 and not indented and "script block" not in errs[0][1]:
+        return "other-format"
     end = len(text.rstrip())
-    if any(o >= end - 1 or "unclosed" in e or "end" in e and "expected" not in e for o, e in errs) or "unterminated" in errs[-1][1]:
+    last = errs[-1][0]
+    tail = text[last:end]
+    open_ = sum(map(tail.count, "([{")) > sum(map(tail.count, ")]}"))
+    if indented or last >= end - 1 or "\n" not in tail or open_ or "unclosed" in errs[-1][1] or "end" in errs[-1][1] or errs[0][1] in ("unexpected }", "script block without a start"):
         return "cut-off"
-    return "cut-off" if errs[0][1] in ("unexpected }", "unexpected indent", "script block without a start") else "syntax"
+    return "syntax"
 
 
 def parse_files(files: DataFrame) -> DataFrame:
