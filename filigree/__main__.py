@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
         from filigree.session import local_session
 
         spark = local_session()
-        ix = pipeline.build(spark, args.root)
+        ix = pipeline.build(spark, args.root, str(Path(args.root).resolve() / serve.INDEX_DIR / "store"))
         found = pipeline.write_indexes(ix)
         if with_map:
             pipeline.write_map(ix, args.budget, args.max_domains, args.seed)

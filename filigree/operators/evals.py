@@ -175,3 +175,37 @@ def unexplained_cochange(pairs: DataFrame, one: DataFrame, other: DataFrame, edg
 def parity(one: DataFrame, other: DataFrame) -> DataFrame:
     """Rows only one of two answers has, with ``side``; empty if they agree, duplicates counted."""
     return one.exceptAll(other).withColumn("side", F.lit("left")).unionByName(other.exceptAll(one).withColumn("side", F.lit("right")))
+
+
+def index_ceiling(answers: DataFrame, expected: DataFrame, least: float = 0.80) -> DataFrame:
+    """How well an index alone answers: one row ``tasks, recall, f1, full, passed``.
+
+    Means over the tasks with an expected answer; ``full`` counts those
+    answered completely, ``passed`` says that the mean recall reaches ``least``.
+    """
+    s = set_f1(answers, expected).where("expected > 0").withColumn("r", F.col("hit") / F.col("expected"))
+    g = s.agg(F.count("*").alias("tasks"), F.coalesce(F.avg("r"), F.lit(0.0)).alias("recall"), F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1"), F.coalesce(F.sum((F.col("r") == 1).cast("long")), F.lit(0)).alias("full"))
+    return g.withColumn("passed", F.col("recall") >= least)
+
+
+def first_match(urls: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The view of the first pattern, in order, that a URL matches: ``grp, url, view``; null without one.
+
+    ``urls(grp, url)``, ``patterns(grp, place, regex, view)``.  A group's
+    patterns are configuration; they travel as one array to its URLs, so each
+    URL is tested in its own row and no pairs are made.
+    """
+    p = patterns.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("place", "regex", "view"))).alias("p"))
+    hit = F.get(F.filter("p", lambda x: F.rlike(F.col("url"), x["regex"])), F.lit(0))
+    return urls.select("grp", "url").distinct().join(p, "grp", "left").select("grp", "url", hit["view"].alias("view"))
+
+
+def blind_order(items: DataFrame, seed: int = 0) -> DataFrame:
+    """``items`` with ``place``, a seeded random key by ``id`` to order a blind review by; arms are not shown by it."""
+    return items.withColumn("place", F.xxhash64(F.lit(seed), "id"))
+
+
+def accept_rates(reviews: DataFrame) -> DataFrame:
+    """Per arm of a review: ``arm, items, accepted, rate``; undecided (null) items do not count."""
+    g = reviews.where("accepted IS NOT NULL").groupBy("arm").agg(F.count("*").alias("items"), F.sum(F.col("accepted").cast("long")).alias("accepted"))
+    return g.withColumn("rate", F.col("accepted") / F.col("items"))

@@ -13,6 +13,7 @@ from filigree.operators import cluster, cochange, contracts, graph, resolve, sum
 from filigree.session import cut
 from filigree.sinks import render
 from filigree.sources import extract, gitlog, manifests, walk
+from filigree.sources.store import FactStore
 
 INDEX_DIR = ".filigree"
 
@@ -32,8 +33,11 @@ class Index:
     links: DataFrame
 
 
-def build(spark: SparkSession, root: str | Path) -> Index:
-    """Inventory, parsing, resolution and contracts of a checkout."""
+def build(spark: SparkSession, root: str | Path, store: str | None = None) -> Index:
+    """Inventory, parsing, resolution and contracts of a checkout.
+
+    With a ``store`` folder only new and changed files are parsed.
+    """
     root = Path(root).resolve()
     repo = root.name
     prof = manifests.read(root)
@@ -42,7 +46,8 @@ def build(spark: SparkSession, root: str | Path) -> Index:
     if files.isEmpty():
         raise ValueError(f"no source files under {root}")
     nodes = files.where(F.col("class").isin("source", "test", "config")).select("repo", "id", "rel", "python", "test", "class", "language")
-    parsed = cut(extract.parse(files.join(nodes.select("id"), "id", "left_semi")))
+    sources = files.join(nodes.select("id"), "id", "left_semi")
+    parsed = cut(FactStore(spark, store).parse(sources) if store else extract.parse(sources))
     t = extract.child_tables(parsed)
     alias = spark.createDataFrame([(repo, *r) for r in manifests.alias_rows(prof)] or [(repo, "", "\0", "\0", 0, False)], "repo string, scope string, pattern string, target string, place int, stop boolean")
     local = spark.createDataFrame([(repo, w["name"]) for w in prof.packages] or [(repo, "\0")], "repo string, package string")

@@ -156,6 +156,19 @@ def arm_summary(spark: SparkSession, d: str) -> DataFrame:
     return evals.summarize_arms(f).select("arm", "episodes", "correct", F.round("mean_f1", 6).alias("mean_f1"), "tokens", F.round("accuracy", 6).alias("accuracy"))
 
 
+def index_ceiling(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "edges").where("src IS NOT NULL AND dst IS NOT NULL")
+    c = evals.index_ceiling(e.where("dst % 3 <> 0").select(F.col("src").alias("task"), F.col("dst").alias("item")), e.where("dst % 5 <> 0").select(F.col("src").alias("task"), F.col("dst").alias("item")))
+    return c.select("tasks", F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"), "full", "passed")
+
+
+def first_match_routes(spark: SparkSession, d: str) -> DataFrame:
+    n = A.nodes(spark, d)
+    top = n.select("repo", F.substring_index("rel", "/", 1).alias("top")).where("rel LIKE '%/%'").distinct()
+    pats = top.select(F.col("repo").alias("grp"), F.col("top").alias("place"), F.concat(F.lit("^"), F.substring("top", 1, 1), F.lit("[a-z]*/.*[a-m]\\.")).alias("regex"), F.col("top").alias("view"))
+    return evals.first_match(n.select(F.col("repo").alias("grp"), F.col("rel").alias("url")), pats)
+
+
 def cochange_delta(spark: SparkSession, d: str) -> DataFrame:
     n = cut(A.nodes(spark, d))
     p = cochange.pairs(cochange.touched(table(spark, d, "commits"), n), n)
@@ -189,7 +202,7 @@ def repo_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (cluster_members, cluster_distributed, dominant_dirs, pick_symbols, routing_terms, domain_budgets, cluster_confidence, global_confidence, cluster_order, flows, labels_derived, cluster_externals, coarse_units, nested_clusters, set_f1, route_score, lexical_search, nav_tasks, gate_tasks, bootstrap_ci, label_quality, arm_summary, cochange_delta, query_parity, freshness_diff, freshness_state, repo_fingerprint)
+    for f in (cluster_members, cluster_distributed, dominant_dirs, pick_symbols, routing_terms, domain_budgets, cluster_confidence, global_confidence, cluster_order, flows, labels_derived, cluster_externals, coarse_units, nested_clusters, set_f1, route_score, lexical_search, nav_tasks, gate_tasks, bootstrap_ci, label_quality, arm_summary, cochange_delta, index_ceiling, first_match_routes, query_parity, freshness_diff, freshness_state, repo_fingerprint)
 }
 
 _N = A.SQL["nodes"]
@@ -274,6 +287,10 @@ n AS (SELECT DISTINCT repo, rel AS path, mtime_ns, bytes AS size FROM files WHER
 SELECT coalesce(s.repo, n.repo) AS repo, coalesce(s.path, n.path) AS path, CASE WHEN s.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' ELSE 'changed' END AS change
 FROM s FULL JOIN n ON s.repo = n.repo AND s.path = n.path WHERE s.path IS NULL OR n.path IS NULL OR s.mtime_ns IS DISTINCT FROM n.mtime_ns OR s.size IS DISTINCT FROM n.size""",
 }
+SQL["index_ceiling"] = f"""WITH {_SETS}, s AS (SELECT hit / expected AS r, f1 FROM g WHERE expected > 0)
+SELECT count(*) AS tasks, round(avg(r), 6) AS recall, round(avg(f1), 6) AS f1, count(*) FILTER (r = 1) AS full, avg(r) >= 0.8 AS passed FROM s"""
+SQL["first_match_routes"] = f"""WITH {_N}, p AS (SELECT DISTINCT repo, string_split(rel, '/')[1] AS top FROM nodes WHERE rel LIKE '%/%')
+SELECT n.repo AS grp, n.rel AS url, (SELECT min(p.top) FROM p WHERE p.repo = n.repo AND regexp_matches(n.rel, '^' || left(p.top, 1) || '[a-z]*/.*[a-m]\\.')) AS view FROM (SELECT DISTINCT repo, rel FROM nodes) n"""
 SQL["nested_clusters"] = f"""WITH {_N}, {G._DIRP}, {G._PARTITION}, fullc AS (SELECT DISTINCT repo, lo % 60 AS cluster FROM dirp WHERE lo % 60 <> hi % 60 UNION SELECT DISTINCT repo, hi % 60 FROM dirp WHERE lo % 60 <> hi % 60),
 u AS (SELECT n.repo, n.id, CASE WHEN f.cluster IS NOT NULL THEN 'full' ELSE 'bucket' END AS kind, CASE WHEN f.cluster IS NOT NULL THEN CAST(f.cluster AS VARCHAR) WHEN n.rel LIKE '%/%' THEN string_split(n.rel, '/')[1] ELSE '(root)' END AS unit
   FROM nodes n LEFT JOIN fullc f ON n.repo = f.repo AND n.id % 60 = f.cluster),

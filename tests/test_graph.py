@@ -210,3 +210,17 @@ def test_top_per_ties_and_hubs(spark):
     e = spark.createDataFrame([("r", 2, 0), ("r", 2, 1)], "repo string, src long, dst long")
     assert [(r.rank, r.rel) for r in graph.hubs(n, e, 1).collect()] == [(1, "a.ts")]
     assert graph.suggest(n.select("repo", F.col("rel").alias("path")), "").count() == 0
+
+
+def test_ordered_matching_review_and_ceiling(spark):
+    u = spark.createDataFrame([("r", "/api/x/"), ("r", "/no"), ("q", "/api/x/")], "grp string, url string")
+    p = spark.createDataFrame([("r", 2, "^/api/", "late"), ("r", 1, "^/api/x", "early")], "grp string, place int, regex string, view string")
+    assert rows(evals.first_match(u, p)) == [("q", "/api/x/", None), ("r", "/api/x/", "early"), ("r", "/no", None)]
+    v = spark.createDataFrame([("a", True), ("a", False), ("b", True), ("b", None)], "arm string, accepted boolean")
+    assert rows(evals.accept_rates(v)) == [("a", 2, 1, 0.5), ("b", 1, 1, 1.0)]
+    items = spark.createDataFrame([(i,) for i in range(9)], "id long")
+    order = [r.id for r in evals.blind_order(items, 3).orderBy("place").collect()]
+    assert sorted(order) == list(range(9)) and order != list(range(9)) and order == [r.id for r in evals.blind_order(items.repartition(3), 3).orderBy("place").collect()]
+    a = spark.createDataFrame([(1, "a"), (2, "x")], "task long, item string")
+    c = evals.index_ceiling(a, spark.createDataFrame([(1, "a"), (3, "q")], "task long, item string")).first()
+    assert (c.tasks, c.recall, c.full, c.passed) == (2, 0.5, 1, False)

@@ -220,3 +220,26 @@ def test_null_and_empty_tables(spark):
     df = spark.createDataFrame([(None, None), ("a.ts", ""), ("a.d.ts", "x"), ("b/Test_x.py", "y"), ("m.ts", "z" * 2001)], "rel string, text string")
     got = [tuple(r) for r in df.select(C.language(F.col("rel")), C.file_class(F.col("rel"), F.coalesce("text", F.lit(""))), C.loc(F.col("text"))).collect()]
     assert got[1:] == [("ts", "source", 0), ("ts", "vendored", 1), ("python", "test", 1), ("ts", "generated", 1)]
+
+
+def test_store_parses_only_what_changed(spark, tmp_path, monkeypatch):
+    from filigree.sources import store
+
+    texts = {"a.ts": "import './b';", "b.ts": "export class Bee {}", "c.py": "import os"}
+    seen = []
+    real = extract.parse
+
+    def spy(df):
+        seen.append(sorted(r.rel for r in df.select("rel").collect()) if "rel" in df.columns else [])
+        return real(df)
+
+    monkeypatch.setattr(store.extract, "parse", spy)
+    s = store.FactStore(spark, str(tmp_path / "s"))
+
+    def run(t):
+        df = spark.createDataFrame([("r", i, r, "python" if r.endswith(".py") else "ts", str(hash(x)), x) for i, (r, x) in enumerate(sorted(t.items()))], "repo string, id long, rel string, language string, hash string, text string")
+        return {r.file: [x.specifier for x in r.refs] for r in s.parse(df).collect()}
+
+    assert run(texts) == {0: ["./b"], 1: [], 2: ["os"]}
+    assert run({**{k: v for k, v in texts.items() if k != "a.ts"}, "c.py": "import re"}) == {0: [], 1: ["re"]}
+    assert seen == [["a.ts", "b.ts", "c.py"], ["c.py"]]
