@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -83,3 +85,19 @@ def staged(df: DataFrame, what: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only where the counted ``rows`` prove that it fits."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers where they would not find it by themselves.
+
+    They do when its folder is in ``PYTHONPATH``, or, on one machine, when it
+    is the working directory.  Once per context.
+    """
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in known or sc.master.startswith("local[") and Path.cwd().resolve() == root or getattr(sc, "_filigree_shipped", False):
+        return
+    name = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="filigree-"), "filigree"), "zip", root, "filigree")
+    sc.addPyFile(name)  # the context's own file server hands it to every executor, late ones too
+    sc._filigree_shipped = True

@@ -1,0 +1,27 @@
+"""Queries on empty tables, and on null rows, copies and clashing columns."""
+
+from __future__ import annotations
+
+import pytest
+
+from filigree.plans import general, scalar
+from tests import awkward
+
+pytestmark = pytest.mark.skipif(not awkward.SOURCE.is_dir(), reason="needs the test tables")
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls"])
+def test_queries(spark, tmp_path, kind):
+    d = awkward.write(tmp_path, kind)
+    for name, q in {**general.QUERIES, **scalar.QUERIES}.items():
+        n = q(spark, d).count()
+        if kind == "empty":
+            assert n == 0, name
+
+
+def test_extra_rows_change_nothing(spark, tmp_path):
+    d = awkward.write(tmp_path, "nulls")
+    for name in ("p3_found", "p6_found", "p2_target_state"):
+        q = general.QUERIES[name]
+        rows = lambda x: {tuple(r) for r in q(spark, x).collect() if r[0] is not None}
+        assert rows(d) == rows(str(awkward.SOURCE)), name
