@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import re
 import sys
 import warnings
@@ -135,6 +136,33 @@ def cause(text: str, errs: list[tuple[int, str]], others: list[str], ext: str) -
     return "syntax"
 
 
+#: Verdicts on refused texts, by digest: copies of one broken file are judged once per worker.
+_REFUSED: dict = {}
+_REFUSED_MOST = 20_000
+
+
+def judge(text: str, ext: str) -> tuple:
+    """``(ok, n_errors, cause, line, message, errors, accepted_by)`` of one text."""
+    key = (ext, hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()) if len(text) > 400 else (ext, text)
+    known = _REFUSED.get(key)
+    if known is not None:
+        return known
+    errs = file_errors(text, ext)
+    if not errs:
+        return (True, 0, None, None, None, [], [])
+    lines, at, n = [], 0, 1
+    for o, m in errs:  # in order of place, so lines are counted once
+        n += text.count("\n", at, o)
+        at = max(at, o)
+        lines.append({"line": n, "message": m})
+    others = accepted_by(text, ext)
+    out = (False, len(errs), cause(text, errs, others, ext), lines[0]["line"], lines[0]["message"], lines, others)
+    if len(_REFUSED) >= _REFUSED_MOST:
+        _REFUSED.clear()
+    _REFUSED[key] = out
+    return out
+
+
 def parse_files(files: DataFrame) -> DataFrame:
     """One row per file version whose extension names a language; columns as in ``SCHEMA``.
 
@@ -153,11 +181,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             ids, repos, rels, exts, texts = (c.to_pylist() for c in b.columns)
             out: list[list] = [[] for _ in range(11)]
             for i, repo, rel, e, text in zip(ids, repos, rels, exts, texts):
-                text = text or ""
-                errs = file_errors(text, e)
-                lines = [(text.count("\n", 0, o) + 1, m) for o, m in errs]
-                others = [] if not errs else accepted_by(text, e)
-                row = (i, repo, rel, LANGUAGES[e][0], not errs, len(errs), cause(text, errs, others, e) if errs else None, lines[0][0] if errs else None, lines[0][1] if errs else None, [{"line": a, "message": m} for a, m in lines], others)
+                row = (i, repo, rel, LANGUAGES[e][0], *judge(text or "", e))
                 for c, v in zip(out, row):
                     c.append(v)
             types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.struct([("line", pa.int32()), ("message", pa.string())])), pa.list_(pa.string())]
