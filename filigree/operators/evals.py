@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filigree.operators.graph import top_per
-from filigree.operators.salted import salted_join
 
 # Words that do not count in search.
 STOP = "a an the to of in at by and or for with from is this that".split()
@@ -54,12 +53,12 @@ def lexical_search(queries: DataFrame, texts: DataFrame, k: int = 50) -> DataFra
     """The ``k`` texts sharing most words with each query: ``query, rank, id, score``.
 
     ``queries(query, text)``, ``texts(id, text)``; ties by id.  Query words are
-    few; the texts' words are joined to them with hot words salted, and the
-    overlaps are counted before the top k are taken.
+    few; adaptive execution splits the texts' rows of a hot word, and overlaps
+    are counted on the map side before the top k are taken.
     """
     q = queries.select("query", F.explode(words(F.col("text"))).alias("word")).distinct()
     t = texts.select("id", F.explode(words(F.col("text"))).alias("word")).distinct()
-    n = salted_join(t, q, ["word"]).groupBy("query", "id").agg(F.count("*").alias("score"))
+    n = t.join(q, "word").groupBy("query", "id").agg(F.count("*").alias("score"))
     return top_per(n, ["query"], [F.desc("score"), F.asc("id")], k).select("query", "rank", "id", "score")
 
 
@@ -102,7 +101,7 @@ def path_guess(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     toks = F.filter(F.array_distinct(F.split(F.lower("rel"), r"[/\-_.]")), lambda x: (F.length(x) > 2) & ~x.isin(*STOP))
     n = nodes.select("repo", "id", "rel", F.explode(toks).alias("tok"))
     want = tasks.select(F.col("target").alias("id"), "answers").join(n, "id").select("repo", F.col("id").alias("target"), "answers", "tok")
-    sc = salted_join(n, want, ["repo", "tok"]).where("id <> target").groupBy("target", "answers", "id", "rel").agg(F.count("*").alias("score"))
+    sc = n.join(want, ["repo", "tok"]).where("id <> target").groupBy("target", "answers", "id", "rel").agg(F.count("*").alias("score"))
     top = top_per(sc, ["target"], [F.desc("score"), F.asc("rel")], ANSWER_MOST)
     return top.where("rank <= answers").select("target", F.col("id").alias("item"))
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.functions.paths import dirname
-from filigree.operators.salted import salted_join
 from filigree.session import cut
 
 # Weights of the signals in the fused graph, and the largest directory whose files count as neighbours.
@@ -62,7 +61,7 @@ def import_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     written to, which is the feature.
     """
     rel = nodes.select("id", "rel")
-    e = salted_join(edges, rel.select(F.col("id").alias("dst"), F.col("rel").alias("target")), ["dst"])
+    e = edges.join(rel.select(F.col("id").alias("dst"), F.col("rel").alias("target")), "dst")
     e = e.join(rel.select(F.col("id").alias("src"), F.col("rel").alias("importer")), "src")
     return e.groupBy("repo", "target").agg(F.array_join(F.array_sort(F.collect_set("importer")), ", ").alias("importers"))
 
@@ -223,7 +222,7 @@ def cluster_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct pairs of different clusters with an edge between them: ``repo, cluster, depends_on``."""
     a = members.select(F.col("id").alias("src"), F.col("cluster"))
     b = members.select(F.col("id").alias("dst"), F.col("cluster").alias("depends_on"))
-    return salted_join(edges.join(a, "src"), b, ["dst"]).where("cluster <> depends_on").select("repo", "cluster", "depends_on").distinct()
+    return edges.join(a, "src").join(b, "dst").where("cluster <> depends_on").select("repo", "cluster", "depends_on").distinct()
 
 
 def match_clusters(one: DataFrame, other: DataFrame) -> DataFrame:
