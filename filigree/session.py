@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -52,6 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="filigree-")
+        atexit.register(shutil.rmtree, named, True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
     return named
@@ -77,11 +79,33 @@ def staged(df: DataFrame, what: str) -> DataFrame:
 
     Unlike a checkpoint the result stays columnar, so later readers prune columns.
     """
-    path = os.path.join(shared_dir(df.sparkSession), f"{what}-{uuid.uuid4().hex}")
+    path = f"{_stage_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _stage_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the driver's interpreter ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark).rstrip('/')}/filigree-{sc.applicationId}"
+    if getattr(sc, "_filigree_stage", None) != path:
+        sc._filigree_stage = path
+        atexit.register(clean, spark)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove what ``staged`` wrote; results that still read it must have been written before."""
+    path = getattr(spark.sparkContext, "_filigree_stage", None)
+    if path is None:
+        return
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM is gone already; the folder carries the application's name
+        return
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only where the counted ``rows`` prove that it fits."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
