@@ -73,6 +73,32 @@ def pending_work(files: DataFrame, stored: DataFrame, status: DataFrame, stored_
     return f.unionByName(h)
 
 
+def stat_hits(files: DataFrame, stored: DataFrame, runs: DataFrame) -> DataFrame:
+    """Present files whose time stamp and size are as the last success left them: ``repo, rel, hash, loc, reread``.
+
+    A hit takes over the stored hash and line count; others are to be read
+    again (``reread``, with null values).  Null stamps or sizes never hit.
+    """
+    now = files.where(F.col("deleted_at").isNull()).select("repo", "rel", "mtime_ns", F.col("bytes").alias("size")).distinct()
+    was = latest_success(stored, runs, ["repo", "rel"], ["mtime_ns", "size", "hash", "loc"]).select("repo", "rel", F.struct("mtime_ns", "size").alias("was"), "hash", "loc")
+    j = now.join(was, ["repo", "rel"], "left")
+    hit = F.coalesce((F.col("was.mtime_ns") == F.col("mtime_ns")) & (F.col("was.size") == F.col("size")), F.lit(False))
+    return j.select("repo", "rel", F.when(hit, F.col("hash")).alias("hash"), F.when(hit, F.col("loc")).alias("loc"), (~hit).alias("reread"))
+
+
+def memo_pairs(stored_git: DataFrame, status: DataFrame, runs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Remembered co-change pairs of repositories whose HEAD has not moved, by present file ids.
+
+    ``repo, lo, hi, w``; paths that are no present file drop out.
+    """
+    state = latest_success(stored_git, runs, ["repo"], ["head", "pairs"])
+    same = state.join(status.select("repo", F.col("head").alias("now")).distinct(), "repo").where("head = now")
+    p = same.select("repo", F.explode("pairs").alias("p")).select("repo", "p.a", "p.b", "p.w")
+    ids = nodes.select("repo", "rel", "id")
+    p = p.join(ids.select("repo", F.col("rel").alias("a"), F.col("id").alias("x")), ["repo", "a"]).join(ids.select("repo", F.col("rel").alias("b"), F.col("id").alias("y")), ["repo", "b"])
+    return p.where("x <> y").select("repo", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "w").distinct()
+
+
 class VersionedTarget:
     """A target table whose versions are published by one atomic rename.
 

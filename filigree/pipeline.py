@@ -154,7 +154,10 @@ def map_facts(ix: Index, max_domains: int = cluster.MAX_DOMAINS, seed: int = clu
     total = sum(len(d["files"]) for d in domains)
     hubs = [(r.rel, r.importers) for r in graph.hubs(n, e).orderBy("rank").collect()]
     rate = resolve.rates(ix.outcomes).first()
-    return {"files": total, "rate": rate.rate if rate else 1.0, "confidence": sum(d["confidence"]["score"] * len(d["files"]) for d in domains) / max(1, total), "frameworks": ix.profile.frameworks(), "hubs": hubs, "domains": domains}
+    cls = {r[0]: r[1] for r in ix.files.groupBy("class").count().collect()}
+    out_of = {"generated": cls.get("generated", 0), "declarations": cls.get("vendored", 0), "config": cls.get("config", 0)}
+    said = {"relations": render.relations(pairs.count() if has_log else None, url.count(), sem.count()), "boundary": render.boundary(out_of, ix.outcomes.where("outcome = 'unresolved'").count())}
+    return said | {"files": total, "rate": rate.rate if rate else 1.0, "confidence": sum(d["confidence"]["score"] * len(d["files"]) for d in domains) / max(1, total), "frameworks": ix.profile.frameworks(), "hubs": hubs, "domains": domains}
 
 
 def _group(df: DataFrame, col: str) -> dict[int, list[tuple[int, str]]]:

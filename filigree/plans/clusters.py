@@ -196,13 +196,25 @@ def freshness_state(spark: SparkSession, d: str) -> DataFrame:
     return freshness.state(*_snapshots(spark, d)).select("repo", "state", F.col("changed_count").cast("long").alias("changed_count"), F.array_join("changed", ",").alias("changed"))
 
 
+def stat_reuse(spark: SparkSession, d: str) -> DataFrame:
+    from filigree.operators.incremental import stat_hits
+
+    return stat_hits(*[table(spark, d, t) for t in ("files", "stored_files", "runs")])
+
+
+def git_memo(spark: SparkSession, d: str) -> DataFrame:
+    from filigree.operators.incremental import memo_pairs
+
+    return memo_pairs(*[table(spark, d, t) for t in ("stored_git", "repo_status", "runs")], A.nodes(spark, d))
+
+
 def repo_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return freshness.fingerprint(table(spark, d, "files").where("deleted_at IS NULL"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (cluster_members, cluster_distributed, dominant_dirs, pick_symbols, routing_terms, domain_budgets, cluster_confidence, global_confidence, cluster_order, flows, labels_derived, cluster_externals, coarse_units, nested_clusters, set_f1, route_score, lexical_search, nav_tasks, gate_tasks, bootstrap_ci, label_quality, arm_summary, cochange_delta, index_ceiling, first_match_routes, query_parity, freshness_diff, freshness_state, repo_fingerprint)
+    for f in (cluster_members, cluster_distributed, dominant_dirs, pick_symbols, routing_terms, domain_budgets, cluster_confidence, global_confidence, cluster_order, flows, labels_derived, cluster_externals, coarse_units, nested_clusters, set_f1, route_score, lexical_search, nav_tasks, gate_tasks, bootstrap_ci, label_quality, arm_summary, cochange_delta, index_ceiling, first_match_routes, query_parity, freshness_diff, freshness_state, stat_reuse, git_memo, repo_fingerprint)
 }
 
 _N = A.SQL["nodes"]
@@ -291,6 +303,14 @@ SQL["index_ceiling"] = f"""WITH {_SETS}, s AS (SELECT hit / expected AS r, f1 FR
 SELECT count(*) AS tasks, round(avg(r), 6) AS recall, round(avg(f1), 6) AS f1, count(*) FILTER (r = 1) AS full, avg(r) >= 0.8 AS passed FROM s"""
 SQL["first_match_routes"] = f"""WITH {_N}, p AS (SELECT DISTINCT repo, string_split(rel, '/')[1] AS top FROM nodes WHERE rel LIKE '%/%')
 SELECT n.repo AS grp, n.rel AS url, (SELECT min(p.top) FROM p WHERE p.repo = n.repo AND regexp_matches(n.rel, '^' || left(p.top, 1) || '[a-z]*/.*[a-m]\\.')) AS view FROM (SELECT DISTINCT repo, rel FROM nodes) n"""
+SQL["stat_reuse"] = """WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, rel ORDER BY run_id DESC, mtime_ns DESC NULLS LAST, size DESC NULLS LAST, hash DESC NULLS LAST, loc DESC NULLS LAST) AS k
+  FROM stored_files WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'succeeded')) x WHERE k = 1),
+n AS (SELECT DISTINCT repo, rel, mtime_ns, bytes FROM files WHERE deleted_at IS NULL),
+j AS (SELECT n.repo, n.rel, s.hash, s.loc, coalesce(s.mtime_ns = n.mtime_ns AND s.size = n.bytes, false) AS hit FROM n LEFT JOIN s ON n.repo = s.repo AND n.rel = s.rel)
+SELECT repo, rel, CASE WHEN hit THEN hash END AS hash, CASE WHEN hit THEN loc END AS loc, NOT hit AS reread FROM j"""
+SQL["git_memo"] = f"""WITH {_N}, g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY run_id DESC, head DESC NULLS LAST) AS k FROM stored_git WHERE run_id IN (SELECT run_id FROM runs WHERE status = 'succeeded')) x WHERE k = 1),
+p AS (SELECT g.repo, unnest(g.pairs) AS p FROM g JOIN (SELECT DISTINCT repo, head FROM repo_status) r ON g.repo = r.repo AND g.head = r.head)
+SELECT DISTINCT p.repo, least(a.id, b.id) AS lo, greatest(a.id, b.id) AS hi, p.p.w AS w FROM p JOIN nodes a ON p.repo = a.repo AND p.p.a = a.rel JOIN nodes b ON p.repo = b.repo AND p.p.b = b.rel WHERE a.id <> b.id"""
 SQL["nested_clusters"] = f"""WITH {_N}, {G._DIRP}, {G._PARTITION}, fullc AS (SELECT DISTINCT repo, lo % 60 AS cluster FROM dirp WHERE lo % 60 <> hi % 60 UNION SELECT DISTINCT repo, hi % 60 FROM dirp WHERE lo % 60 <> hi % 60),
 u AS (SELECT n.repo, n.id, CASE WHEN f.cluster IS NOT NULL THEN 'full' ELSE 'bucket' END AS kind, CASE WHEN f.cluster IS NOT NULL THEN CAST(f.cluster AS VARCHAR) WHEN n.rel LIKE '%/%' THEN string_split(n.rel, '/')[1] ELSE '(root)' END AS unit
   FROM nodes n LEFT JOIN fullc f ON n.repo = f.repo AND n.id % 60 = f.cluster),

@@ -50,6 +50,24 @@ def routes_markdown(links: list[dict]) -> str:
     return "\n".join(out).rstrip("\n") + "\n"
 
 
+def relations(cochange: int | None, contracts: int, semantic: int) -> str:
+    """Where the relationships of a map come from; ``cochange`` is None without a history."""
+    parts = ["resolved imports"]
+    if cochange is not None:
+        parts.append(f"{cochange} git co-change pairs")
+    for n, one in ((contracts, "API contract"), (semantic, "cross-language symbol contract")):
+        if n:
+            parts.append(f"{n} {one}" + "s" * (n > 1))
+    text = ", ".join(parts) + " and directory structure"
+    return "relationships come from " + text + (" only" if len(parts) == 1 else "")
+
+
+def boundary(excluded: dict, unresolved: int) -> list[str]:
+    """What a map leaves out."""
+    out = [f"- Excluded files: {excluded['generated']} generated, {excluded['declarations']} type declarations, {excluded['config']} config", "- Vendor and build directories were not walked"]
+    return out + [f"- {unresolved} import specifiers could not be resolved to a file and carry no edge in this map"] * bool(unresolved)
+
+
 def map_markdown(title: str, facts: dict, symbols: int, with_flows: bool) -> str:
     """The map of a repository at one level of detail."""
     out = [f"# {title}", "", f"{facts['files']} files in {len(facts['domains'])} domains · import resolution {facts['rate'] * 100:.0f}% · confidence {facts['confidence']:.2f}", ""]
@@ -70,6 +88,8 @@ def map_markdown(title: str, facts: dict, symbols: int, with_flows: bool) -> str
         if with_flows:
             out += [f"Flow: {f['label']}: " + " → ".join(f"`{p}`" for p in f["path"]) + (f" (+{f['leaves']} leaves)" if f["leaves"] else "") for f in d["flows"]]
         out.append("")
+    if "relations" in facts:
+        out += ["## Boundary", "", f"- In this map {facts['relations']}", *facts["boundary"], ""]
     return "\n".join(out).rstrip("\n") + "\n"
 
 

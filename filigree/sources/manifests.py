@@ -15,11 +15,14 @@ from pathlib import Path
 # Conditions of an export in order, dependency sections.
 CONDITIONS = ("source", "import", "module", "default", "require", "node")
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies")
-# Packages that name a framework.
+# Packages that name a framework, in the order in which frameworks are shown.
 FRAMEWORKS = {
-    "next": "Next.js", "react": "React", "vue": "Vue", "svelte": "Svelte", "@angular/core": "Angular", "nuxt": "Nuxt", "express": "Express", "fastify": "Fastify", "koa": "Koa",
-    "hono": "Hono", "@nestjs/core": "NestJS", "django": "Django", "flask": "Flask", "fastapi": "FastAPI", "djangorestframework": "Django REST Framework", "sqlalchemy": "SQLAlchemy",
-    "prisma": "Prisma", "typeorm": "TypeORM", "vite": "Vite", "vitest": "Vitest", "jest": "Jest", "pytest": "pytest", "tailwindcss": "Tailwind CSS", "redux": "Redux", "graphql": "GraphQL",
+    "next": "Next.js", "nuxt": "Nuxt", "@angular/core": "Angular", "@nestjs/core": "NestJS", "react": "React", "vue": "Vue", "svelte": "Svelte", "solid-js": "Solid",
+    "express": "Express", "fastify": "Fastify", "koa": "Koa", "hono": "Hono", "@trpc/server": "tRPC", "graphql": "GraphQL", "@prisma/client": "Prisma", "drizzle-orm": "Drizzle",
+    "typeorm": "TypeORM", "mongoose": "Mongoose", "kysely": "Kysely", "next-auth": "Auth.js", "@auth/core": "Auth.js", "passport": "Passport", "stripe": "Stripe",
+    "@supabase/supabase-js": "Supabase", "firebase": "Firebase", "redis": "Redis", "ioredis": "Redis", "bullmq": "BullMQ", "socket.io": "Socket.IO", "electron": "Electron",
+    "react-native": "React Native", "tailwindcss": "Tailwind CSS", "vite": "Vite", "webpack": "webpack", "vitest": "Vitest", "jest": "Jest", "@playwright/test": "Playwright", "zod": "Zod",
+    "django": "Django", "flask": "Flask", "sqlalchemy": "SQLAlchemy", "djangorestframework": "DRF",
 }
 
 
@@ -40,8 +43,8 @@ class Profile:
 
     def frameworks(self, scope: str = "") -> list[str]:
         deps = self.scope_deps.get(scope, set()) if scope else self.deps
-        out = {FRAMEWORKS[d] for d in deps if d in FRAMEWORKS}
-        return sorted(out | ({"Django"} if self.manage and not scope else set()))
+        found = {FRAMEWORKS[d] for d in deps if d in FRAMEWORKS} | ({"Django"} if self.manage and not scope else set())
+        return [f for f in dict.fromkeys(FRAMEWORKS.values()) if f in found]
 
     def scope_of(self, rel: str) -> str:
         return max((d for d in self.package_dirs if rel.startswith(d + "/")), key=len, default="")
@@ -176,6 +179,25 @@ def _extends(root: Path, at: Path, spec: str, names: dict[str, str]) -> Path | N
     return None
 
 
+def extended_configs(root: Path, names: dict[str, str] | None = None) -> list[str]:
+    """Paths of the repository's own files that its TypeScript configurations extend, however indirectly."""
+    seen: set[Path] = set()
+
+    def follow(file: Path, depth: int) -> None:
+        v = read_json(file) if depth <= 16 else None
+        for spec in _strings((v or {}).get("extends")):
+            t = _extends(root, file.parent, spec, names or {})
+            if t is not None and t.resolve().is_relative_to(root) and "node_modules" not in t.parts and t.resolve() not in seen:
+                seen.add(t.resolve())
+                follow(t.resolve(), depth + 1)
+
+    for d in ["", *workspace_dirs(root, workspace_patterns(root))]:
+        for n in ("tsconfig.json", "jsconfig.json"):
+            if (root / d / n).is_file():
+                follow(root / d / n, 0)
+    return sorted(p.relative_to(root).as_posix() for p in seen)
+
+
 def python_deps(dir_: Path) -> set[str]:
     """Normalised dependency names of pyproject.toml and requirements files of one directory."""
     out: set[str] = set()

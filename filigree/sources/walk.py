@@ -97,8 +97,15 @@ def walk(root: str | Path, covered: Callable[[str], bool] = lambda rel: False) -
 
 
 def snapshot(root: str | Path, covered: Callable[[str], bool] = lambda rel: False) -> list[tuple[str, int, int]]:
-    """``(path, mtime_ns, size)`` of the sources and watched configuration files."""
-    return [(r, m, s) for r, s, m in walk(root, covered) if CODE.search(r) and s <= SIZE_MOST or r.rsplit("/", 1)[-1] in CONFIG_NAMES]
+    """``(path, mtime_ns, size)`` of the sources, the watched configuration files and what those extend."""
+    from filigree.sources.manifests import extended_configs
+
+    root = Path(root).resolve()
+    out = {r: (m, s) for r, s, m in walk(root, covered) if CODE.search(r) and s <= SIZE_MOST or r.rsplit("/", 1)[-1] in CONFIG_NAMES}
+    for r in extended_configs(root):
+        st = (root / r).stat()
+        out[r] = (st.st_mtime_ns, st.st_size)
+    return [(r, m, s) for r, (m, s) in sorted(out.items())]
 
 
 def files(spark: SparkSession, root: str | Path, repo: str | None = None, covered: Callable[[str], bool] = lambda rel: False) -> DataFrame:

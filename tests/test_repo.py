@@ -163,7 +163,8 @@ def test_manifests(tmp_path):
     root = tree(tmp_path, {**MONO, "manage.py": "import django", "tsconfig.json": '{"extends": "./base"}', "base.json": '{"compilerOptions": {"paths": {"~/*": ["src/*"],}}}', "requirements-dev.txt": "Django_REST.framework==1 # x\n-r other\n", "pnpm-workspace.yaml": "packages:\n  - 'tools/**'\n  - '!x'\n"})
     p = manifests.read(root)
     assert p.name == "shop" and p.package_dirs == ["packages/api", "packages/kit", "packages/web"] and "django-rest-framework" in p.deps
-    assert p.frameworks() == ["Django", "Flask", "Next.js"] and p.frameworks("packages/web") == ["Next.js"]
+    assert manifests.extended_configs(root) == ["base.json"] and "base.json" in [r for r, _, _ in walk.snapshot(root)]
+    assert p.frameworks() == ["Next.js", "Django", "Flask"] and p.frameworks("packages/web") == ["Next.js"]
     assert p.scopes[0] == ("", [("~/*", ["src/*"])], None) and p.scopes[1] == ("packages/web", [("@shared/*", ["packages/shared/*"])], "packages/web")
     assert manifests.workspace_patterns(root) == ["packages/*", "tools/**"]
     assert manifests.strip_jsonc('{"a": "//x", /* y */ "b": [1, 2,], // z\n}') == '{"a": "//x",  "b": [1, 2] \n}'
@@ -182,6 +183,11 @@ def test_git_log(spark):
     assert [(r.commit_id, r.seconds, r.files) for r in got] == [("abc", 100, ["a.ts", "b.ts"])]
 
 
+def test_map_sentences():
+    assert render.relations(None, 0, 0) == "relationships come from resolved imports and directory structure only"
+    assert render.relations(4, 1, 2) == "relationships come from resolved imports, 4 git co-change pairs, 1 API contract, 2 cross-language symbol contracts and directory structure"
+
+
 def test_block_merge():
     b = render.agents_block(True)
     one = render.merge_block("intro\r\n", b)
