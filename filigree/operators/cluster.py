@@ -264,9 +264,11 @@ def stability(g: Graph, member: list[int], most: int = MAX_DOMAINS, seed: int =
     return [s / STABILITY_RUNS for s in stay]
 
 
-def cluster_kernel(nodes: DataFrame, fused: DataFrame, most: int = MAX_DOMAINS, seed: int = SEED, with_stability: bool = True) -> DataFrame:
+def cluster_kernel(nodes: DataFrame, fused: DataFrame, most: int = MAX_DOMAINS, seed: int = SEED, with_stability: bool = True, gamma: float | None = None) -> DataFrame:
     """``repo, id, cluster, stability`` of small graphs, one task per repository.
 
+    With ``gamma`` that one resolution is taken instead of the ladder.
+
     Repositories without a fused edge are clustered by directory with
     stability 0.
     """
@@ -281,7 +283,7 @@ def cluster_kernel(nodes: DataFrame, fused: DataFrame, most: int = MAX_DOMAINS,
             return pd.DataFrame({"repo": ns.repo, "id": ids, "cluster": [order[d] for d in dirs], "stability": 0.0})
         es = es.sort_values(["lo", "hi"])
         g = Graph(len(ids), [(place[a], place[b], float(w)) for a, b, w in zip(es.lo, es.hi, es.w) if a in place and b in place])
-        member = targeting(g, most, seed)
+        member = targeting(g, most, seed) if gamma is None else merge_small(g, partition(g, gamma, seed))
         stay = stability(g, member, most, seed) if with_stability else [0.0] * g.n
         return pd.DataFrame({"repo": ns.repo, "id": ids, "cluster": member, "stability": stay})
 

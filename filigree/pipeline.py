@@ -157,7 +157,9 @@ def map_facts(ix: Index, max_domains: int = cluster.MAX_DOMAINS, seed: int = clu
     cls = {r[0]: r[1] for r in ix.files.groupBy("class").count().collect()}
     out_of = {"generated": cls.get("generated", 0), "declarations": cls.get("vendored", 0), "config": cls.get("config", 0)}
     said = {"relations": render.relations(pairs.count() if has_log else None, url.count(), sem.count()), "boundary": render.boundary(out_of, ix.outcomes.where("outcome = 'unresolved'").count())}
-    return said | {"files": total, "rate": rate.rate if rate else 1.0, "confidence": sum(d["confidence"]["score"] * len(d["files"]) for d in domains) / max(1, total), "frameworks": ix.profile.frameworks(), "hubs": hubs, "domains": domains}
+    for d, r in zip(domains, names):
+        d["cluster"] = r.cluster
+    return said | {"tables": (n, fused, m)} | {"files": total, "rate": rate.rate if rate else 1.0, "confidence": sum(d["confidence"]["score"] * len(d["files"]) for d in domains) / max(1, total), "frameworks": ix.profile.frameworks(), "hubs": hubs, "domains": domains}
 
 
 def _group(df: DataFrame, col: str) -> dict[int, list[tuple[int, str]]]:
@@ -167,14 +169,29 @@ def _group(df: DataFrame, col: str) -> dict[int, list[tuple[int, str]]]:
     return out
 
 
+def coarse_pages(facts: dict, seed: int) -> list[dict]:
+    """The units of a split map: coarse clusters with outside links, and buckets by top directory, each with its domains."""
+    n, fused, m = facts["tables"]
+    coarse = cluster.cluster_kernel(n, fused, seed=seed, with_stability=False, gamma=cluster.COARSE_GAMMA).select("repo", "id", "cluster")
+    parent = {r.cluster: (r.kind, r.unit) for r in summary.nest(m, summary.coarse_units(coarse, n, fused)).collect()}
+    units: dict[tuple[str, str], dict] = {}
+    for d in facts["domains"]:
+        kind, unit = parent[d["cluster"]]
+        u = units.setdefault((kind, unit), {"label": d["name"] if kind == "full" else f"Files in {unit}", "domains": [], "terms": [], "budget": 0})
+        u["domains"].append(d)
+        u["terms"] = (u["terms"] + d["terms"])[:8]
+        u["budget"] = min(summary.BUDGET_MOST, u["budget"] + d["budget"])
+    return list(units.values())
+
+
 def write_map(ix: Index, budget: int = 4000, max_domains: int = cluster.MAX_DOMAINS, seed: int = cluster.SEED) -> str:
     """Write ``CODEBASE.md`` (split into domain pages if it does not fit) and ``index.json``; returns the root page."""
     facts = map_facts(ix, max_domains, seed)
     text, fits = render.fitted_map(ix.profile.name or ix.repo, facts, budget)
     here = ix.root / INDEX_DIR
     if not fits:
-        slugs = assign_slugs([d["name"] for d in facts["domains"]])
-        text, pages = render.split_map(ix.profile.name or ix.repo, facts, slugs)
+        units = coarse_pages(facts, seed)
+        text, pages = render.split_map(ix.profile.name or ix.repo, facts, units, assign_slugs([u["label"] for u in units]))
         for slug, page in pages.items():
             render.write_atomic(here / "domains" / f"{slug}.md", page)
     render.write_atomic(here / "CODEBASE.md", text)

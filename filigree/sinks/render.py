@@ -103,16 +103,21 @@ def fitted_map(title: str, facts: dict, budget: int) -> tuple[str, bool]:
     return text, False
 
 
-def split_map(title: str, facts: dict, slugs: list[str]) -> tuple[str, dict[str, str]]:
-    """A root page that points to one page per domain."""
+def split_map(title: str, facts: dict, units: list[dict], slugs: list[str]) -> tuple[str, dict[str, str]]:
+    """A root page that points to one page per unit; a unit has ``label``, ``domains``, ``terms`` and ``budget``.
+
+    A page keeps to its unit's budget by the ladder, and by dropping files from
+    the end of its list, which it then says.
+    """
     pages = {}
-    root = [f"# {title}", "", f"{facts['files']} files in {len(facts['domains'])} domains.", ""]
-    for d, slug in zip(facts["domains"], slugs, strict=True):
-        root.append(f"- [{d['name']}](domains/{slug}.md): {d['summary']}" + (f" Terms: {', '.join(d['terms'])}." if d["terms"] else ""))
-        one = {**facts, "domains": [d], "hubs": []}
-        for symbols, flows in LADDER:
-            pages[slug] = map_markdown(d["name"], one, symbols, flows) + "\nFiles:\n" + "\n".join(f"- `{p}`" for p in d["files"]) + "\n"
-            if count_tokens(pages[slug]) <= d["budget"]:
+    root = [f"# {title}", "", f"{facts['files']} files in {len(units)} units.", ""]
+    for u, slug in zip(units, slugs, strict=True):
+        files = [p for d in u["domains"] for p in d["files"]]
+        root.append(f"- [{u['label']}](domains/{slug}.md): {len(files)} files; " + "; ".join(d["name"] for d in u["domains"]) + (f". Terms: {', '.join(u['terms'])}" if u["terms"] else "") + ".")
+        for (symbols, flows), shown in zip(LADDER, (len(files), 60, 60, 30, 15, 8, 4, 4)):
+            more = [f"- and {len(files) - shown} more"] * (len(files) > shown)
+            pages[slug] = map_markdown(u["label"], {**{k: v for k, v in facts.items() if k != "relations"}, "files": len(files), "domains": u["domains"], "hubs": []}, symbols, flows) + "\nFiles:\n" + "\n".join([*(f"- `{p}`" for p in files[:shown]), *more]) + "\n"
+            if count_tokens(pages[slug]) <= u["budget"]:
                 break
     return "\n".join(root) + "\n", pages
 

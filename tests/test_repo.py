@@ -129,7 +129,9 @@ def test_map_fits_or_splits(spark, tmp_path):
     assert index["files"] == 9 and sorted(f for c in index["clusters"] for f in c["files"]) == sorted(files)
     assert pipeline.write_map(ix) == text  # the same again
     root_page = pipeline.write_map(ix, budget=10)
-    assert "domains/authentication.md" in root_page and (root / ".filigree/domains/authentication.md").is_file()
+    # nothing links the three directories, so they ride in one bucket
+    assert "[Files in src](domains/files-in-src.md): 9 files; Authentication; Billing; Search" in root_page
+    assert "## Billing" in (root / ".filigree/domains/files-in-src.md").read_text()
 
 
 def test_script_facts():
