@@ -298,6 +298,7 @@ class Parser:
         self._close: dict | None = None
         self.no_in, self.ambient, self.target = False, False, False
         self.plain_arrows = self.typed_arrows = 0
+        self.tried: dict[tuple, int | Bad] = {}
         self.errors: list[tuple[int, str]] = []
 
     # -- small helpers -------------------------------------------------
@@ -1194,18 +1195,23 @@ class Parser:
         c = k[p]
         if c == "?":
             old, self.no_in = self.no_in, False
-            typed = self.typed_arrows
-            q = self.attempt(self.assign, self.nl(p + 1))
-            if (q < 0 or k[self.nl(q)] != ":") and self.typed_arrows == typed:
-                q = self.assign(self.nl(p + 1))  # raises the error again
-            elif q < 0 or k[self.nl(q)] != ":":  # the colon may have been taken for a return type
+            typed, found, bad = self.typed_arrows, len(self.errors), None
+            try:
+                q = self.assign(self.nl(p + 1))
+            except Bad as e:
+                q, bad = -1, e
+            if (q < 0 or k[self.nl(q)] != ":") and self.typed_arrows != typed:
+                # the colon may have been taken for a return type; without typed arrows there is no third try
+                del self.errors[found:]
                 self.plain_arrows += 1
                 try:
                     q = self.assign(self.nl(p + 1))
                 finally:
                     self.plain_arrows -= 1
+            elif bad is not None:
+                raise bad
             self.no_in = old
-            return self.assign(self.nl(self.need(q, ":")))
+            return self.again(self.nl(self.need(q, ":")))
         if c == ">" and _SHIFT_ASSIGN.match(k, p):
             p = k.index("=", p)
             c = "="
@@ -1246,7 +1252,25 @@ class Parser:
         p = self.nl(p)
         if self.k[p] == "{":
             return self.block(p)
-        return self.assign(p)
+        return self.again(p)
+
+    def again(self, p: int) -> int:
+        """``assign`` where two readings of a conditional may both come by: each outcome is kept."""
+        key = (p, self.no_in, self.plain_arrows > 0)
+        known = self.tried.get(key)
+        if known is not None:
+            if isinstance(known, Bad):
+                raise known
+            return known
+        found = len(self.errors)
+        try:
+            q = self.assign(p)
+        except Bad as e:
+            self.tried[key] = e
+            raise
+        if len(self.errors) == found:
+            self.tried[key] = q
+        return q
 
     def binary(self, p: int, least: int) -> int:
         k = self.k

@@ -125,3 +125,15 @@ def test_shared_subtrees_and_mirrors(spark):
     # the small file is vendored only where its whole directory is; a mirror is no second repository
     assert got == {1: ["vendored"], 2: ["vendored"], 4: ["vendored"], 5: ["vendored"]}
     assert origin.classify_origin(f.limit(0)).count() == 0
+
+
+def test_ambiguous_and_nested_texts_stay_cheap():
+    import time
+
+    cases = ["x = " + "a ? (b): c => (d ? (e): " * 60 + "f", "x = " + "a ? (b) : (c) => " * 60 + "d;", "x = " + "a<(b<(c<(" * 25 + "d" + "))))" * 25 + ";", "x = " + "(" * 300 + "1" + ")" * 300 + ";", "x = `a${" * 60 + "b" + "}`" * 60 + ";"]
+    start = time.perf_counter()
+    for t in cases:
+        for ts, jsx in MODES.values():
+            syntax_js.errors(t, ts, jsx)
+        origin.sorts(t, "js")
+    assert time.perf_counter() - start < 20
