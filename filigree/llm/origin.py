@@ -52,31 +52,6 @@ _SHAPE = re.compile(r"'[^'\n]*'|\"[^\"\n]*\"|[A-Za-z_$][\w$]*|\d[\w.]*")
 _NUMBER = re.compile(r"\d+")
 _LITERAL = r"(?:-?\d[\w.]*|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|true|false|null|None|True|False|undefined)"
 _DATA_LINE = re.compile(rf"^[\[\](){{}}\s,]*+(?:(?:(?:[\w$]++|{_LITERAL})\s*+:\s*+)?[\[({{]*+\s*+{_LITERAL}[\])}}]*+\s*+(?:,\s*+|$))++[\[\](){{}};\s,]*+$")
-_LITERALS = 0.85, 24
-#: Minified: least mean length of the long lines' share, and most white space in them.
-LONG_LINE, LONG_SHARE, MOST_SPACE = 200, 0.6, 0.08
-
-# What tools write at the head or foot of their output (a whole comment line, without its marks).
-GENERATED_LINE = re.compile(
-    r"^(?:!+ *)?(?:@generated\b.*|code generated (?:by|from|with)\b.*|<auto-generated\b.*|auto-?generated(?: (?:on|by|from|with)\b| ?\(|[.:!]?$).*"
-    r"|this (?:file|module|code) (?:was|is|has been) (?:automatically |auto-?)generated\b.*|generated (?:by|from|with) .*do not (?:edit|modify).*"
-    r"|(?:machine-(?:written|generated)) (?:output|code|file)\b.*|(?:produced|emitted|written) by .*(?:changes made here are lost|rebuild|regenerate|instead of).*"
-    r"|source: \S+ +checksum: \S+.*)$",
-    re.I,
-)
-# How copies of packages are marked.
-VENDORED_LINE = re.compile(
-    r"^(?:vendored (?:from|copy of) \S.*|copied (?:unchanged|verbatim) from (?:the )?\S+.*|\(c\) the \S+ authors\. released under the terms in \S+.*|@license\b.*|copyright the \S+ contributors.*)$",
-    re.I,
-)
-_JS_COMMENT = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`)|//[^\n]*|/\*[\s\S]*?\*/")
-_PY_COMMENT = re.compile(r"(\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|#[^\n]*")
-_HTML_COMMENT = re.compile(r"<!--[\s\S]*?-->")
-_IMPORT = re.compile(r"^(?:import\b|from\s+\S+\s+import\b|export\s*(?:\{[^}]*\}|\*[^;]*)\s*from\b|(?:const|let|var)\s*(?:\{[^}]*\}|\w+)\s*=\s*(?:require|import)\s*\()")
-_SHAPE = re.compile(r"'[^'\n]*'|\"[^\"\n]*\"|[A-Za-z_$][\w$]*|\d[\w.]*")
-_NUMBER = re.compile(r"\d+")
-_LITERAL = r"(?:-?\d[\w.]*|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|true|false|null|None|True|False|undefined)"
-_DATA_LINE = re.compile(rf"^[\[\](){{}}\s,]*(?:(?:(?:[\w$]+|{_LITERAL})\s*:\s*)?[\[({{]*\s*{_LITERAL}[\])}}]*\s*(?:,\s*|$))+[\[\](){{}};\s,]*$")
 _LITERALS = re.compile(_LITERAL)
 _DATA_FRAME = re.compile(r"^(?:(?:export\s+)?(?:default\b|(?:const|let|var)\s+[\w$]+(?:\s*:\s*[^=]+)?\s*=|module\.exports\s*=|exports\.[\w$]+\s*=|[\w$]+\s*(?::\s*[^=]+)?=))?(?:[\[\](){};,\s]|(?:as const|frozenset|tuple|bytes\.fromhex|JSON\.parse|Object\.freeze)\b)*+$")
 _BLOB = re.compile(r"['\"`]([A-Za-z0-9+/=_\\-]{40,})['\"`]")
@@ -156,7 +131,7 @@ def is_data(code: list[str]) -> bool:
         return True
     data = literals = frames = 0
     for line in code:
-        if len(line) < 5000 and _DATA_LINE.match(line):
+        if _DATA_LINE.match(line):
             data += len(line)
             literals += len(_LITERALS.findall(line))
         elif _DATA_FRAME.match(line):

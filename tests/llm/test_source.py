@@ -137,3 +137,23 @@ def test_ambiguous_and_nested_texts_stay_cheap():
             syntax_js.errors(t, ts, jsx)
         origin.sorts(t, "js")
     assert time.perf_counter() - start < 20
+
+
+def test_data_on_long_lines_and_ambiguous_lists():
+    import signal
+
+    line = ", ".join(str(i * 7919 % 100003) for i in range(7500))
+    assert len(line) > 50_000
+    assert origin.sorts(f"export const T = [\n{line}\n];\n", "ts") == ["data"]
+
+    def late(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(10)
+    try:
+        for n in (30, 30_000):
+            assert origin.sorts("const x = [\n" + ", ".join(["1"] * n) + ", name\n];\n", "ts") == []
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
