@@ -96,30 +96,60 @@ def null_model(b: DataFrame, counts: DataFrame) -> DataFrame:
     return hi.unionByName(hb).groupBy("grp").applyInPandas(fit, "grp string, side int, n long, c long, v double")
 
 
-def poisson_binomial_tail(q: np.ndarray, m: np.ndarray, k: int, extra: int = 64) -> float:
-    """P(X >= k) for X a sum of Binomial(m_j, q_j): exact convolution of the truncated mass functions.
+def _tilt(q: np.ndarray, m: np.ndarray, k: int) -> tuple[float, np.ndarray]:
+    """The shift t of all log odds that moves the mean of the sum to within a half of k, and the shifted q."""
+    odds = np.log(q) - np.log1p(-q)
+    shifted = lambda t: 1 / (1 + np.exp(-np.clip(odds + t, -700, 700)))
+    low, high, t = 0.0, 1.0, 0.0
+    while float((shifted(high) * m).sum()) < k - 0.25:
+        low, high = high, 2 * high
+    for _ in range(200):
+        p = shifted(t)
+        off = float((p * m).sum()) - k
+        if abs(off) <= 0.25:
+            break
+        low, high = (low, t) if off > 0 else (t, high)
+        t -= off / max(float((p * (1 - p) * m).sum()), 1e-300)
+        if not low < t < high:
+            t = (low + high) / 2
+    return t, shifted(t)
+
 
-    Above the mean the upper terms are added directly, so that small tails
-    keep their digits; below it the complement of the lower terms is taken.
+def poisson_binomial_tail(q: np.ndarray, m: np.ndarray, k: int) -> float:
+    """P(X >= k) for X a sum of Binomial(m_j, q_j), by Fourier inversion around k.
+
+    Above the mean all log odds are first shifted by the same t, which puts the
+    mean at k and multiplies P(X = x) by exp(t x) / M(t); so small tails keep
+    their digits.  The window of the inversion follows from Bernstein's bound:
+    less than 1e-30 of the shifted mass lies outside, on either side.
     """
-    mean = float((q * m).sum())
+    k -= int(m[q >= 1].sum())
+    use = (q > 0) & (q < 1) & (m > 0)
+    q, m = q[use], m[use]
     if k <= 0:
         return 1.0
-    if k > m.sum():
-        return 0.0
-    length = k + extra if k > mean else k
-    pmf = np.zeros(length)
-    pmf[0] = 1.0
-    for qj, mj in zip(q, m):
-        mj = int(mj)
-        if qj <= 0 or mj == 0:
-            continue
-        qj = min(qj, 1 - 1e-12)
-        top = min(mj, length - 1)
-        j = np.arange(1, top + 1)
-        logs = np.concatenate([[mj * np.log1p(-qj)], np.log((mj - j + 1) / j) + np.log(qj) - np.log1p(-qj)]).cumsum()
-        pmf = np.convolve(pmf, np.exp(logs))[:length]
-    return float(min(1.0, pmf[k:].sum() if k > mean else max(0.0, 1.0 - pmf.sum())))
+    if k >= m.sum():
+        return float(np.exp((m * np.log(q)).sum())) if k == m.sum() else 0.0
+    t, p = _tilt(q, m, k) if k > float((q * m).sum()) else (0.0, q)
+    mean, var = float((p * m).sum()), float((p * (1 - p) * m).sum())
+    bound = np.log(2e30)
+    half = int(bound / 3 + np.sqrt(bound * bound / 9 + 2 * bound * var)) + 2
+    centre = round(mean)
+    if k <= centre - half:
+        return 1.0
+    size = 1 << int(2 * half).bit_length()
+    spectrum = []
+    for w in np.array_split(2 * np.pi * np.arange(size // 2 + 1) / size, size // 8192 + 1):
+        s, c = np.sin(w)[:, None], np.cos(w)[:, None]
+        level = 0.5 * np.log(np.maximum(1 - 4 * p * (1 - p) * np.sin(w / 2)[:, None] ** 2, 1e-300))
+        # the angle less p w, so that large sums of it keep their digits
+        angle = np.arctan2(p * s, 1 - p + p * c) - p * w[:, None]
+        spectrum.append(np.exp((level * m).sum(1) - 1j * ((angle * m).sum(1) + (mean - centre) * w)))
+    mass = np.maximum(np.fft.fftshift(np.fft.irfft(np.concatenate(spectrum), size)), 0.0)
+    x = np.arange(k, centre + half)
+    weight = np.exp(-t * (x - k))
+    scale = float((m * np.log1p(q * np.expm1(t))).sum()) - t * k
+    return float(min(1.0, np.exp(scale) * (mass[x - centre + size // 2] * weight).sum()))
 
 
 def surprise(pairs: DataFrame, counts: DataFrame, b: DataFrame) -> DataFrame:

@@ -117,6 +117,22 @@ def test_poisson_binomial_tail_is_exact():
     assert 0 < cooccur.poisson_binomial_tail(np.array([1e-4]), np.array([1000.0]), 8) < 1e-12
 
 
+def test_poisson_binomial_tail_of_large_counts():
+    def binomial(n, q, k):
+        first, term, total = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(q) + (n - k) * math.log1p(-q)), 1.0, 0.0
+        for j in range(k, n + 1):
+            total += term
+            term *= (n - j) / (j + 1) * q / (1 - q)
+            if term < 1e-30:
+                break
+        return first * total
+
+    for n, q, k in ((200_000, 0.5, 100_001), (200_000, 0.5, 101_300), (1_000_000, 0.1, 100_001), (1_000_000, 0.1, 101_680)):
+        got = [cooccur.poisson_binomial_tail(np.full(c, q), np.full(c, n / c), k) for c in (1, 50)]
+        assert np.allclose(got, binomial(n, q, k), rtol=1e-6, atol=0)
+    assert abs(cooccur.poisson_binomial_tail(np.array([0.5]), np.array([200_000.0]), 100_000) - 0.5) < 1e-3
+
+
 def test_fit_keeps_both_margins():
     n, c, z, m = np.array([1.0, 3, 9]), np.array([9.0, 5, 2]), np.array([1.0, 3, 6]), np.array([9.0, 3, 4])
     n[2] = ((z * m).sum() - (n[:2] * c[:2]).sum()) / c[2]
