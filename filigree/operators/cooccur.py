@@ -187,9 +187,10 @@ def surprise(pairs: DataFrame, counts: DataFrame, b: DataFrame) -> DataFrame:
 def false_discovery(scored: DataFrame, counts: DataFrame, alpha: float) -> DataFrame:
     """Add ``significant`` by the Benjamini-Hochberg rule within each group.
 
-    All pairs of the group's items count as tests; those below the support
-    have their p-values above any threshold, which only makes the rule
-    stricter.  Equal p-values are counted first, and the running count runs
+    All pairs of the group's items count as tests; those never seen together
+    have p-value 1.  A support above 1 takes pairs out of the ranks that may
+    have small p-values, so ``scored`` should hold every pair that was seen.
+    Equal p-values are counted first, and the running count runs
     over distinct values.
     """
     tests = counts.groupBy("grp").agg((F.count("*") * (F.count("*") - 1) / 2).alias("tests"))

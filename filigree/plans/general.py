@@ -26,13 +26,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_surprise(spark: SparkSession, d: str) -> DataFrame:
-    s = cooccur.surprising_pairs(table(spark, d, "commits"), support=5)
+    s = cooccur.surprising_pairs(table(spark, d, "commits"), support=1)
     return s.select(F.col("grp").alias("repo"), F.col("a").alias("path_a"), F.col("b").alias("path_b"), "nab", "na", "nb", "n", F.round("lift", 6).alias("lift"), F.round("expected", 6).alias("expected"), "p_value", "significant")
 
 
 def p3_pair_counts(spark: SparkSession, d: str) -> DataFrame:
     b = cooccur.baskets(table(spark, d, "commits"))
-    p = cooccur.pair_counts(b, cooccur.item_counts(b), 3)
+    p = cooccur.pair_counts(b, cooccur.item_counts(b), 1)
     return p.select(F.col("grp").alias("repo"), F.col("a").alias("path_a"), F.col("b").alias("path_b"), "nab")
 
 

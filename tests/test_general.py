@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filigree.operators import cooccur, incremental, orphans, salted, skew
+from filigree.plans import general
 
 T = lambda d: dt.datetime(2024, 1, d)
 FILES = "id long, repo string, rel string, hash string, first_seen timestamp, deleted_at timestamp"
@@ -108,6 +109,17 @@ def test_surprise_finds_the_planted_pair(spark):
     assert cooccur.surprising_pairs(df.limit(0)).count() == 0
 
 
+def test_registered_queries_keep_rare_pairs(spark, tmp_path):
+    data = [(f"c{i}", "r", i, [f"f{i % 40}", f"g{i % 37}"]) for i in range(400)] + [(f"s{i}", "r", i, ["rare/a", "rare/b"]) for i in range(4)]
+    spark.createDataFrame(data, "commit_id string, repo string, seconds long, files array<string>").write.parquet(str(tmp_path / "commits.parquet"))
+    want = Counter(tuple(sorted(fs)) for _, _, _, fs in data)
+    assert min(want.values()) == 1
+    assert {(r.path_a, r.path_b): r.nab for r in general.p3_pair_counts(spark, str(tmp_path)).collect()} == want
+    got = {(r.path_a, r.path_b): r for r in general.p3_surprise(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want)
+    assert [k for k, r in got.items() if r.significant] == [("rare/a", "rare/b")]
+
+
 def test_poisson_binomial_tail_is_exact():
     q, m = np.array([0.1, 0.4, 0.7]), np.array([3.0, 2.0, 2.0])
     p = [x for x, k in zip(q, m) for _ in range(int(k))]
