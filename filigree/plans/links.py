@@ -21,7 +21,7 @@ def semantic_join(spark: SparkSession, d: str) -> DataFrame:
 
 def _includes(spark: SparkSession, d: str, n: DataFrame) -> DataFrame:
     e = A.edges(spark, d, n).join(n.where("python").select(F.col("id").alias("src")), "src").join(n.where("python").select(F.col("id").alias("dst")), "dst")
-    return e.where("src % 20 = dst % 20").select("repo", F.col("src").alias("file"), F.array(F.lit("v1"), F.concat(F.lit("m"), (F.col("src") % 3).cast("string"))).alias("segments"), F.col("dst").alias("target"))
+    return e.select("repo", F.col("src").alias("file"), F.array(F.lit("v1"), F.concat(F.lit("m"), (F.col("src") % 3).cast("string"))).alias("segments"), F.col("dst").alias("target"))
 
 
 def route_include_stitch(spark: SparkSession, d: str) -> DataFrame:

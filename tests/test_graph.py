@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filigree.functions import names
 from filigree.operators import cluster, cochange, contracts, evals, freshness, graph, resolve, summary
+from filigree.plans import links
 
 NODE = "repo string, id long, rel string, python boolean, test boolean"
 
@@ -224,3 +225,16 @@ def test_ordered_matching_review_and_ceiling(spark):
     a = spark.createDataFrame([(1, "a"), (2, "x")], "task long, item string")
     c = evals.index_ceiling(a, spark.createDataFrame([(1, "a"), (3, "q")], "task long, item string")).first()
     assert (c.tasks, c.recall, c.full, c.passed) == (2, 0.5, 1, False)
+
+
+def tables(spark, d, files, edges, symbols):
+    """The tables that plans on links read, of present files of one repository."""
+    spark.createDataFrame([(i, "r", rel, None) for i, rel in files], "id long, repo string, rel string, deleted_at timestamp").write.parquet(f"{d}/files.parquet")
+    spark.createDataFrame(edges, "src long, dst long").write.parquet(f"{d}/edges.parquet")
+    spark.createDataFrame(symbols, "file long, name string, kind string, exported boolean").write.parquet(f"{d}/symbols.parquet")
+    return str(d)
+
+
+def test_every_python_import_brings_its_routes(spark, tmp_path):
+    d = tables(spark, tmp_path, [(1, "a.py"), (2, "b.py"), (22, "c.py"), (3, "d.ts")], [(1, 2), (22, 2), (2, 1), (3, 2)], [(2, "get_tags", "function", True)])
+    assert rows(links.route_include_stitch(spark, d)) == [("r", 1, "v1/m1/api/get/tags", "get_tags"), ("r", 2, "api/get/tags", "get_tags"), ("r", 22, "v1/m1/api/get/tags", "get_tags")]
