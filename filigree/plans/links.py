@@ -32,8 +32,7 @@ def route_include_stitch(spark: SparkSession, d: str) -> DataFrame:
 def http_closure(spark: SparkSession, d: str) -> DataFrame:
     n = cut(A.nodes(spark, d))
     s = A.symbols(spark, d, n).join(n.where("test").select(F.col("id").alias("file")), "file", "left_anti")
-    start = A.senders(spark, d, n).where("file % 7 = 0")
-    return contracts.http_files(start, A.extends(spark, d, n), s)
+    return contracts.http_files(A.senders(spark, d, n), A.extends(spark, d, n), s)
 
 
 def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -238,3 +238,8 @@ def tables(spark, d, files, edges, symbols):
 def test_every_python_import_brings_its_routes(spark, tmp_path):
     d = tables(spark, tmp_path, [(1, "a.py"), (2, "b.py"), (22, "c.py"), (3, "d.ts")], [(1, 2), (22, 2), (2, 1), (3, 2)], [(2, "get_tags", "function", True)])
     assert rows(links.route_include_stitch(spark, d)) == [("r", 1, "v1/m1/api/get/tags", "get_tags"), ("r", 2, "api/get/tags", "get_tags"), ("r", 22, "v1/m1/api/get/tags", "get_tags")]
+
+
+def test_every_sender_starts_the_closure(spark, tmp_path):
+    d = tables(spark, tmp_path, [(1, "base.ts"), (2, "sub.ts"), (3, "subsub.ts"), (4, "other.ts"), (7, "seventh.ts"), (8, "base.test.ts")], [(2, 1), (3, 2), (4, 3)], [(1, "Base", "class", True), (2, "sub", "function", True), (7, "SEVEN", "const", True), (8, "Tested", "class", True)])
+    assert rows(links.http_closure(spark, d)) == [("r", 1), ("r", 2), ("r", 7)]
