@@ -294,7 +294,7 @@ class Parser:
     def __init__(self, kinds: str, ts: bool, jsx: bool, stop: bool = False):
         self.stop = stop  # give up at the first error
         self.k, self.ts, self.jsx = kinds + END * 3, ts, jsx
-        self.memo = _MEMO.setdefault(ts, {})
+        self.memo = _MEMO.setdefault((ts, False), {})
         self._close: dict | None = None
         self.no_in, self.ambient, self.target = False, False, False
         self.plain_arrows = self.typed_arrows = 0
@@ -963,11 +963,12 @@ class Parser:
             return -1
         if k[p + 1] == W["global"]:
             return self.block(p + 2)
-        old, self.ambient = self.ambient, True
+        old, self.ambient = (self.ambient, self.memo), True
+        self.memo = _MEMO.setdefault((self.ts, True), {})
         try:
             return _RULES[k[p + 1]](self, p + 1)
         finally:
-            self.ambient = old
+            self.ambient, self.memo = old
 
     def _abstract(self, p: int) -> int:
         return self.class_tail(p + 2) if self.ts and self.k[p + 1] == W["class"] else -1

@@ -157,3 +157,10 @@ def test_data_on_long_lines_and_ambiguous_lists():
     finally:
         signal.alarm(0)
         signal.signal(signal.SIGALRM, before)
+
+
+def test_what_an_ambient_block_accepts_is_not_remembered_elsewhere():
+    plain, ambient = "const Q: string;\n", "declare namespace N {\n  const Q: string;\n}\n"
+    for _ in range(2):
+        assert syntax_js.errors(ambient, True, False) == []
+        assert syntax_js.errors(plain, True, False) and not syntax_js.accepts(plain, True, False)
