@@ -1,11 +1,11 @@
-"""Queries of the training-text problems (1, 5, 7, 8 and 9) and their SQL."""
+"""Queries of the training-text problems (1, 3, 5, 7, 8 and 9) and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm import canon, leaks, mixing, origin, syntax
+from filigree.llm import canon, cooccur, leaks, mixing, origin, syntax
 from filigree.session import table
 
 
@@ -21,6 +21,28 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.parse_rates(*[table(spark, d, t) for t in ("files", "symbols", "refs")])
 
 
+def _paths(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select(F.col("grp").alias("repo"), F.col("a").alias("path_a"), F.col("b").alias("path_b"), *columns)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(cooccur.lifted_pairs(table(spark, d, "commits"), 5, 3))
+
+
+def p3_surprise(spark: SparkSession, d: str) -> DataFrame:
+    s = cooccur.surprising_pairs(table(spark, d, "commits"))
+    return _paths(s, "nab", "na", "nb", "n", F.round("lift", 6).alias("lift"), F.round("expected", 6).alias("expected"), "p_value", "significant", "met")
+
+
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return cooccur.agreement(cooccur.surprising_pairs(table(spark, d, "commits")), 5, 3).withColumnRenamed("grp", "repo")
+
+
+def p3_pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    b, items = cooccur.numbered(cooccur.baskets(table(spark, d, "commits")))
+    return _paths(cooccur.named(cooccur.pair_counts(b, items, 1), items), "nab")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return origin.classify_origin(table(spark, d, "files")).select("file").distinct()
 
@@ -61,7 +83,7 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canon.canonical(table(spark, d, "documents").select("doc_id", "text").distinct()).select("doc_id", F.col("canon").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p5_found, p5_origin, p5_shared_subtrees, p7_found, p7_items, p8_mixture, p8_report, p9_found, p9_classes, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p3_found, p3_surprise, p3_agreement, p3_pair_counts, p5_found, p5_origin, p5_shared_subtrees, p7_found, p7_items, p8_mixture, p8_report, p9_found, p9_classes, p9_canonical)}
 
 _CANON = canon.canonical_sql("text")
 _WORDS = f"""
@@ -71,7 +93,24 @@ dn AS (SELECT doc_id, array_to_string(w[i:i + 14], ' ') AS g FROM docs, unnest(r
 n AS (SELECT item_id, array_to_string(w[i:i + 14], ' ') AS g FROM its, unnest(range(1, CAST(len(w) - 13 AS BIGINT))) AS t(i)),
 found AS (SELECT DISTINCT doc_id, item_id FROM dn JOIN n USING (g))"""
 
+_BASKETS = """
+entry AS (
+  SELECT DISTINCT repo, commit_id, regexp_replace(f, '\\s+$', '') AS path
+  FROM (SELECT repo, commit_id, unnest(files) AS f FROM commits) u
+  WHERE f IS NOT NULL AND regexp_replace(f, '\\s+$', '') <> ''),
+basket AS (SELECT repo, commit_id FROM entry GROUP BY repo, commit_id HAVING count(*) <= 50),
+kept AS (SELECT e.* FROM entry e JOIN basket b ON e.repo = b.repo AND e.commit_id = b.commit_id),
+item AS (SELECT repo, path, count(*) AS n FROM kept GROUP BY repo, path),
+total AS (SELECT repo, count(*) AS n FROM basket GROUP BY repo),
+pair AS (SELECT a.repo, a.path AS path_a, b.path AS path_b, count(*) AS nab
+  FROM kept a JOIN kept b ON a.repo = b.repo AND a.commit_id = b.commit_id AND a.path < b.path
+  GROUP BY a.repo, a.path, b.path)"""
+
 SQL = {
+    "p3_found": f"""WITH {_BASKETS}
+SELECT p.repo, p.path_a, p.path_b FROM pair p JOIN item a ON p.repo = a.repo AND p.path_a = a.path JOIN item b ON p.repo = b.repo AND p.path_b = b.path
+JOIN total t ON p.repo = t.repo WHERE p.nab >= 5 AND p.nab * t.n >= 3 * a.n * b.n""",
+    "p3_pair_counts": f"WITH {_BASKETS} SELECT repo, path_a, path_b, nab FROM pair",
     "p7_found": f"WITH {_WORDS} SELECT doc_id, item_id FROM found",
     "p7_items": f"""WITH {_WORDS} SELECT item_id, task_set, (SELECT count(*) FROM found f WHERE f.item_id = i.item_id) AS n_documents
 FROM (SELECT DISTINCT item_id, task_set FROM eval_items) i""",
