@@ -1,11 +1,11 @@
-"""Queries of the general data problems (2, 3, 4 and 6) and their SQL."""
+"""Queries of the general data problems (2, 4 and 6) and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.operators import cooccur, incremental, orphans, skew
+from filigree.operators import incremental, orphans, skew
 from filigree.session import table
 
 
@@ -18,24 +18,6 @@ def p2_target_state(spark: SparkSession, d: str) -> DataFrame:
     return s.select("repo", "rel", "run_id", "hash", "parse_hash")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    s = cooccur.surprising_pairs(table(spark, d, "commits"), support=5)
-    # the rule as stated, in exact integers, on pairs that the null has scored
-    hit = s.where(F.col("p_value").isNotNull() & (F.col("nab") * F.col("n") >= 3 * F.col("na") * F.col("nb")))
-    return hit.select(F.col("grp").alias("repo"), F.col("a").alias("path_a"), F.col("b").alias("path_b"))
-
-
-def p3_surprise(spark: SparkSession, d: str) -> DataFrame:
-    s = cooccur.surprising_pairs(table(spark, d, "commits"), support=1)
-    return s.select(F.col("grp").alias("repo"), F.col("a").alias("path_a"), F.col("b").alias("path_b"), "nab", "na", "nb", "n", F.round("lift", 6).alias("lift"), F.round("expected", 6).alias("expected"), "p_value", "significant")
-
-
-def p3_pair_counts(spark: SparkSession, d: str) -> DataFrame:
-    b = cooccur.baskets(table(spark, d, "commits"))
-    p = cooccur.pair_counts(b, cooccur.item_counts(b), 1)
-    return p.select(F.col("grp").alias("repo"), F.col("a").alias("path_a"), F.col("b").alias("path_b"), "nab")
-
-
 def _p4(spark: SparkSession, d: str) -> list[DataFrame]:
     return [table(spark, d, t) for t in ("refs", "edges", "files", "shared_files")]
 
@@ -72,7 +54,7 @@ def p6_seen_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return skew.exact_quantiles(e.select("key", "value"), [0.25, 0.5, 0.9]).select(F.col("key").alias("dst"), "n", "q", "value")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_target_state, p3_found, p3_surprise, p3_pair_counts, p4_found, p4_report, p4_current_orphans, p6_found, p6_counts, p6_seen_quantiles)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_target_state, p4_found, p4_report, p4_current_orphans, p6_found, p6_counts, p6_seen_quantiles)}
 
 _STATE = """
 state AS (
@@ -80,19 +62,6 @@ state AS (
          row_number() OVER (PARTITION BY s.repo, s.rel ORDER BY s.run_id DESC, s.hash DESC NULLS LAST, s.parse_hash DESC NULLS LAST) AS rn
   FROM stored_files s WHERE s.run_id IN (SELECT run_id FROM runs WHERE status = 'succeeded'))"""
 
-_BASKETS = """
-entry AS (
-  SELECT DISTINCT repo, commit_id, regexp_replace(f, '\\s+$', '') AS path
-  FROM (SELECT repo, commit_id, unnest(files) AS f FROM commits) u
-  WHERE f IS NOT NULL AND regexp_replace(f, '\\s+$', '') <> ''),
-basket AS (SELECT repo, commit_id FROM entry GROUP BY repo, commit_id HAVING count(*) <= 50),
-kept AS (SELECT e.* FROM entry e JOIN basket b ON e.repo = b.repo AND e.commit_id = b.commit_id),
-item AS (SELECT repo, path, count(*) AS n FROM kept GROUP BY repo, path),
-total AS (SELECT repo, count(*) AS n FROM basket GROUP BY repo),
-pair AS (SELECT a.repo, a.path AS path_a, b.path AS path_b, count(*) AS nab
-  FROM kept a JOIN kept b ON a.repo = b.repo AND a.commit_id = b.commit_id AND a.path < b.path
-  GROUP BY a.repo, a.path, b.path)"""
-
 _THERE = """
 f AS (SELECT DISTINCT id, repo, rel, first_seen, deleted_at FROM files),
 sh AS (SELECT DISTINCT id FROM shared_files),
@@ -143,10 +112,6 @@ WHERE f.deleted_at IS NULL AND NOT coalesce(s.hash = f.hash AND s.parse_hash = f
 UNION ALL
 SELECT DISTINCT 'head', r.repo, '' FROM repo_status r LEFT JOIN git g ON r.repo = g.repo AND g.rn = 1 WHERE NOT coalesce(g.head = r.head, false)""",
     "p2_target_state": f"WITH {_STATE} SELECT repo, rel, run_id, hash, parse_hash FROM state WHERE rn = 1",
-    "p3_found": f"""WITH {_BASKETS}
-SELECT p.repo, p.path_a, p.path_b FROM pair p JOIN item a ON p.repo = a.repo AND p.path_a = a.path JOIN item b ON p.repo = b.repo AND p.path_b = b.path
-JOIN total t ON p.repo = t.repo WHERE p.nab >= 5 AND p.nab * t.n >= 3 * a.n * b.n""",
-    "p3_pair_counts": f"WITH {_BASKETS} SELECT repo, path_a, path_b, nab FROM pair WHERE nab >= 3",
     "p4_found": f"""WITH {_THERE}
 SELECT DISTINCT 'refs' AS tab, file AS key_a, CAST(pos AS BIGINT) AS key_b FROM ref_row WHERE orphan
 UNION ALL SELECT DISTINCT 'edges', src, dst FROM live_edge WHERE NOT there""",
