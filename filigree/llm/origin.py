@@ -24,6 +24,8 @@ from filigree.session import staged
 
 #: Least code (characters without white space and comments) of a file or a directory whose sharing counts.
 SHARED_CHARS = 240
+#: Least share of the code of both, rare contents first, that forks of one repository have in common.
+FORK_SHARE = 0.6
 #: Least lines of a repeated layout, share of lines in at most four shapes, and share of lines in numbered runs.
 LEAST_LINES, SHAPE_SHARE, RUN_SHARE = 6, 0.85, 0.6
 #: Data: least share of the code in literal lines, and least literals.
@@ -71,7 +73,7 @@ def comment_lines(text: str, ext: str) -> list[str]:
     out: list[str] = []
     for side in (lines, lines[::-1]):
         block = False
-        for line in side[:60]:
+        for line in side:
             s = line.strip()
             if not s or s in ("<script>", '<script lang="ts">') or s.startswith("#!"):
                 continue
@@ -87,6 +89,16 @@ def shape(line: str) -> str:
     return _SHAPE.sub(lambda m: "0" if m.group()[0].isdigit() else "S" if m.group()[0] in "'\"" else "w", line)
 
 
+def follows(a: str, b: str) -> bool:
+    """Whether the digits ``b`` are the number after ``a``; of any length, in time linear in it."""
+    if len(a) < 18 and len(b) < 18:
+        return int(b) - int(a) == 1
+    a, b = a.lstrip("0"), b.lstrip("0")
+    kept = a.rstrip("9")
+    up = kept[:-1] + str(int(kept[-1]) + 1) if kept else "1"
+    return b == up + "0" * (len(a) - len(kept))
+
+
 def repeated_layout(code: list[str]) -> bool:
     """Lines of a few shapes whose numbers count on: the layout of emitted tables and accessors."""
     if len(code) < LEAST_LINES:
@@ -98,11 +110,11 @@ def repeated_layout(code: list[str]) -> bool:
     # numbers of the lines of one shape, by place: a counter goes up by one from line to line
     counted = 0
     for s in top:
-        rows = [[int(x) for x in _NUMBER.findall(line) if len(x) < 10] for line, t in zip(code, shapes) if t == s]
+        rows = [_NUMBER.findall(line) for line, t in zip(code, shapes) if t == s]
         if len(rows) < 3:
             continue
         width = min(map(len, rows))
-        steps = max((sum(b[j] - a[j] == 1 for a, b in zip(rows, rows[1:])) for j in range(width)), default=0)
+        steps = max((sum(follows(a[j], b[j]) for a, b in zip(rows, rows[1:])) for j in range(width)), default=0)
         if steps >= 0.7 * (len(rows) - 1):
             counted += len(rows)
     return counted >= RUN_SHARE * len(code)
@@ -179,7 +191,7 @@ def leaves(files: DataFrame) -> DataFrame:
 
 
 def merkle(leaf: DataFrame) -> DataFrame:
-    """All nodes of the directory trees: ``repo, path, depth, hash, chars, files``.
+    """All nodes of the directory trees: ``repo, path, depth, hash, chars, files, leaf``.
 
     ``path`` of a file is its ``rel``, of a directory its path, '' for the
     root.  A directory's hash is made from the sum and the number of its
@@ -188,30 +200,56 @@ def merkle(leaf: DataFrame) -> DataFrame:
     Levels are folded from the deepest up.
     """
     depth = F.size(F.split("rel", "/"))
-    nodes = leaf.where(F.col("rel").isNotNull()).select("repo", F.col("rel").alias("path"), depth.alias("depth"), "hash", "chars", F.lit(1).cast("long").alias("files")).distinct()
+    nodes = leaf.where(F.col("rel").isNotNull()).select("repo", F.col("rel").alias("path"), depth.alias("depth"), "hash", "chars", F.lit(1).cast("long").alias("files"), F.lit(True).alias("leaf")).distinct()
     nodes = staged(nodes, "leaves")
     top = nodes.agg(F.max("depth")).first()[0] or 0
     level, out = nodes.where(F.col("depth") == top), nodes
     for d in range(top - 1, -1, -1):
         dirs = level.groupBy("repo", dirname(F.col("path")).alias("path")).agg(F.sum(F.col("hash").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("files").alias("files"))
-        dirs = dirs.select("repo", "path", F.lit(d).alias("depth"), F.when((F.col("n") == 1), F.xxhash64(F.col("s"))).otherwise(F.xxhash64("s", "n")).alias("hash"), "chars", "files")
+        dirs = dirs.select("repo", "path", F.lit(d).alias("depth"), F.when((F.col("n") == 1), F.xxhash64(F.col("s"))).otherwise(F.xxhash64("s", "n")).alias("hash"), "chars", "files", F.lit(False).alias("leaf"))
         dirs = staged(dirs, "level")
         out = out.unionByName(dirs)
         level = dirs.unionByName(nodes.where(F.col("depth") == d)) if d else dirs
     return out
 
 
+def families(nodes: DataFrame) -> DataFrame:
+    """Repositories that are forks or mirrors of one another: ``repo, family``, one row per repository.
+
+    Every file content names the first repository that holds it; a repository
+    joins the one that it shares most code with in this way, if that is at
+    least ``FORK_SHARE`` of the code of both.  A content counts the less the
+    more repositories hold it, so packages that many have relate nobody.  One
+    row per (content, repository) is summed, whatever their numbers: no pairs
+    of repositories are formed.  A repository names an earlier one, so chains
+    end; they are followed by doubling.
+    """
+    holds = nodes.where(F.col("leaf") & (F.col("chars") > 0)).select("hash", "repo").distinct()
+    n = holds.groupBy("hash").agg(F.count("*").alias("n"), F.min("repo").alias("to"))
+    per = staged(salted_join(holds, n, ["hash"]).select("repo", "to", (1 / (1 + F.log("n"))).alias("w")).groupBy("repo", "to").agg(F.sum("w").alias("w")), "holds")
+    whole = per.groupBy("repo").agg(F.sum("w").alias("whole"))
+    links = per.where("repo <> to").join(whole, "repo").where(F.col("w") >= FORK_SHARE * F.col("whole"))
+    links = links.join(whole.select(F.col("repo").alias("to"), F.col("whole").alias("other")), "to").where(F.col("w") >= FORK_SHARE * F.col("other"))
+    links = staged(links.groupBy("repo").agg(F.max_by("to", F.struct("w", "to")).alias("to")), "forks")
+    while True:
+        on = links.alias("a").join(links.alias("b"), F.col("a.to") == F.col("b.repo"), "left")
+        links = staged(on.select("a.repo", F.coalesce("b.to", "a.to").alias("to"), F.col("b.to").isNotNull().alias("far")), "forks")
+        if links.where("far").isEmpty():
+            break
+        links = links.select("repo", "to")
+    return whole.select("repo").join(links, "repo", "left").select("repo", F.coalesce("to", "repo").alias("family"))
+
+
 def shared_subtrees(nodes: DataFrame) -> DataFrame:
     """Topmost paths ``repo, path`` whose hash occurs in several unrelated repositories.
 
-    Repositories with equal root hashes are mirrors and count once.  Roots
+    Forks and mirrors of one repository count once (``families``).  Roots
     themselves are never vendored; nodes with less than ``SHARED_CHARS`` of
     code say nothing.
     """
-    family = nodes.where("depth = 0").select("repo", F.col("hash").alias("family"))
     big = nodes.where((F.col("depth") > 0) & (F.col("chars") >= SHARED_CHARS)).select("repo", "path", "hash")
     # one row per (hash, repository) before the count: a file copied within one repository is one occurrence
-    seen = big.select("hash", "repo").distinct().join(family, "repo", "left").select("hash", F.coalesce("family", F.xxhash64("repo")).alias("family")).distinct()
+    seen = big.select("hash", "repo").distinct().join(families(nodes), "repo", "left").select("hash", F.coalesce("family", "repo").alias("family")).distinct()
     many = seen.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     return big.join(many, "hash", "left_semi").select("repo", "path").distinct()
 

@@ -127,6 +127,36 @@ def test_shared_subtrees_and_mirrors(spark):
     assert origin.classify_origin(f.limit(0)).count() == 0
 
 
+def _code(tag, n=8):
+    return "".join(f"export function {tag}{c}(x) {{ return x.{c}{c} + {tag}({ord(c) * 7 % 31}, 'value of {c}'); }}\n" for c in "abcdefghijkl"[:n])
+
+
+def test_forks_are_one_family(spark):
+    own = {f"src/{t}.ts": _code(t) for t in ("alpha", "beta", "gamma", "delta")}
+    package = {f"{t}.ts": _code(t) for t in ("pack", "pick")}
+    rows = [(repo, rel, text) for repo in ("base", "fork", "fork2") for rel, text in own.items()]
+    rows = [(r, p, t + f"export const only = '{r}';\n" if (r, p) == ("fork", "src/beta.ts") else t.replace("value", "worth") if (r, p) == ("fork2", "src/gamma.ts") else t) for r, p, t in rows]
+    # a package that the forks and an unrelated repository hold is vendored in all of them
+    rows += [(r, f"lib/{p}", t) for r in ("base", "fork", "fork2", "zoo") for p, t in package.items()]
+    rows += [("zoo", f"src/{t}.ts", _code(t)) for t in ("lion", "puma", "lynx")]
+    f = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, repo string, rel string, text string")
+    got = {rows[r.file][:2] for r in origin.classify_origin(f).collect()}
+    assert got == {(r, f"lib/{p}") for r in ("base", "fork", "fork2", "zoo") for p in package}
+    fam = {r.repo: r.family for r in origin.families(origin.merkle(origin.leaves(f).distinct())).collect()}
+    assert fam == {"base": "base", "fork": "base", "fork2": "base", "zoo": "zoo"}
+
+
+def test_headers_behind_many_comments_and_long_counters():
+    head = "// one more line of the licence\n" * 200
+    body = "export const a = () => make('x');\n"
+    assert origin.sorts(head + "// @generated by mill\n" + body, "ts") == ["generated"] and origin.sorts(head + body, "ts") == []
+    assert origin.sorts(body + "// @generated by mill\n" + head, "ts") == ["generated"]
+    for start in (10**11 - 4, 10**30 - 4):
+        assert all(origin.follows(str(start + i), str(start + i + 1)) for i in range(9))
+        assert origin.sorts("".join(f"export const a{start + i} = field('{'xyz'[i % 3]}');\n" for i in range(12)), "ts") == ["generated"]
+    assert origin.follows("9" * 5000, "1" + "0" * 5000) and not origin.follows("9" * 5000, "9" * 5000) and not origin.follows("12", "14")
+
+
 def test_ambiguous_and_nested_texts_stay_cheap():
     import time
 
