@@ -102,6 +102,44 @@ def test_splitting_tree_divides_exactly():
         assert sorted(i * s % n for i in range(n)) == list(range(n))
 
 
+def test_splitting_tree_has_no_size_limit():
+    k = [2_000_000_000, 10**12, 7, 0]
+    m = mixing.splitting_tree(k, 48, 3)
+    assert m.sum(0).tolist() == k and (m >= 0).all() and m.sum(1).max() - m.sum(1).min() <= 6
+    due = 2e9 / 48
+    assert 0 < np.abs(m[:, 0] - due).max() < 6 * np.sqrt(due)
+    # the large draw is as even as numpy's own below its limit
+    big, small = (np.array([mixing.take(np.random.default_rng(i), np.array([3 * n, n]), 2 * n)[0] for i in range(300)]) for n in (500_000_000, 200_000_000))
+    for x, n in ((big, 500_000_000), (small, 200_000_000)):
+        sd = np.sqrt(2 * n * 0.75 * 0.25 * (2 * n) / (4 * n - 1))
+        assert abs(x.mean() - 1.5 * n) < 4 * sd / np.sqrt(300) and 0.8 < x.std() / sd < 1.2
+    few = mixing.take(np.random.default_rng(1), np.array([10**12, 0, 10**12]), 50)
+    assert few.sum() == 50 and few[1] == 0
+    # a subtree split by a task gives what the driver would have
+    whole = mixing.split((0, 48, np.array(k), np.zeros(4, "int64")), 1, 3)
+    parts = [x for n in mixing.split((0, 48, np.array(k), np.zeros(4, "int64")), 5, 3) for x in mixing.split(n, 1, 3)]
+    assert all(a[:2] == b[:2] and (a[2] == b[2]).all() and (a[3] == b[3]).all() for a, b in zip(whole, parts, strict=True))
+    assert mixing._step(4 * 10**9, 7) * (4 * 10**9) < 2**63
+
+
+def test_shards_hold_their_blocks_to_the_document(mixed, spark, monkeypatch):
+    d, t = mixed
+    for top in (1024, 2):
+        monkeypatch.setattr(mixing, "TOP", top)
+        m = mixing.mixture(d, t, total=600, shards=5, block_tokens=20).collect()
+        drawn = {s: sum(r.tokens for r in m if r.source == s) for s in ("repo_docs", "small")}
+        blocks = [-(-drawn[s] // 20) for s in ("repo_docs", "small")]
+        tree = mixing.splitting_tree(blocks, 5, 7)
+        for j, s in enumerate(("repo_docs", "small")):
+            longest = max(r.tokens for r in m if r.source == s)
+            for shard in range(5):
+                got, n = sum(r.tokens for r in m if r.source == s and r.shard == shard), int(tree[shard, j])
+                assert (n - 1) * (20 - longest) <= got <= n * (20 + longest)
+    assert max(r.shard for r in mixing.mixture(d, t, total=600, block_tokens=2).collect()) == 15
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 10)
+    assert max(r.shard for r in mixing.mixture(d, t, total=600, block_tokens=2).collect()) > 15
+
+
 @pytest.fixture
 def mixed(spark):
     r = random.Random(2)
