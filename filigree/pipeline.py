@@ -172,7 +172,7 @@ def _group(df: DataFrame, col: str) -> dict[int, list[tuple[int, str]]]:
 def coarse_pages(facts: dict, seed: int) -> list[dict]:
     """The units of a split map: coarse clusters with outside links, and buckets by top directory, each with its domains."""
     n, fused, m = facts["tables"]
-    coarse = cluster.cluster_kernel(n, fused, seed=seed, with_stability=False, gamma=cluster.COARSE_GAMMA).select("repo", "id", "cluster")
+    coarse = cluster.clusters(n, fused, most=1 << 30, seed=seed, ladder=(cluster.COARSE_GAMMA,), runs=0).select("repo", "id", "cluster")
     parent = {r.cluster: (r.kind, r.unit) for r in summary.nest(m, summary.coarse_units(coarse, n, fused)).collect()}
     units: dict[tuple[str, str], dict] = {}
     for d in facts["domains"]:

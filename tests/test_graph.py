@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,33 +127,66 @@ def test_cochange_credit(spark):
     assert {r.id: r.n for r in cochange.churn(t).collect()} == {0: 2, 1: 2, 2: 3, 3: 2}
 
 
-def two_cliques():
-    pairs = [(i, j, 1.0) for b in (0, 5) for i in range(b, b + 5) for j in range(i + 1, b + 5)]
-    return cluster.Graph(10, [*pairs, (4, 5, 0.1)])
+CLIQUES = [(i, j, 1.0) for b in (0, 5) for i in range(b, b + 5) for j in range(i + 1, b + 5)] + [(4, 5, 0.1)]
 
 
-def test_kernel_finds_two_cliques_and_repeats():
-    m = cluster.partition(two_cliques(), 1.0, 7)
-    assert m[:5] == [m[0]] * 5 and m[5:] == [m[5]] * 5 and m[0] != m[5]
-    assert m == cluster.partition(two_cliques(), 1.0, 7)
-    assert all(s == 1.0 for s in cluster.stability(two_cliques(), cluster.targeting(two_cliques())))
+def graph_of(n, pairs):
+    return cluster.Graph.of(range(n), *zip(*pairs))
+
+
+def test_arrays_find_two_cliques_and_repeat():
+    g = graph_of(10, CLIQUES)
+    m = cluster.partition(g, 1.0, 7).tolist()
+    assert m == [0] * 5 + [5] * 5 == cluster.partition(g, 1.0, 7).tolist()
+    assert (cluster.stability(g, cluster.targeting(g)) == 1.0).all()
+
+
+def random_pairs(r, n, m, first=0):
+    return [(first + a, first + b, r.choice([1.0, 0.5, 1 / 3])) for a, b in sorted({tuple(sorted((r.randrange(n), r.randrange(n)))) for _ in range(m)}) if a != b]
 
 
 def test_clusters_are_connected_and_capped():
     r = random.Random(8)
-    g = cluster.Graph(80, [(a, b, 1.0) for a, b in {tuple(sorted((r.randrange(80), r.randrange(80)))) for _ in range(160)} if a != b])
-    m = cluster.partition(g, 2.0, 3)
-    assert len(set(cluster.components(g, m))) == len(set(m))
-    # folding never joins what has no link
-    apart = cluster.Graph(6, [(0, 1, 1.0), (2, 3, 1.0), (4, 5, 1.0)])
-    assert len(set(cluster.merge_to(apart, [0, 0, 1, 1, 2, 2], 1))) == 3
-
-
-def test_distributed_clusters_agree_on_cliques(spark):
-    n = nodes(spark, [f"d/f{i}.ts" for i in range(10)])
-    e = [("r", i, j, w) for i, a in enumerate(two_cliques().adj) for j, w in a.items() if i < j]
-    c = {r.id: r.cluster for r in cluster.cluster_distributed(n, spark.createDataFrame(e, "repo string, lo long, hi long, w double")).collect()}
-    assert len({c[i] for i in range(5)}) == 1 and len({c[i] for i in range(5, 10)}) == 1 and c[0] != c[9]
+    g = graph_of(80, random_pairs(r, 80, 160))
+    for gamma in (0.5, 2.0):
+        m = cluster.partition(g, gamma, 3)
+        assert (g.ids[cluster.parts(g, m)] == m).all()
+    m = cluster.folded(g, cluster.partition(g, 4.0, 3))
+    small = [c for c in set(m.tolist()) if (m == c).sum() < cluster.LEAST_SIZE]
+    assert not any((m[g.src] == c).any() and (m[g.dst[m[g.src] == c]] != c).any() for c in small)
+    assert len(set(cluster.targeting(g, 3).tolist())) <= max(3, len(set(cluster.parts(g, np.zeros(80, int)).tolist())))
+    # joining never joins what has no link
+    apart = graph_of(6, [(0, 1, 1.0), (2, 3, 1.0), (4, 5, 1.0)])
+    c, place = apart.contract(np.array([0, 0, 2, 2, 4, 4]))
+    assert len(set(cluster.capped(c.ids, np.array([2, 2, 2]), c.src, c.dst, c.w, 1).tolist())) == 3
+    chain = graph_of(5, [(0, 1, 1.0), (1, 2, 2.0), (2, 3, 1.0), (3, 4, 3.0)])
+    assert cluster.capped(chain.ids, np.array([1, 2, 2, 2, 1]), chain.src, chain.dst, chain.w, 2).tolist() == [0, 0, 0, 3, 3]
+
+
+def test_moves_gain_modularity():
+    r = random.Random(11)
+    g = graph_of(60, random_pairs(r, 60, 200))
+
+    def quality(label):
+        inner = g.w[label[g.src] == label[g.dst]].sum()
+        return inner / g.k.sum() - sum(float(g.k[label == c].sum()) ** 2 for c in set(label.tolist())) / float(g.k.sum()) ** 2
+
+    m = cluster.partition(g, 1.0, 5)
+    assert quality(m) > quality(np.zeros(60, int)) + 0.2 and quality(m) > quality(np.arange(60))
+
+
+def test_tables_give_the_clusters_of_the_arrays(spark, monkeypatch):
+    r = random.Random(5)
+    e = [("a", *x) for x in random_pairs(r, 40, 70)] + [("b", *x) for x in random_pairs(r, 30, 90, 100)] + [("c", i + 200, j + 200, w) for i, j, w in CLIQUES]
+    n = [("a", i, f"d/f{i:03}.ts") for i in range(40)] + [("b", i, f"d/f{i}.ts") for i in range(100, 130)] + [("c", i, f"d/f{i}.ts") for i in range(200, 210)] + [("none", 300, "x/a.ts"), ("none", 301, "y/b.ts")]
+    ns, es = spark.createDataFrame(n, "repo string, id long, rel string"), spark.createDataFrame(e, "repo string, lo long, hi long, w double")
+    got = {}
+    for edges in (cluster.KERNEL_EDGES, 0):
+        monkeypatch.setattr(cluster, "KERNEL_EDGES", edges)
+        got[edges] = rows(cluster.clusters(ns, es, most=4, ladder=(1.4,), runs=1))
+    assert got[0] == got[1_000_000] and len(got[0]) == len(n)
+    by = {i: c for _, i, c, _ in got[0]}
+    assert by[300] != by[301] and len({by[i] for i in range(200, 205)}) == 1 and by[200] != by[209]
 
 
 def test_confidence_drops_missing_agreement(spark):
