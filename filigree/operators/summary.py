@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filigree.functions.classify import SALIENCE
-from filigree.functions.names import derive_name, derive_summary, path_terms, split_identifier
+from filigree.functions.names import derive_summary, distinct_names, path_terms, split_identifier
 from filigree.functions.paths import dirname
 from filigree.operators.graph import top_per
+from filigree.operators.skew import running_sum
+from filigree.session import cut
 
 # Weights of confidence, its bands, entries and externals shown, hops and flows, token budgets.
 W_RESOLUTION, W_STABILITY, W_AGREEMENT, HIGH, MEDIUM = 0.45, 0.35, 0.20, 0.75, 0.45
@@ -111,45 +113,48 @@ def ranked_clusters(members: DataFrame, scores: DataFrame) -> DataFrame:
     return g.withColumn("place", (F.row_number().over(w) - 1).cast("long"))
 
 
-def walk(entry: int, out: dict[int, list[int]], inside: set[int], score: dict[int, float], rel: dict[int, str], floor: float) -> tuple[list[int], int]:
-    """The chain of at most ``HOPS`` steps from an entry, and the number of leaves it ends before."""
-    path, seen = [entry], {entry}
-    while len(path) <= HOPS:
-        nxt = sorted((n for n in out.get(path[-1], ()) if n in inside and n not in seen and score[n] >= floor), key=lambda n: (-score[n], rel[n]))
-        if not nxt:
-            break
-        step = nxt[0] if len(nxt) == 1 or len(path) == 1 else next((n for n in nxt if any(m in inside and m not in seen for m in out.get(n, ()))), None)
-        if step is None:
-            return path, len(nxt)
-        path.append(step)
-        seen.add(step)
-    return path, 0
+def quartile_floor(m: DataFrame) -> DataFrame:
+    """``repo, cluster, floor``: the score that a quarter of a cluster's files are below, by place in ascending order.
+
+    Equal scores are counted first and running counts span tasks, so that no
+    cluster is sorted in one.
+    """
+    n = m.groupBy(F.struct("repo", "cluster").alias("key"), "score").agg(F.count("*").alias("n"))
+    at = n.groupBy("key").agg(F.expr("sum(n) div 4").alias("at"))
+    r = running_sum(n, "key", "score", "n").join(at, "key").where(F.col("running") > F.col("at"))
+    return r.groupBy("key").agg(F.min("score").alias("floor")).select("key.repo", "key.cluster", "floor")
 
 
 def flows(members: DataFrame, nodes: DataFrame, scores: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Chains from the best entries: ``repo, cluster, label, path, leaves``.
 
-    ``entries(id, label)``; at most 3 per cluster, by score and path.  Nodes
-    under the lowest quarter of the cluster's scores are not stepped on, and
-    chains of one file are dropped.  A cluster's inner edges reach one task:
-    clusters of the kernel are bounded by ``cluster.KERNEL_EDGES``.
+    ``entries(id, label)``; at most ``FLOWS`` per cluster, by score and path,
+    are followed for ``HOPS`` hops inside their cluster, each by one join of
+    the chains' ends with the edges.  A hop goes to the best file not on the
+    chain, at or above the quarter floor of the cluster's scores.  From the
+    second hop on, several candidates are a fan: the best that leads further
+    is taken, and where none does the chain ends with their number as
+    ``leaves``.  Chains of one file are dropped.
     """
-    m = members.join(nodes.select("id", "rel"), "id").join(scores.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).join(entries.groupBy("id").agg(F.min("label").alias("label")), "id", "left")
-    c = members.select("id", "cluster")
-    e = edges.join(c.select(F.col("id").alias("src"), "cluster"), "src").join(c.select(F.col("id").alias("dst"), F.col("cluster").alias("c2")), "dst").where("cluster = c2").select(F.col("repo").alias("r"), F.col("cluster").alias("c"), "src", "dst")
-
-    def run(key, ms: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
-        score, rel = dict(zip(ms.id, ms.score)), dict(zip(ms.id, ms.rel))
-        out: dict[int, list[int]] = {}
-        for a, b in zip(es.src, es.dst):
-            out.setdefault(a, []).append(b)
-        rank = sorted(score.values())
-        floor = rank[len(rank) // 4] if rank else float("inf")
-        best = ms[ms.label.notna()].sort_values(["score", "rel"], ascending=[False, True]).head(FLOWS)
-        rows = [(key[0], key[1], lab, *walk(i, out, set(score), score, rel, floor)) for i, lab in zip(best.id, best.label)]
-        return pd.DataFrame([r for r in rows if len(r[3]) > 1], columns=["repo", "cluster", "label", "path", "leaves"])
-
-    return m.groupBy("repo", "cluster").cogroup(e.groupBy("r", "c")).applyInPandas(run, "repo string, cluster long, label string, path array<long>, leaves int")
+    m = members.join(nodes.select("id", "rel"), "id").join(scores.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    m = cut(m.select("repo", "cluster", "id", "rel", "score"))
+    e = edges.join(m.select(F.col("id").alias("src"), "cluster"), "src").join(m.select(F.col("id").alias("dst"), F.col("cluster").alias("c2"), "score", "rel"), "dst").where("cluster = c2")
+    e = cut(e.select("src", "dst", "score", "rel").distinct())
+    first = entries.groupBy("id").agg(F.min("label").alias("label")).where("label IS NOT NULL")
+    front = top_per(m.join(first, "id"), ["repo", "cluster"], [F.desc("score"), F.asc("rel")], FLOWS).join(quartile_floor(m), ["repo", "cluster"])
+    front = cut(front.select("repo", "cluster", "label", F.col("id").alias("entry"), "floor", F.array("id").alias("path"), F.lit(0).alias("leaves"), F.lit(True).alias("open")))
+    for hop in range(HOPS):
+        c = front.where("open").select("entry", "path", "floor", F.element_at("path", -1).alias("src")).join(e, "src").where((F.col("score") >= F.col("floor")) & ~F.array_contains("path", F.col("dst")))
+        on = c.select("entry", "path", "dst").join(e.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").where(~F.array_contains("path", F.col("to")))
+        c = c.join(on.select("entry", "dst").distinct().withColumn("on", F.lit(True)), ["entry", "dst"], "left")
+        best = F.struct((-F.col("score")).alias("s"), "rel", "dst")
+        c = c.groupBy("entry").agg(F.count("*").alias("n"), F.min(best).alias("any"), F.min(F.when(F.col("on"), best)).alias("on"))
+        to = F.when((F.col("n") == 1) | F.lit(hop == 0), F.col("any.dst")).otherwise(F.col("on.dst"))
+        j = front.join(c.select("entry", "n", to.alias("to")), "entry", "left")
+        path = F.when(F.col("to").isNotNull(), F.concat("path", F.array("to"))).otherwise(F.col("path"))
+        leaves = F.when(F.col("to").isNull(), F.coalesce("n", "leaves")).otherwise(F.col("leaves")).cast("int")
+        front = cut(j.select("repo", "cluster", "label", "entry", "floor", path.alias("path"), leaves.alias("leaves"), F.col("to").isNotNull().alias("open")))
+    return front.where(F.size("path") > 1).select("repo", "cluster", "label", "path", "leaves")
 
 
 def labels(ranked: DataFrame, dirs: DataFrame, symbols: DataFrame, externals: DataFrame) -> DataFrame:
@@ -165,11 +170,10 @@ def labels(ranked: DataFrame, dirs: DataFrame, symbols: DataFrame, externals: Da
     j = j.select("repo", "cluster", "place", "size", F.col("d.dir").alias("dirs"), F.col("s.name").alias("symbols"), F.col("x.package").alias("packages"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, taken, out = pdf.sort_values("place"), [], []
-        for r in pdf.itertuples():
-            li = lambda v: list(v) if v is not None else []
-            name = derive_name(li(r.dirs), taken)
-            taken.append(name)
+        pdf, out = pdf.sort_values("place"), []
+        li = lambda v: list(v) if v is not None else []
+        given = distinct_names([(li(d) or [None])[0] for d in pdf.dirs])
+        for name, r in zip(given, pdf.itertuples()):
             out.append((r.repo, r.cluster, r.place, name, derive_summary(r.size, li(r.dirs), li(r.symbols), li(r.packages))))
         return pd.DataFrame(out, columns=["repo", "cluster", "place", "name", "summary"])
 

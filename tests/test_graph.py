@@ -201,18 +201,25 @@ def test_confidence_drops_missing_agreement(spark):
     assert got[1] == (None, pytest.approx(0.35 / 0.8, abs=1e-6), "low")
 
 
-def test_flow_walk():
-    out = {0: [1], 1: [2, 3], 2: [], 3: [4], 4: []}
-    s = {i: 1.0 for i in range(5)}
-    rel = {i: f"f{i}" for i in range(5)}
-    assert summary.walk(0, out, set(range(5)), s, rel, 0.0) == ([0, 1, 3, 4], 0)
-    assert summary.walk(0, {0: [1], 1: [2, 3]}, set(range(5)), s, rel, 0.0) == ([0, 1], 2)
+def test_flows(spark):
+    n = nodes(spark, [f"f{i}" for i in range(12)])
+    m = spark.createDataFrame([("r", i, 0 if i < 5 else 1) for i in range(12)], "repo string, id long, cluster long")
+    sc = spark.createDataFrame([(i, 1.0) for i in range(12)], "id long, score double")
+    # in cluster 1 the second hop is a fan of two leaves; 11 is under the floor, 10 has no way on
+    e = spark.createDataFrame([("r", a, b) for a, b in [(0, 1), (1, 2), (1, 3), (3, 4), (4, 0), (0, 9), (5, 6), (6, 7), (6, 8), (10, 11)]], "repo string, src long, dst long")
+    entries = spark.createDataFrame([(0, "main"), (0, "other"), (5, "fan"), (10, "low"), (2, "alone"), (3, None)], "id long, label string")
+    low = sc.where("id <> 11")
+    got = {r.label: (list(r.path), r.leaves) for r in summary.flows(m, n, low, e, entries).collect()}
+    assert got == {"main": ([0, 1, 3, 4], 0), "fan": ([5, 6], 2)}
+    assert summary.flows(m, n, sc, e, entries.limit(0)).count() == 0 == summary.flows(m.limit(0), n, sc, e, entries).count()
+    f = summary.quartile_floor(m.join(sc.withColumn("score", F.col("id") / 2.0), "id")).collect()
+    assert {r.cluster: r.floor for r in f} == {0: 0.5, 1: 3.0}
 
 
 def test_names():
     assert names.humanize("password_reset") == "Password Reset" and names.humanize("userProfile") == "User Profile" and names.humanize("auth") == "Authentication"
-    assert names.derive_name(["packages/shop/src"], []) == "Shop" and names.derive_name(["src"], []) == "Core" and names.derive_name([], []) == "Root"
-    assert names.derive_name(["billing/api"], ["API"]) == "Billing API" and names.derive_name(["api"], ["API", "API 2"]) == "API 3"
+    assert names.distinct_names(["packages/shop/src", "src", None]) == ["Shop", "Core", "Root"]
+    assert names.distinct_names(["billing/api"], ["API"]) == ["Billing API"] and names.distinct_names(["api"], ["API", "API 2"]) == ["API 3"]
     assert names.assign_slugs(["Core", "Core 2", "core"]) == ["core", "core-2", "core-3"]
     assert names.route_segments(r"^documents/(?P<pk>[^/]+)/notes/$") == ["documents", "notes"] and names.route_segments("`${base}docs/${id}/x1/`") == ["docs", "x1"]
     assert names.path_terms("src/runtime.development.js") == ["runtime", "development"]
