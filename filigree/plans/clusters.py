@@ -107,14 +107,19 @@ def nested_clusters(spark: SparkSession, d: str) -> DataFrame:
     return summary.nest(graph.directory_partition(n), summary.coarse_units(n.select("repo", "id", (F.col("id") % 60).alias("cluster")), n, near))
 
 
+def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What resolution found of every file's imports, and what is recorded of them: ``task, item`` each."""
+    n = cut(A.nodes(spark, d))
+    pair = [F.col("src").alias("task"), F.col("dst").alias("item")]
+    return L.resolved_edges(spark, d).select(*pair).distinct(), A.edges(spark, d, n).select(*pair).distinct()
+
+
 def set_f1(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "edges").where("src IS NOT NULL AND dst IS NOT NULL")
-    return evals.set_f1(e.where("dst % 3 <> 0").select(F.col("src").alias("task"), F.col("dst").alias("item")), e.where("dst % 5 <> 0").select(F.col("src").alias("task"), F.col("dst").alias("item"))).withColumn("f1", F.round("f1", 6))
+    return evals.set_f1(*_answers(spark, d)).withColumn("f1", F.round("f1", 6))
 
 
 def route_score(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "edges").where("src IS NOT NULL AND dst IS NOT NULL")
-    s = evals.micro_score(e.where("dst % 3 <> 0").select(F.col("src").alias("task"), F.col("dst").alias("item")), e.where("dst % 5 <> 0").select(F.col("src").alias("task"), F.col("dst").alias("item")))
+    s = evals.micro_score(*_answers(spark, d))
     return s.select("tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
@@ -158,8 +163,7 @@ def arm_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_ceiling(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "edges").where("src IS NOT NULL AND dst IS NOT NULL")
-    c = evals.index_ceiling(e.where("dst % 3 <> 0").select(F.col("src").alias("task"), F.col("dst").alias("item")), e.where("dst % 5 <> 0").select(F.col("src").alias("task"), F.col("dst").alias("item")))
+    c = evals.index_ceiling(*_answers(spark, d))
     return c.select("tasks", F.round("recall", 6).alias("recall"), F.round("f1", 6).alias("f1"), "full", "passed")
 
 
@@ -221,7 +225,7 @@ QUERIES = {
 _N = A.SQL["nodes"]
 _NE = f"{_N},\n{A.SQL['dedges']}"
 _SCORED = "sc AS (SELECT id, (id * 7919) % 1000 / 1000.0 AS score FROM nodes)"
-_SETS = """p AS (SELECT DISTINCT src, dst FROM edges WHERE src IS NOT NULL AND dst % 3 <> 0), x AS (SELECT DISTINCT src, dst FROM edges WHERE src IS NOT NULL AND dst % 5 <> 0),
+_SETS = f"""{L._OUT}, {A.SQL['dedges']}, p AS (SELECT DISTINCT file AS src, target AS dst FROM o WHERE outcome = 'resolved' AND file <> target), x AS (SELECT DISTINCT src, dst FROM dedges),
 u AS (SELECT src, dst, max(a) AS a, max(b) AS b FROM (SELECT src, dst, 1 AS a, 0 AS b FROM p UNION ALL SELECT src, dst, 0, 1 FROM x) y GROUP BY ALL),
 f AS (SELECT src AS task, CAST(sum(a) AS BIGINT) AS predicted, CAST(sum(b) AS BIGINT) AS expected, CAST(sum(a * b) AS BIGINT) AS hit FROM u GROUP BY src),
 g AS (SELECT *, CASE WHEN hit > 0 THEN 2.0 * hit / (predicted + expected) ELSE 0.0::DOUBLE END AS f1 FROM f)"""

@@ -94,7 +94,7 @@ def python_roots(spark: SparkSession, d: str) -> DataFrame:
 def nearest_scope(spark: SparkSession, d: str) -> DataFrame:
     n = A.nodes(spark, d)
     scopes = n.select("repo", F.regexp_extract("rel", r"^((?:packages|apps|services)/[^/]+)/", 1).alias("dir")).where("dir <> ''").distinct()
-    more = n.select("repo", F.regexp_extract("rel", r"^((?:packages|apps|services)/[^/]+/[^/]+)/", 1).alias("dir")).where("dir <> '' AND length(dir) % 2 = 0").distinct()
+    more = n.select("repo", F.regexp_extract("rel", r"^((?:packages|apps|services)/[^/]+/[^/]+)/", 1).alias("dir")).where("dir <> ''").distinct()
     return resolve.nearest_scope(n, scopes.unionByName(more))
 
 
@@ -173,14 +173,14 @@ SQL = {
     "url_contract_join": f"WITH {_N},\n{_SEM} SELECT repo, lo, hi FROM urlp",
     "semantic_join": f"WITH {_N},\n{_SEM} SELECT repo, lo, hi FROM semp",
     "route_include_stitch": f"""WITH {_NE},\n{_ROUTES},
-inc AS (SELECT e.repo, e.src AS file, ['v1', 'm' || (e.src % 3)] AS prefix, e.dst AS target FROM dedges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id WHERE a.python AND b.python AND e.src % 20 = e.dst % 20)
+inc AS (SELECT e.repo, e.src AS file, ['v1', 'm' || (e.src % 3)] AS prefix, e.dst AS target FROM dedges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id WHERE a.python AND b.python)
 SELECT DISTINCT repo, file, array_to_string(segments, '/') AS route, view FROM routes
 UNION SELECT i.repo, i.file, array_to_string(list_concat(i.prefix, r.segments), '/'), r.view FROM inc i JOIN routes r ON i.repo = r.repo AND i.target = r.file""",
     "http_closure": f"""WITH RECURSIVE {_NE},\n{_ROUTES},
 own AS (SELECT repo, name AS base, min(file) AS owner FROM (SELECT DISTINCT repo, name, file, exported FROM sym WHERE NOT python AND lower(kind) = 'class' AND file NOT IN (SELECT id FROM nodes WHERE test)) x GROUP BY repo, name HAVING count(*) = 1),
 ext AS (SELECT DISTINCT e.repo, e.src AS file, s.name AS base FROM dedges e JOIN sym s ON e.dst = s.file WHERE NOT s.python AND lower(s.kind) = 'class'),
 link AS (SELECT DISTINCT ext.repo, ext.file, own.owner FROM ext JOIN own ON ext.repo = own.repo AND ext.base = own.base),
-r(repo, file) AS (SELECT repo, file FROM senders WHERE file % 7 = 0 UNION SELECT l.repo, l.file FROM r JOIN link l ON r.repo = l.repo AND r.file = l.owner)
+r(repo, file) AS (SELECT repo, file FROM senders UNION SELECT l.repo, l.file FROM r JOIN link l ON r.repo = l.repo AND r.file = l.owner)
 SELECT DISTINCT repo, file FROM r""",
     "route_join": f"WITH {_N},\n{_LINKS} SELECT repo, view, view_file, array_to_string(routes, ',') AS routes, array_to_string(list_sort(list_transform(callers, lambda x: x)), ',') AS callers FROM links",
     "callers_by_path": f"WITH {_N},\n{_LINKS} SELECT DISTINCT repo, route, unnest(callers) AS caller FROM (SELECT repo, unnest(routes) AS route, callers FROM links) x",
@@ -195,6 +195,6 @@ SELECT repo, rank, package, n FROM k WHERE rank <= 10""",
     "python_packages": f"WITH {_N},\n{_PKG} SELECT repo, dir FROM tops",
     "python_roots": f"WITH {_N},\n{_PKG} SELECT repo, root, place FROM roots",
     "nearest_scope": f"""WITH {_N}, sc AS (SELECT DISTINCT repo, regexp_extract(rel, '^((?:packages|apps|services)/[^/]+)/', 1) AS dir FROM nodes UNION
-  SELECT repo, regexp_extract(rel, '^((?:packages|apps|services)/[^/]+/[^/]+)/', 1) FROM nodes WHERE length(regexp_extract(rel, '^((?:packages|apps|services)/[^/]+/[^/]+)/', 1)) % 2 = 0)
+  SELECT repo, regexp_extract(rel, '^((?:packages|apps|services)/[^/]+/[^/]+)/', 1) FROM nodes)
 SELECT n.repo, n.rel, coalesce(arg_max(sc.dir, length(sc.dir)), '') AS scope FROM nodes n LEFT JOIN sc ON n.repo = sc.repo AND sc.dir <> '' AND (n.dir = sc.dir OR starts_with(n.dir, sc.dir || '/')) GROUP BY n.repo, n.rel""",
 }
