@@ -3,13 +3,14 @@
 The target is the state.  Each target row keeps the key and the version of the
 source row it was made from; the next run anti-joins the source against the
 rows of the last published target version.  A run that dies leaves no trace,
-because a version counts only once its manifest has been renamed into place.
+because a version counts only once its manifest is in place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,30 +101,35 @@ def memo_pairs(stored_git: DataFrame, status: DataFrame, runs: DataFrame, nodes:
 
 
 class VersionedTarget:
-    """A target table whose versions are published by one atomic rename.
-
-    Layout below ``path``: ``data/<version>-<attempt>/`` Parquet parts holding
-    only the rows of that run, and ``published/<version>.json`` manifests, each
-    naming every part of its version.  A manifest is written under a temporary
-    name and renamed without overwriting, so of two concurrent runs one fails
-    and of a crashed run nothing is visible.
+    """A target table whose versions are published atomically.
+
+    Layout below ``path``: ``data/<version>-<attempt>/`` Parquet parts and
+    ``published/<version>.json`` manifests, each naming every part of its
+    version.  A part holds the rows of one run, or, every ``compact`` runs, the
+    whole table, so that a read never meets more than ``compact`` parts.  A
+    manifest is written under a temporary name and put in place by a step that
+    refuses where one is: of two concurrent runs one fails, and of a crashed
+    run nothing is visible.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], version: str):
-        self.spark, self.path, self.keys, self.version = spark, path.rstrip("/"), list(keys), version
-        jvm = spark._jvm
-        self._root = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], version: str, order: Sequence[str] = (), compact: int = 8):
+        """``order`` names columns that tell which of several source rows of a key is the newest; the version decides what they leave equal."""
+        self.spark, self.path, self.keys, self.version, self.order, self.compact = spark, path.rstrip("/"), list(keys), version, list(order), max(1, compact)
+        self._fs = self._p("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _p(self, rel: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{rel}")
 
-    def current(self) -> int:
-        """The number of the newest published version, 0 before the first."""
+    def versions(self) -> list[int]:
+        """The published versions that are kept, oldest first."""
         if not self._fs.exists(self._p("published")):
-            return 0
+            return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._p("published"))]
-        return max([int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()], default=0)
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def current(self) -> int:
+        """The number of the newest published version, 0 before the first."""
+        return max(self.versions(), default=0)
 
     def parts(self, version: int | None = None) -> list[str]:
         """The data folders of a version, oldest first."""
@@ -133,44 +139,101 @@ class VersionedTarget:
         rows = self.spark.read.text(f"{self.path}/published/{v}.json").collect()
         return [r.value for r in rows if r.value]
 
-    def read(self) -> DataFrame | None:
-        """The newest row of each key, or None before the first version."""
-        parts = self.parts()
+    def _rows(self, version: int) -> DataFrame | None:
+        """The newest row of each key of a version, with the columns ``_run`` and ``_gone``."""
+        parts = self.parts(version)
         if not parts:
             return None
         df = self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts])
-        order = F.col("_run")
-        top = df.groupBy(*self.keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in self.keys]), order).alias("_r"))
-        return top.select(*self.keys, "_r.*").where(~F.col("_gone")).drop("_gone")
+        if len(parts) == 1:
+            return df
+        top = df.groupBy(*self.keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in self.keys]), F.col("_run")).alias("_r"))
+        return top.select(*self.keys, "_r.*")
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The newest row of each key, or None before the first version."""
+        rows = self._rows(self.current() if version is None else version)
+        return None if rows is None else rows.where(~F.col("_gone")).drop("_gone")
+
+    def newest(self, source: DataFrame) -> DataFrame:
+        """One source row per key: the last by ``order``, then by version, then by a hash of the row; nulls come first."""
+        rest = [c for c in source.columns if c not in self.keys]
+        rank = F.struct(*self.order, self.version, F.xxhash64(*source.columns))
+        return source.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), rank).alias("_r")).select(*self.keys, *[F.col("_r")[c].alias(c) for c in rest]).select(*source.columns)
 
     def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame], whole: bool = True) -> int:
         """Process what is new or changed and publish it; returns the version.
 
-        ``process`` gets the pending source rows and must keep the key and
-        version columns.  Keys that left a ``whole`` source are recorded as
-        gone; a batch that holds only part of the source removes nothing.
-        Of several source rows for one key any one is taken.
+        ``process`` gets the pending source rows, one per key (``newest``), and
+        must keep the key and version columns.  Keys that left a ``whole``
+        source are recorded as gone; a batch that holds only part of the source
+        removes nothing.  A run that finds its version published by another
+        raises, and leaves an unnamed part that ``vacuum`` removes.
         """
-        base, seen = self.current(), self.read()
-        source = source.dropDuplicates(self.keys)
+        base = self.current()
+        seen, source = self._rows(base), self.newest(source)
         todo, gone = source, None
         if seen is not None:
-            todo = pending(source, seen.select(*self.keys, self.version), self.keys, lambda s, t: F.col(f"{s}.{self.version}") == F.col(f"{t}.{self.version}"))
-            gone = seen.join(source.select(*self.keys), self.keys, "left_anti") if whole else None
+            there = seen.where(~F.col("_gone"))
+            todo = pending(source, there.select(*self.keys, self.version), self.keys, lambda s, t: F.col(f"{s}.{self.version}") == F.col(f"{t}.{self.version}"))
+            gone = there.join(source.select(*self.keys), self.keys, "left_anti") if whole else None
         out = process(todo).withColumn("_run", F.lit(base + 1)).withColumn("_gone", F.lit(False))
         if gone is not None:
-            out = out.unionByName(gone.drop("_run").withColumn("_run", F.lit(base + 1)).withColumn("_gone", F.lit(True)))
+            out = out.unionByName(gone.withColumn("_run", F.lit(base + 1)).withColumn("_gone", F.lit(True)))
         part = f"data/{base + 1}-{self.spark._jvm.java.util.UUID.randomUUID()}"
         out.write.parquet(f"{self.path}/{part}")
-        self._publish(base + 1, [*self.parts(base), part])
+        parts = [*self.parts(base), part]
+        if len(parts) > self.compact:
+            parts = [self._compacted(base + 1, parts)]
+        self._publish(base + 1, parts)
         return base + 1
 
+    def _compacted(self, version: int, parts: list[str]) -> str:
+        """All parts as one: the newest row of each key, without those that are gone."""
+        df = self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts])
+        top = df.groupBy(*self.keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in self.keys]), F.col("_run")).alias("_r")).select(*self.keys, "_r.*")
+        part = f"data/{version}-{self.spark._jvm.java.util.UUID.randomUUID()}"
+        top.where(~F.col("_gone")).write.parquet(f"{self.path}/{part}")
+        return part
+
     def _publish(self, version: int, parts: list[str]) -> None:
         tmp, final = self._p(f"published/.{version}-{self.spark._jvm.java.util.UUID.randomUUID()}"), self._p(f"published/{version}.json")
         self._fs.mkdirs(self._p("published"))
         stream = self._fs.create(tmp, False)
         stream.write(bytearray("\n".join(parts), "utf-8"))
         stream.close()
-        if self._fs.exists(final) or not self._fs.rename(tmp, final):
+        try:
+            self._place(tmp, final)
+        except Py4JJavaError as e:
             self._fs.delete(tmp, False)
-            raise RuntimeError(f"version {version} was published by another run")
+            raise RuntimeError(f"version {version} was published by another run") from e
+
+    def _place(self, tmp, final) -> None:
+        """Give a file its name unless that is taken, in one step of the file system."""
+        jvm = self.spark._jvm
+        if self._fs.getUri().getScheme() == "file":
+            # a rename would replace the file of another run; a link refuses
+            path = lambda p: jvm.java.nio.file.Path.of(p.toUri())
+            full = lambda p: path(self._fs.makeQualified(p))
+            jvm.java.nio.file.Files.createLink(full(final), full(tmp))
+            self._fs.delete(tmp, False)
+            return
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        context.rename(tmp, final, none)  # refuses where the name is taken
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Remove all but the last ``keep`` versions, and the parts up to the current version that no kept one names.
+
+        Parts of a run that is still going on have a later number and stay.
+        """
+        kept = self.versions()[-max(1, keep) :]
+        named = {p for v in kept for p in self.parts(v)}
+        for v in self.versions():
+            if v not in kept:
+                self._fs.delete(self._p(f"published/{v}.json"), False)
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._p("data"))] if kept and self._fs.exists(self._p("data")) else []
+        old = [f"data/{n}" for n in found if f"data/{n}" not in named and int(n.split("-")[0]) <= kept[-1]]
+        for p in old:
+            self._fs.delete(self._p(p), True)
+        return sorted(old)

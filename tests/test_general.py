@@ -68,6 +68,45 @@ def test_versioned_target(spark, tmp_path):
         t._publish(3, [])  # the same version cannot be published twice
 
 
+def test_newest_source_row_wins(spark, tmp_path):
+    t = incremental.VersionedTarget(spark, str(tmp_path / "t"), ["k"], "v", order=["at"])
+    one = spark.createDataFrame([("a", "9", 1, "old"), ("a", "1", 3, "new"), ("a", "5", 2, "mid"), ("b", None, 1, "x"), ("b", "0", 1, "y"), ("b", "0", 1, "y")], "k string, v string, at int, x string")
+    t.run(one, lambda df: df)
+    assert rows(t.read().select("k", "v", "x")) == [("a", "1", "new"), ("b", "0", "y")]
+    assert t.newest(one.limit(0)).count() == 0
+    # a null version never counts as covered
+    done = []
+    t.run(spark.createDataFrame([("a", "1", 3, "new"), ("b", None, 9, "n")], one.schema), lambda df: done.append(sorted(r.k for r in df.collect())) or df)
+    assert done == [["b"]]
+
+
+def test_concurrent_runs_compaction_and_vacuum(spark, tmp_path):
+    make = lambda: incremental.VersionedTarget(spark, str(tmp_path / "t"), ["k"], "v", compact=3)
+    schema = "k string, v string"
+    a, b = make(), make()
+    a.run(spark.createDataFrame([("x", "0")], schema), lambda df: df)
+
+    def slow(df):  # while b works, a publishes the version that b is after
+        a.run(spark.createDataFrame([("x", "1")], schema), lambda d: d)
+        return df
+
+    with pytest.raises(RuntimeError):
+        b.run(spark.createDataFrame([("x", "2")], schema), slow)
+    assert rows(b.read().select("k", "v")) == [("x", "1")] and b.versions() == [1, 2]
+    assert not [f for f in (tmp_path / "t/published").iterdir() if f.name.startswith(".2-")]
+    for i in range(2, 8):
+        b.run(spark.createDataFrame([("x", str(i)), (f"n{i}", "0")], schema), lambda df: df)
+        assert len(b.parts()) <= 3
+        assert rows(b.read().select("k", "v")) == [(f"n{i}", "0"), ("x", str(i))]
+    before = rows(b.read(7).select("k", "v"))
+    gone = b.vacuum(2)
+    assert gone and b.versions() == [7, 8] and rows(b.read(7).select("k", "v")) == before
+    assert rows(b.read().select("k", "v")) == [("n7", "0"), ("x", "7")]
+    left = {f"data/{f.name}" for f in (tmp_path / "t/data").iterdir()}
+    assert left == set(b.parts(7)) | set(b.parts(8)) and make().vacuum() == []
+    assert incremental.VersionedTarget(spark, str(tmp_path / "none"), ["k"], "v").vacuum() == []
+
+
 # -- orphans -------------------------------------------------------------------------
 
 
