@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.operators.salted import salted_join
+from filigree.operators.salted import hot_keys, salted_join
 from filigree.session import staged
 
 # Look-alike letters, each pair of strings aligned by position.
@@ -77,7 +77,7 @@ def duckdb_map(df: DataFrame, select: str, schema: str, prelude: str = "") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # never spills to the worker's folder
         if prelude:
             con.execute(prelude)
         for b in batches:
@@ -104,14 +104,31 @@ SELECT doc_id, sha256(canon) AS form, sha256(text) AS raw FROM c WHERE regexp_ma
 
 
 def lookalike_classes(documents: DataFrame) -> DataFrame:
-    """One row per document whose form is written in several ways: ``doc_id, form, raw, spellings``.
+    """One row per document whose form is written in several ways: ``doc_id, form, raw, spellings, documents, links``.
 
-    Texts with the same characters are one spelling; their number per form is
-    counted on distinct (form, raw), so copies do not meet in one task.
+    Texts with the same characters are one spelling.  ``links`` is the number
+    of rows (id and spelling) of the class that look the same but have other
+    characters; with it a class stands for all its pairs.  Rows are counted
+    per spelling first, so copies do not meet in one task.
     """
     h = staged(form_hashes(documents), "forms")
-    many = h.select("form", "raw").distinct().groupBy("form").agg(F.count("*").alias("spellings")).where("spellings > 1")
-    return salted_join(h, many, ["form"])
+    per = h.groupBy("form", "raw").agg(F.count("*").alias("copies"))
+    of = per.groupBy("form").agg(F.count("*").alias("spellings"), F.sum("copies").alias("documents")).where("spellings > 1")
+    counted = per.join(of, "form").select("form", "raw", "spellings", "documents", (F.col("documents") - F.col("copies")).alias("links"))
+    return salted_join(h, counted, ["form", "raw"])
+
+
+def lookalike_links(documents: DataFrame) -> DataFrame:
+    """The links between spellings as ``doc_id, links_to``: the least document of a spelling to that of its class's first spelling.
+
+    With ``lookalike_classes`` as membership nothing is lost, and there are
+    fewer rows than spellings, whatever the number of copies.
+    """
+    c = lookalike_classes(documents)
+    reps = staged(c.groupBy("form", "raw").agg(F.min("doc_id").alias("doc_id")), "reps")
+    head = reps.groupBy("form").agg(F.min(F.struct("doc_id", "raw")).alias("h"))
+    other = F.col("raw") != F.col("h.raw")
+    return salted_join(reps, head, ["form"]).where(other).select("doc_id", F.col("h.doc_id").alias("links_to"))
 
 
 def lookalike_pairs(documents: DataFrame) -> DataFrame:
@@ -126,5 +143,8 @@ def lookalike_pairs(documents: DataFrame) -> DataFrame:
     reps = c.select("form", "raw").distinct()
     two = reps.withColumnRenamed("raw", "raw_a").join(reps.withColumnRenamed("raw", "raw_b"), "form").where("raw_a < raw_b").select("raw_a", "raw_b")
     a, b = c.select(F.col("raw").alias("raw_a"), F.col("doc_id").alias("x")), c.select(F.col("raw").alias("raw_b"), F.col("doc_id").alias("y"))
-    pairs = salted_join(salted_join(a, two, ["raw_a"]), b, ["raw_b"])
+    # both are staged or small against the pairs: hot spellings are counted on the classes alone
+    hot = staged(hot_keys(c.select(F.col("raw").alias("k")), ["k"]), "hot")
+    left = salted_join(a, two, ["raw_a"], hot=hot.withColumnRenamed("k", "raw_a"))
+    pairs = salted_join(left, b, ["raw_b"], hot=hot.withColumnRenamed("k", "raw_b"))
     return pairs.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()

@@ -76,14 +76,18 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_classes(spark: SparkSession, d: str) -> DataFrame:
-    return canon.lookalike_classes(table(spark, d, "documents")).select("doc_id", "form", "spellings")
+    return canon.lookalike_classes(table(spark, d, "documents")).select("doc_id", "form", "spellings", "documents", "links")
+
+
+def p9_links(spark: SparkSession, d: str) -> DataFrame:
+    return canon.lookalike_links(table(spark, d, "documents"))
 
 
 def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canon.canonical(table(spark, d, "documents").select("doc_id", "text").distinct()).select("doc_id", F.col("canon").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p3_found, p3_surprise, p3_agreement, p3_pair_counts, p5_found, p5_origin, p5_shared_subtrees, p7_found, p7_items, p8_mixture, p8_report, p9_found, p9_classes, p9_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_errors, p1_rates, p3_found, p3_surprise, p3_agreement, p3_pair_counts, p5_found, p5_origin, p5_shared_subtrees, p7_found, p7_items, p8_mixture, p8_report, p9_found, p9_classes, p9_links, p9_canonical)}
 
 _CANON = canon.canonical_sql("text")
 _WORDS = f"""
@@ -116,5 +120,11 @@ JOIN total t ON p.repo = t.repo WHERE p.nab >= 5 AND p.nab * t.n >= 3 * a.n * b.
 FROM (SELECT DISTINCT item_id, task_set FROM eval_items) i""",
     "p9_found": f"""WITH c AS (SELECT DISTINCT doc_id, text, {_CANON} AS canon FROM documents WHERE regexp_matches({_CANON}, '\\S'))
 SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM c a JOIN c b ON a.canon = b.canon AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p9_classes": f"""WITH c AS (SELECT DISTINCT doc_id, sha256({_CANON}) AS form, sha256(text) AS raw FROM documents WHERE regexp_matches({_CANON}, '\\S')),
+r AS (SELECT form, raw, count(*) AS copies FROM c GROUP BY form, raw), f AS (SELECT form, count(*) AS spellings, CAST(sum(copies) AS BIGINT) AS documents FROM r GROUP BY form HAVING count(*) > 1)
+SELECT c.doc_id, c.form, f.spellings, f.documents, f.documents - r.copies AS links FROM c JOIN f ON c.form = f.form JOIN r ON c.form = r.form AND c.raw = r.raw""",
+    "p9_links": f"""WITH c AS (SELECT DISTINCT doc_id, {_CANON} AS form, sha256(text) AS raw FROM documents WHERE regexp_matches({_CANON}, '\\S')),
+r AS (SELECT form, raw, min(doc_id) AS doc_id FROM c GROUP BY form, raw), h AS (SELECT *, row_number() OVER (PARTITION BY form ORDER BY doc_id, raw) AS k FROM r)
+SELECT a.doc_id, b.doc_id AS links_to FROM h a JOIN h b ON a.form = b.form AND b.k = 1 WHERE a.k > 1""",
     "p9_canonical": f"SELECT DISTINCT doc_id, {_CANON} AS text FROM documents",
 }

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filigree.llm.canon import canonical_sql, duckdb_map
-from filigree.operators.salted import salted_join
+from filigree.operators.salted import hot_keys, salted_join
 from filigree.session import staged
 
 WINDOW = 15
@@ -40,20 +40,25 @@ def _rolling(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    """``key, th, text``: ids with a hash of the text, so that several texts of one id stay apart."""
+    return df.where("text IS NOT NULL").select(key, F.xxhash64("text").alias("th"), "text").distinct()
+
+
 def word_hashes(df: DataFrame, key: str) -> DataFrame:
-    """``key, words``: 64-bit hashes of the words of ``text`` in order; null texts have none."""
-    sql = f"SELECT {key}, list_transform({WORDS_SQL}, lambda w: CAST(hash(w) >> 1 AS BIGINT)) AS words FROM batch WHERE text IS NOT NULL"
-    return duckdb_map(df.select(key, "text"), sql, f"{key} long, words array<long>")
+    """``key, th, words``: 64-bit hashes of the words of ``text`` in order."""
+    sql = f"SELECT {key}, th, list_transform({WORDS_SQL}, lambda w: CAST(hash(w) >> 1 AS BIGINT)) AS words FROM batch"
+    return duckdb_map(df.select(key, "th", "text"), sql, f"{key} long, th long, words array<long>")
 
 
 def shingles(df: DataFrame, key: str, only: np.ndarray | None = None) -> DataFrame:
-    """``key, pos, shingle, n_words`` of every word shingle, or of those in the sorted array ``only``."""
+    """``key, th, pos, shingle, n_words`` of every word shingle, or of those in the sorted array ``only``."""
     keep = df.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = keep.value if keep is not None else None
         for b in batches:
-            lists = b.column(1)
+            lists = b.column(2)
             off = np.asarray(lists.offsets, "int64")
             flat = lists.values.to_numpy(zero_copy_only=False).astype("uint64")
             s = (_rolling(flat, SHINGLE) >> np.uint64(1)).astype("int64")
@@ -65,10 +70,25 @@ def shingles(df: DataFrame, key: str, only: np.ndarray | None = None) -> DataFra
                 at = np.minimum(np.searchsorted(wanted, s), max(0, len(wanted) - 1))
                 ok &= (wanted[at] == s) if len(wanted) else False
             i = np.flatnonzero(ok)
-            keys = b.column(0).take(pa.array(row[i]))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(pos[i].astype("int32")), pa.array(s[i]), pa.array(size[row[i]].astype("int32"))], names=[key, "pos", "shingle", "n_words"])
+            at = pa.array(row[i])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(pos[i].astype("int32")), pa.array(s[i]), pa.array(size[row[i]].astype("int32"))], names=[key, "th", "pos", "shingle", "n_words"])
+
+    return word_hashes(df, key).mapInArrow(run, f"{key} long, th long, pos int, shingle long, n_words int")
+
+
+def prefixes(mine: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row per item window that a document may hold: ``item_id, ith, start, shingle, offset, want``.
 
-    return word_hashes(df, key).mapInArrow(run, f"{key} long, pos int, shingle long, n_words int")
+    ``shingle`` is the window's rarest in the corpus, ``offset`` its place in
+    it, ``want`` all shingles of the window.  Windows with a shingle that no
+    document has are in none and left out.
+    """
+    per = WINDOW - SHINGLE + 1
+    df = hits.groupBy("shingle").agg(F.count("*").alias("df"))
+    ranked = mine.join(df, "shingle", "left").select("item_id", F.col("th").alias("ith"), "n_words", "pos", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "pos").alias("r"))
+    starts = F.filter(F.sequence(F.col("pos") - (per - 1), F.col("pos")), lambda s: (s >= 0) & (s <= F.col("n_words") - WINDOW))
+    w = ranked.withColumn("start", F.explode(starts)).groupBy("item_id", "ith", "start").agg(F.min("r").alias("r"), F.array_sort(F.collect_list(F.struct("pos", "r.shingle"))).alias("all"))
+    return w.where("r.df > 0").select("item_id", "ith", "start", F.col("r.shingle").alias("shingle"), (F.col("r.pos") - F.col("start")).alias("offset"), F.col("all.shingle").alias("want"))
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -76,44 +96,38 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     Words are compared after ``canon``.  Null, empty and short texts leak
     nothing; copies of a row are one record; several texts under one id are
-    all searched.
+    searched each by itself.
     """
-    docs, its = documents.select("doc_id", "text").distinct(), items.select("item_id", "text").distinct()
+    docs, its = documents.select("doc_id", "text"), _keyed(items, "item_id")
     mine = staged(shingles(its, "item_id"), "item-shingles")
     distinct = mine.select("shingle").distinct()
     n = distinct.count()
+    each = docs.where("text IS NOT NULL").withColumn("th", F.xxhash64("text"))
     if n <= SHIPPED:
         only = np.sort(distinct.toPandas()["shingle"].to_numpy("int64")) if n else np.zeros(0, "int64")
-        hits = shingles(documents.select("doc_id", "text"), "doc_id", only)
+        hits = shingles(each, "doc_id", only)
     else:
-        hits = shingles(documents.select("doc_id", "text"), "doc_id").join(distinct, "shingle", "left_semi")
-    hits = staged(hits.select("doc_id", "pos", "shingle", "n_words").distinct(), "hits")
-    rarity = hits.groupBy("shingle").agg(F.count("*").alias("df"))
-    # the rarest shingle of each item window; a shingle no document has comes first and ends the search for that window
-    per = WINDOW - SHINGLE + 1
-    ranked = mine.join(rarity, "shingle", "left").select("item_id", "n_words", "pos", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "shingle", "pos").alias("r"))
-    starts = F.filter(F.sequence(F.col("pos") - (per - 1), F.col("pos")), lambda s: (s >= 0) & (s <= F.col("n_words") - WINDOW))
-    windows = ranked.withColumn("start", F.explode(starts))
-    prefix = windows.groupBy("item_id", "start").agg(F.min("r").alias("r")).where("r.df > 0").select("item_id", "start", F.col("r.shingle").alias("shingle"), (F.col("r.pos") - F.col("start")).alias("offset"))
-    cand = salted_join(hits, prefix, ["shingle"]).withColumn("doc_start", F.col("pos") - F.col("offset"))
-    cand = cand.where((F.col("doc_start") >= 0) & (F.col("doc_start") + WINDOW <= F.col("n_words"))).select("doc_id", "item_id", "start", "doc_start").distinct()
+        hits = shingles(each, "doc_id").join(distinct, "shingle", "left_semi")
+    hits = staged(hits.distinct(), "hits")
+    cand = salted_join(hits.withColumnRenamed("n_words", "doc_words"), prefixes(mine, hits), ["shingle"]).withColumn("doc_start", F.col("pos") - F.col("offset"))
+    cand = cand.where((F.col("doc_start") >= 0) & (F.col("doc_start") + WINDOW <= F.col("doc_words")))
     # all shingles of the window must stand at their places before the texts are read again
-    need = cand.select("doc_id", "item_id", "start", "doc_start", F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("k"))
-    need = need.select("doc_id", "item_id", "start", "doc_start", (F.col("start") + F.col("k")).alias("ipos"), (F.col("doc_start") + F.col("k")).cast("int").alias("pos"))
-    at_item = mine.select("item_id", F.col("pos").cast("int").alias("ipos"), "shingle").distinct()
-    full = need.join(at_item, ["item_id", "ipos"]).join(hits.select("doc_id", "pos", "shingle"), ["doc_id", "pos", "shingle"])
-    full = full.groupBy("doc_id", "item_id", "start", "doc_start").agg(F.countDistinct("pos").alias("n")).where(F.col("n") == per)
-    # one window is enough to name a pair; the first one is compared word by word
-    one = staged(full.groupBy("doc_id", "item_id").agg(F.min(F.struct("doc_start", "start")).alias("w")), "leak-windows")
-    dw = _words(docs.join(one.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
-    iw = _words(its, "item_id")
-    both = one.join(dw.withColumnRenamed("words", "dw"), "doc_id").join(iw.withColumnRenamed("words", "iw"), "item_id")
-    same = F.slice("dw", F.col("w.doc_start") + 1, F.lit(WINDOW)) == F.slice("iw", F.col("w.start") + 1, F.lit(WINDOW))
+    window = ["doc_id", "th", "item_id", "ith", "start", "doc_start"]
+    need = cand.select(*window, F.posexplode("want").alias("k", "shingle")).withColumn("pos", (F.col("doc_start") + F.col("k")).cast("int"))
+    full = need.join(hits.select("doc_id", "th", "pos", "shingle"), ["doc_id", "th", "pos", "shingle"])
+    full = full.groupBy(*window).agg(F.count("*").alias("n")).where(F.col("n") == WINDOW - SHINGLE + 1)
+    # the windows of a pair are compared word by word until one is the same
+    pair = ["doc_id", "th", "item_id", "ith"]
+    some = staged(full.groupBy(*pair).agg(F.collect_set(F.struct("doc_start", "start")).alias("w")), "leak-windows")
+    dw = _words(_keyed(each.join(some.select("doc_id", "th").distinct(), ["doc_id", "th"], "left_semi"), "doc_id"), "doc_id").withColumnRenamed("words", "dw")
+    iw = _words(its, "item_id").select("item_id", F.col("th").alias("ith"), F.col("words").alias("iw"))
+    both = salted_join(some.join(dw, ["doc_id", "th"]), iw, ["item_id", "ith"], hot=hot_keys(some, ["item_id", "ith"]))
+    same = F.exists("w", lambda x: F.slice("dw", x["doc_start"] + 1, F.lit(WINDOW)) == F.slice("iw", x["start"] + 1, F.lit(WINDOW)))
     return both.where(same).select("doc_id", "item_id").distinct()
 
 
 def _words(df: DataFrame, key: str) -> DataFrame:
-    return duckdb_map(df.select(key, "text"), f"SELECT {key}, {WORDS_SQL} AS words FROM batch WHERE text IS NOT NULL", f"{key} long, words array<string>")
+    return duckdb_map(df.select(key, "th", "text"), f"SELECT {key}, th, {WORDS_SQL} AS words FROM batch", f"{key} long, th long, words array<string>")
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -52,6 +52,9 @@ def test_lookalike_pairs(spark):
     assert canon.lookalike_pairs(docs(spark, t).limit(0)).count() == 0
     c = {r.doc_id: r.spellings for r in canon.lookalike_classes(docs(spark, t)).collect()}
     assert c == {1: 3, 2: 3, 3: 3, 8: 3}
+    classes = {r.doc_id: (r.documents, r.links) for r in canon.lookalike_classes(docs(spark, t)).collect()}
+    assert classes == {1: (4, 2), 2: (4, 3), 3: (4, 2), 8: (4, 3)} and sum(n for _, n in classes.values()) == 2 * len(got)
+    assert sorted(tuple(r) for r in canon.lookalike_links(docs(spark, t)).collect()) == [(2, 1), (8, 1)]
 
 
 def _words(text):
@@ -83,6 +86,16 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaks(docs(spark, rows), it.limit(0)).count() == 0 and leaks.leaks(docs(spark, rows).limit(0), it).count() == 0
 
 
+def test_texts_of_one_id_do_not_hide_each_other(spark):
+    a, b = [f"a{i}" for i in range(15)], [f"b{i}" for i in range(15)]
+    # the two texts of document 1 hold the shingles of item 7's first window between them, neither all of it
+    left = " ".join([*a[:9], *[f"u{i}" for i in range(9)]])
+    right = " ".join([*[f"v{i}" for i in range(5)], *a[5:15], *b])
+    d = docs(spark, [(1, left), (1, right), (2, left), (3, " ".join(a)), (3, left)])
+    it = spark.createDataFrame([(7, " ".join(a + ["gap"] + b), "s"), (8, " ".join(a), "s"), (7, "other text", "s"), (7, None, "s")], "item_id long, text string, task_set string")
+    assert sorted(tuple(x) for x in leaks.leaks(d, it).collect()) == [(1, 7), (3, 7), (3, 8)]
+
+
 def test_leaks_by_shuffle_are_the_same(spark, monkeypatch):
     d = docs(spark, [(1, " ".join(f"a{i}" for i in range(30))), (2, " ".join(f"a{i}" for i in range(20, 34))), (3, "xx " + " ".join(f"a{i}" for i in range(5, 20)))])
     it = spark.createDataFrame([(7, " ".join(f"a{i}" for i in range(40)), "s")], "item_id long, text string, task_set string")
