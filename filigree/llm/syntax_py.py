@@ -28,7 +28,7 @@ _STRING = rf"{_PREFIX}(?:'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\\\"]|\\[
 _NUMBER = r"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)(?![\w])"
 _NEWLINE = r"(?:[ \t\f\r]*(?:#[^\n]*)?\n)+[ \t\f]*"
 _OP = "|".join(re.escape(o) for o in sorted(_OPS, key=len, reverse=True)) + r"|[{}()\[\];,<>+\-*/%&|^~:=.@]"
-_FAST = re.compile(rf"(?:[ \t\f\r]|\\\r?\n)*({_NEWLINE}|{_STRING}|[^\W\d]\w*|{_NUMBER}|{_OP}|#[^\n]*|[^\s])")
+_FAST = re.compile(rf"(?:[ \t\f\r]|\\\r?\n)*({_NEWLINE}|{_STRING}|(?:[^\W\d]|[^\x00-\x7f\s])(?:\w|[^\x00-\x7f\s])*|{_NUMBER}|{_OP}|#[^\n]*|[^\s])")
 
 
 class Bad(Exception):
@@ -837,6 +837,110 @@ def _depth(kinds: str) -> int:
     return d
 
 
+_FSTART = re.compile(r"(?i)(?:f|fr|rf|t|tr|rt)(\'\'\'|\"\"\"|\'|\")")
+_CONVERSION = re.compile(r"![rsa]\s*(?=[:}])")
+_PLAIN = re.compile(_STRING)
+
+
+def _plain(quote: str, n: int) -> str:
+    """A string literal of ``n`` characters."""
+    return quote + "_" * (n - 2 * len(quote)) + quote
+
+
+def _string_end(s: str, i: int, quote: str) -> int | None:
+    """The end of an f-string whose body begins at ``i``, by recursive descent into its fields; None if it is broken."""
+    while i < len(s):
+        if s.startswith(quote, i):
+            return i + len(quote)
+        c, two = s[i], s[i : i + 2]
+        if c == "\n" and len(quote) == 1:
+            return None
+        if c == "\\":
+            i += 1 if s[i + 1 : i + 2] in ("{", "}") else 2
+            if s[i - 1 : i + 1] == "N{" and "}" in s[i:]:
+                i = s.index("}", i) + 1
+        elif two in ("{{", "}}"):
+            i += 2
+        elif c == "{":
+            i = _field_end(s, i + 1, quote)
+            if i is None:
+                return None
+        elif c == "}":
+            return None
+        else:
+            i += 1
+    return None
+
+
+def _field_end(s: str, start: int, quote: str) -> int | None:
+    """The end of a replacement field whose expression begins at ``start``."""
+    i, depth, at, flat = start, 0, start, []
+    while i < len(s):
+        c = s[i]
+        f = _FSTART.match(s, i) if not (s[i - 1].isalnum() or s[i - 1] == "_") else None
+        if f:
+            end = _string_end(s, f.end(), f.group(1))
+            if end is None:
+                return None
+            # it has been looked into: what is around it sees a plain string
+            flat += [s[at:i], _plain(f.group(1), end - i)]
+            at = i = end
+            continue
+        plain = _PLAIN.match(s, i) if c in "'\"" else None
+        if plain:
+            i = plain.end()
+            continue
+        if c in "'\"":
+            return None
+        if c == "#":
+            i = s.find("\n", i)
+            if i < 0:
+                return None
+            continue
+        if not depth and (c in "}:" or c == "!" and s[i + 1 : i + 2] != "="):
+            break
+        depth += (c in "([{") - (c in ")]}")
+        i += 1
+    else:
+        return None
+    expr = re.sub(r"(?<![=!<>])=\s*$", "", "".join([*flat, s[at:i]])).strip()
+    if not expr or not expression_ok(expr):
+        return None
+    if s[i] == "!":
+        m = _CONVERSION.match(s, i)
+        if not m:
+            return None
+        i = m.end()
+    if s[i] == ":":
+        i += 1
+        while i < len(s) and s[i] != "}":
+            if s.startswith(quote, i) or s[i] == "\n" and len(quote) == 1:
+                return None
+            i = _field_end(s, i + 1, quote) if s[i] == "{" else i + 1
+            if i is None:
+                return None
+    return i + 1 if i < len(s) else None
+
+
+def unnested(text: str) -> str:
+    """``text`` with every f-string that has its own quotes inside its fields as a plain string of the same length.
+
+    Only such whose fields are expressions are replaced, so that a broken one
+    still shows.
+    """
+    out, at, i = [], 0, 0
+    while m := _FAST.match(text, i):
+        i, start = m.end(), m.start(1)
+        f = _FSTART.match(text, start)
+        end = _string_end(text, f.end(), f.group(1)) if f else None
+        if end is not None and end != m.end(1):
+            q = f.group(1)
+            body = text[start + len(q) : end - len(q)]
+            out += [text[at:start], q, re.sub(r"[^\n]", "_", body) if len(q) == 3 else "_" * len(body), q]
+            at = i = end
+    return "".join([*out, text[at:]])
+
+
 def logical_lines(text: str) -> list[tuple[int, str, int]]:
     """(indentation, kinds, number of the first physical piece) of every logical line."""
     kinds = "".join([_TABLE[t] for t in _FAST.findall(text if text[:1] in "\n" else "\n" + text)])
@@ -930,11 +1034,17 @@ def problems(text: str) -> list[tuple[int, str]]:
 
 
 def accepts(text: str) -> bool:
-    return "\0" not in text and not problems(text)
+    if "\0" in text:
+        return False
+    if not problems(text):
+        return True
+    flat = unnested(text)
+    return flat != text and not problems(flat)
 
 
 def errors(text: str) -> list[tuple[int, str]]:
     """All errors as (offset of the line in the text, message)."""
+    text = unnested(text)
     starts = [0]
     source = text.removeprefix("﻿")
     shift = 0 if source[:1] == "\n" else -1

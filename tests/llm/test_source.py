@@ -58,6 +58,35 @@ def test_broken_python_is_refused_like_ast():
             assert syntax_py.accepts(t) == _parses(t), (f, t[-200:])
 
 
+NESTED = [
+    "f'{' '.join(c)!r}'", "f'{f'{f'{1}'}'}'", "f'{x:{'>'}{10}}'", "f'{a['b']}'", "f'{a[\"b\"]}{'c'}' 'd'", "f'{'", "f'{'a' 'b'}'", "f'{'a' b}'", "f'{a!x}'", "f'{\n1\n}'", "f\'\'\'{'\\n'}\'\'\'",
+    "x·y = 3", "x󠄀 = 4", "a→b", "f'{x = }'", "f'{x == 'y'}'", "f'{'\\n'.join(a)}'", "rf'{'d'}'", "f'\\N{DIGIT ONE}{'a'}'", "f'{lambda x: 1}'", "f'{(lambda x: 1)}'", "f'{'a':>{'b'}}'", "f'{}'", "f'{x!r:{y}}{'z'}'",
+    "f'{{'{'a'}'", "f'{'a' # c\n}'", "f'{d['k']:'>3}'", "print(f'{x['a']}', f'{y['b']}')", "f'{yield 'x'}'", "f'{*'ab',}'", "f'{x:=5}{'a'}'", "f'}'", "f'{'a'}}'", "f'{'a}'", "f'{('a'}'", "f'{'a':{}}'",
+]
+
+
+def test_quotes_inside_fields_and_rare_identifiers():
+    for t in NESTED:
+        assert syntax_py.accepts(t) == _parses(t), t
+    deep = "f'{" * 60 + "1" + "}'" * 60
+    assert syntax_py.accepts(deep) and not syntax_py.accepts(deep[:-1])
+
+
+def test_deep_nesting_is_parsed_and_deeper_is_its_own_cause():
+    import sys
+
+    before = sys.getrecursionlimit()
+    try:
+        sys.setrecursionlimit(syntax.DEEPEST)
+        n = 30_000
+        assert syntax.judge("const a = " + "[" * n + "1" + "]" * n + ";", "ts")[0] and syntax.judge("a = " + "[" * n + "1" + "]" * n + "\n", "py")[0]
+        assert not syntax.judge("const a = " + "[" * n + "1" + "]" * (n - 1) + ";", "ts")[0]
+        sys.setrecursionlimit(5_000)
+        assert syntax.judge("let b = " + "(" * n + "2" + ")" * n + ";", "ts")[2] == "too-deep"
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def test_all_errors_are_found_with_recovery():
     e = syntax_js.errors("let a = ;\nlet b = 1;\nlet c = ;\nfunction f() {\n  let d = ;\n  return 1;\n}\n", True, False)
     assert len(e) == 3
