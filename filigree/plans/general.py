@@ -40,8 +40,10 @@ def _p6(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    hot = [skew.heavy_keys(c, 10, 0.01).select("key_kind", F.col("key").alias("key_id")) for c in _p6(spark, d)]
-    return hot[0].unionByName(hot[1])
+    files = skew.heavy_by_refinement(table(spark, d, "edges"), "dst", "src", 10, 0.01)
+    clusters = skew.heavy_by_refinement(skew.dependents(table(spark, d, "clusters")), "cluster_id", "dependent", 10, 0.01)
+    kind = lambda df, k: df.select(F.lit(k).alias("key_kind"), F.col("key").alias("key_id"))
+    return kind(files, "file").unionByName(kind(clusters, "cluster"))
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:

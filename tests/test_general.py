@@ -180,6 +180,20 @@ def test_running_sum(spark):
     assert {(x.g, x.o): x.running for x in skew.running_sum(df, "g", "o", "w").collect()} == want
 
 
+def test_heavy_keys_by_refinement(spark):
+    r = random.Random(6)
+    data = [(-(2**63), i) for i in range(40)] + [(2**63 - 1, i) for i in range(30)] + [(7, i) for i in range(25)] + [(8, i) for i in range(9)] + [(r.randrange(-(2**62), 2**62), i) for i in range(300)]
+    data += data[:50] + [(None, 1), (7, None), (None, None)]
+    df = spark.createDataFrame(data, "key long, value long")
+    n = {k: len({v for a, v in data if a == k and v is not None}) for k, _ in data if k is not None}
+    for least, share in ((10, 0.01), (26, 0.01), (1, 0.08), (500, 0.01)):
+        want = {(k, c) for k, c in n.items() if c >= least and c >= share * sum(n.values())}
+        for bins in (4, 256):
+            assert {tuple(x) for x in skew.heavy_by_refinement(df, "key", "value", least, share, bins).collect()} == want
+        assert {(x.key, x.n) for x in skew.heavy_keys(skew.key_counts(df, "key", "value"), least, share).collect()} == want
+    assert skew.heavy_by_refinement(df.limit(0), "key", "value", 1, 0.01).count() == 0
+
+
 def test_counts_and_heavy_keys(spark):
     e = spark.createDataFrame([(i, 1) for i in range(50)] * 2 + [(i, i + 100) for i in range(60)] + [(None, 1), (3, None)], "src long, dst long")
     c = skew.importer_counts(e)
