@@ -39,7 +39,7 @@ def baskets(commits: DataFrame, least: int = 1, most: int = 50) -> DataFrame:
     commits with fewer than ``least`` or more than ``most`` items are left out.
     Copies of a row collapse before the shuffle, whatever their order.
     """
-    clean = F.filter(F.transform("files", lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x.isNotNull() & (x != ""))
+    clean = F.filter(F.transform("files", lambda x: F.rtrim(x, F.lit(" \t\n\x0b\f\r"))), lambda x: x.isNotNull() & (x != ""))
     rows = commits.where(F.col("files").isNotNull()).select(F.col("repo").alias("grp"), F.col("commit_id").alias("basket"), F.array_sort(F.array_distinct(clean)).alias("items"))
     one = rows.groupBy("grp", "basket").agg(F.collect_set("items").alias("sets"))
     items = F.when(F.size("sets") == 1, F.col("sets")[0]).otherwise(F.array_sort(F.array_distinct(F.flatten("sets"))))
