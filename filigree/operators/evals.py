@@ -135,25 +135,33 @@ def summarize_arms(rows: DataFrame) -> DataFrame:
     return g.withColumn("accuracy", F.col("correct") / F.col("episodes"))
 
 
+#: Parts that the tasks of a bootstrap are divided into by hash, and weights drawn at a time.
+BOOTSTRAP_PARTS, BOOTSTRAP_CELLS = 64, 1 << 20
+
+
 def bootstrap(deltas: DataFrame, samples: int = 5000, seed: int = 0) -> DataFrame:
     """Percentile interval of the mean of ``d``: one row ``tasks, delta, low, high, better, worse``.
 
-    A Poisson bootstrap: each task's sums for all samples are made where its
-    row lies and added up, so resampling needs neither the rows in one place
-    nor a second pass.
+    Every sample draws as many tasks as there are, with replacement.  How many
+    of its draws fall into each part of the tasks is one multinomial draw, which
+    all parts make alike from the seed; each part then draws its own number
+    from its own rows, and only sums per sample leave it.  Without rows the
+    interval is null.
     """
-
-    def parts(batches):
-        s, n = np.zeros(samples), np.zeros(samples)
-        for pdf in batches:
-            for t, d in zip(pdf.task, pdf.d):
-                w = np.random.default_rng([seed, int(t) & 0x7FFFFFFF]).poisson(1.0, samples)
-                s += w * d
-                n += w
-        yield pd.DataFrame({"sample": np.arange(samples), "s": s, "n": n})
-
-    per = deltas.groupBy("task").agg(F.avg("d").alias("d"))
-    b = per.mapInPandas(parts, "sample long, s double, n double").groupBy("sample").agg((F.sum("s") / F.greatest(F.sum("n"), F.lit(1.0))).alias("m"))
+    per = deltas.groupBy("task").agg(F.avg("d").alias("d")).withColumn("part", F.pmod(F.xxhash64("task"), F.lit(BOOTSTRAP_PARTS)).cast("int"))
+    sizes = np.zeros(BOOTSTRAP_PARTS, "int64")
+    for r in per.groupBy("part").count().collect():  # at most BOOTSTRAP_PARTS rows
+        sizes[r["part"]] = r["count"]
+    n = int(sizes.sum())
+
+    def sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        part, d = int(key[0]), pdf.sort_values("task").d.to_numpy()
+        draws = np.random.default_rng([seed, BOOTSTRAP_PARTS]).multinomial(n, sizes / n, samples)[:, part]
+        rng, even = np.random.default_rng([seed, part]), np.full(len(d), 1 / len(d))
+        s = [rng.multinomial(k, even) @ d for k in np.array_split(draws, max(1, samples * len(d) // BOOTSTRAP_CELLS))]
+        return pd.DataFrame({"sample": np.arange(samples), "s": np.concatenate(s)})
+
+    b = per.groupBy("part").applyInPandas(sums, "sample long, s double").groupBy("sample").agg((F.sum("s") / max(1, n)).alias("m"))
     ci = b.agg(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY m)").alias("low"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY m)").alias("high"))
     t = per.agg(F.count("*").alias("tasks"), F.avg("d").alias("delta"), F.coalesce(F.sum((F.col("d") > 1e-9).cast("long")), F.lit(0)).alias("better"), F.coalesce(F.sum((F.col("d") < -1e-9).cast("long")), F.lit(0)).alias("worse"))
     return t.crossJoin(F.broadcast(ci))

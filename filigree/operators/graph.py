@@ -54,16 +54,24 @@ def neighbours(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return edges.join(sources.select("src").distinct(), "src", "left_semi").select("src", "dst").distinct()
 
 
-def import_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lines of the reverse index: ``repo, target, importers`` with sorted paths joined by ', '.
+def import_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The reverse index in rows: ``repo, target, importer``, each pair of paths once.
 
-    One line per imported file; its length is that of the file the index is
-    written to, which is the feature.
+    Nothing is gathered per target, so a hub's importers stay spread.
     """
     rel = nodes.select("id", "rel")
     e = edges.join(rel.select(F.col("id").alias("dst"), F.col("rel").alias("target")), "dst")
     e = e.join(rel.select(F.col("id").alias("src"), F.col("rel").alias("importer")), "src")
-    return e.groupBy("repo", "target").agg(F.array_join(F.array_sort(F.collect_set("importer")), ", ").alias("importers"))
+    return e.select("repo", "target", "importer").distinct()
+
+
+def import_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Lines of the reverse index: ``repo, target, importers`` with sorted paths joined by ', '.
+
+    The form of the text index, whose line for a hub is as long as its
+    importers are many; ``import_pairs`` is the form for further work.
+    """
+    return import_pairs(nodes, edges).groupBy("repo", "target").agg(F.array_join(F.array_sort(F.collect_list("importer")), ", ").alias("importers"))
 
 
 def top_per(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:

@@ -188,6 +188,14 @@ class VersionedTarget:
         self._publish(base + 1, parts)
         return base + 1
 
+    def replace(self, rows: DataFrame, version: int) -> None:
+        """Publish ``rows``, which hold each key once, as the whole of ``version``; raises unless that is the next one."""
+        if version != self.current() + 1:
+            raise RuntimeError(f"version {version} does not follow {self.current()}")
+        part = f"data/{version}-{self.spark._jvm.java.util.UUID.randomUUID()}"
+        rows.withColumn("_run", F.lit(version)).withColumn("_gone", F.lit(False)).write.parquet(f"{self.path}/{part}")
+        self._publish(version, [part])
+
     def _compacted(self, version: int, parts: list[str]) -> str:
         """All parts as one: the newest row of each key, without those that are gone."""
         df = self.spark.read.parquet(*[f"{self.path}/{p}" for p in parts])

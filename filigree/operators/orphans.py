@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.functions.paths import SCRIPT_SUFFIX, dirname, extension, join_relative, python_relative, served_keys
+from filigree.operators.incremental import VersionedTarget
 from filigree.operators.salted import hot_keys, salted_join
 from filigree.session import staged
 
-# Endings of files that are no code, whose references are never orphans.
+# Endings that a reference may have and its file lack; endings of files that are no code, whose references are never orphans.
+SCRIPT_ENDS = (".js", ".jsx", ".mjs", ".cjs")
 ASSET_SUFFIX = r"\.(css|scss|svg|png|json)$"
 
 
@@ -141,6 +145,69 @@ def orphan_report(refs: DataFrame, edges: DataFrame, files: DataFrame, shared: D
     )
 
 
+def reference_deltas(edges: DataFrame, refs: DataFrame, files: DataFrame, sign: int = 1) -> DataFrame:
+    """Signed reference counts ``tab, repo, key, refs, present`` of a batch of rows.
+
+    An edge counts for the id it points at (``tab`` edges, empty ``repo``), a
+    relative reference for the path it means in the importer's repository
+    (``tab`` refs).  ``files`` gives the importers' paths.  Copies
+    within the batch are one row; with ``sign`` -1 the rows are taken back.
+    """
+    e = edges.where("dst IS NOT NULL").select("src", "dst").distinct().select(F.lit("edges").alias("tab"), F.lit("").alias("repo"), F.col("dst").cast("string").alias("key"))
+    home = files.select(F.col("id").alias("file"), "repo", "rel").distinct()
+    r = refs.select("file", "pos", "specifier").distinct().join(home, "file")
+    # the first wanted path stands for all; one above the root is a key that no file has
+    r = specifier_keys(r).where("wanted IS NOT NULL").select(F.lit("refs").alias("tab"), "repo", F.coalesce(F.get("wanted", F.lit(0)), F.concat(F.lit("/"), "specifier")).alias("key"))
+    return e.unionByName(r).groupBy("tab", "repo", "key").agg((F.count("*") * sign).alias("refs")).withColumn("present", F.lit(0).cast("long"))
+
+
+def presence_deltas(files: DataFrame, shared: DataFrame | None = None, sign: int = 1) -> DataFrame:
+    """Signed existence counts ``tab, repo, key, refs, present`` of a batch of file rows, by id and by every path a file answers to.
+
+    A row counts +1 for its appearance and -1 if it is gone; a batch that
+    marks a known file as gone takes the old row back (``sign`` -1) and adds
+    the new one.  Shared files are always there.
+    """
+    by_id = existence_deltas(files, F.array(F.col("id").cast("string"))).select(F.lit("edges").alias("tab"), F.lit("").alias("repo"), "key", "d")
+    served = served_keys(F.col("rel"))
+    # a script path is also answered by what answers it without its ending
+    scripts = F.flatten(F.transform(served, lambda k: F.transform(F.array(*[F.lit(e) for e in SCRIPT_ENDS]), lambda e: F.concat(k, e))))
+    by_path = existence_deltas(files, F.concat(served, scripts)).select(F.lit("refs").alias("tab"), "repo", "key", "d")
+    every = by_id.unionByName(by_path)
+    if shared is not None:
+        every = every.unionByName(shared.select("id").distinct().select(F.lit("edges").alias("tab"), F.lit("").alias("repo"), F.col("id").cast("string").alias("key"), F.lit(1).alias("d")))
+    return every.where("key IS NOT NULL AND repo IS NOT NULL").groupBy("tab", "repo", "key").agg((F.sum("d") * sign).cast("long").alias("present")).withColumn("refs", F.lit(0).cast("long")).select("tab", "repo", "key", "refs", "present")
+
+
+class OrphanLedger:
+    """Balances of references and existence per key, kept up by batches of deltas in a ``VersionedTarget``.
+
+    Batches are numbered from 1; a batch that is applied already is passed
+    over, so a run repeated after a failure counts nothing twice.
+    """
+
+    KEYS = ("tab", "repo", "key")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.target = VersionedTarget(spark, path, self.KEYS, "key")
+
+    def apply(self, batch: int, *deltas: DataFrame) -> bool:
+        """Add the deltas of a batch; False if it was there before."""
+        if batch <= self.target.current():
+            return False
+        balance = self.target.read()
+        parts = ([balance.drop("_run")] if balance is not None else []) + [d.select(*self.KEYS, "refs", "present") for d in deltas]
+        total = parts[0]
+        for p in parts[1:]:
+            total = total.unionByName(p)
+        self.target.replace(added(total, self.KEYS), batch)
+        return True
+
+    def orphans(self) -> DataFrame:
+        """The current orphan report ``tab, repo, key, refs``: keys with references and no existence."""
+        return current_orphans(self.target.read()).select(*self.KEYS, "refs")
+
+
 def signed_balance(edges: DataFrame, files: DataFrame, shared: DataFrame) -> DataFrame:
     """Current state per file id from signed deltas: ``key, refs, present``.
 
@@ -154,12 +221,17 @@ def signed_balance(edges: DataFrame, files: DataFrame, shared: DataFrame) -> Dat
     return e.unionByName(p).unionByName(s).groupBy("key").agg(F.sum("r").alias("refs"), F.sum("p").alias("present"))
 
 
-def add_deltas(balance: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Merge a batch of ``key, refs, present`` deltas into a balance; keys at (0, 0) disappear."""
-    both = balance.unionByName(deltas).groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("present").alias("present"))
+def added(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sums of ``refs`` and ``present`` per key; keys at (0, 0) disappear."""
+    both = rows.groupBy(*keys).agg(F.sum("refs").alias("refs"), F.sum("present").alias("present"))
     return both.where((F.col("refs") != 0) | (F.col("present") != 0))
 
 
+def add_deltas(balance: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Merge a batch of ``key, refs, present`` deltas into a balance."""
+    return added(balance.unionByName(deltas), ["key"])
+
+
 def current_orphans(balance: DataFrame) -> DataFrame:
     """Keys with positive references and no existence."""
     return balance.where((F.col("refs") > 0) & (F.col("present") <= 0))

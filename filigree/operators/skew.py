@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filigree.operators.salted import HOT_PARTS, HOT_ROWS, hot_keys, salted_join
+from filigree.operators.salted import hot_keys, hot_of, salted_join
 from filigree.session import cut, staged
 
 #: Bins of one refinement step.  One step moves at most this many rows per key and quantile.
@@ -84,8 +84,7 @@ def exact_quantiles(df: DataFrame, qs: Sequence[float], bins: int = BINS) -> Dat
     rows = df.where(F.col("key").isNotNull() & F.col("value").isNotNull()).select("key", F.col("value").cast("long").alias("value"))
     rows = staged(rows.groupBy("key", "value").agg(F.count("*").alias("c")), "values")
     span = cut(rows.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("d"), F.min("value").alias("lo"), F.max("value").alias("hi")))
-    total = span.agg(F.sum("d").alias("total"))
-    hot = cut(span.crossJoin(F.broadcast(total)).where((F.col("d") * HOT_PARTS > F.col("total")) & (F.col("d") > HOT_ROWS)).select("key"))
+    hot = cut(hot_of(span, ["key"], "d"))
     want = F.array(*[F.lit(float(q)) for q in qs])
     live = span.select("key", "n", F.explode(want).alias("q"), "lo", "hi")
     live = cut(live.withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))).cast("long")))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
+import shutil
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -31,23 +35,31 @@ class Index:
     outcomes: DataFrame
     edges: DataFrame
     links: DataFrame
+    store: str | None = None
 
 
 def build(spark: SparkSession, root: str | Path, store: str | None = None) -> Index:
     """Inventory, parsing, resolution and contracts of a checkout.
 
-    With a ``store`` folder only new and changed files are parsed.
+    With a ``store`` folder only files whose time stamp or size changed are
+    read, and only those whose content changed are parsed.
     """
     root = Path(root).resolve()
     repo = root.name
     prof = manifests.read(root)
     patterns = manifests.workspace_patterns(root)
-    files = cut(walk.files(spark, root, repo, lambda rel: any(manifests.pattern_covers(p, rel) for p in patterns)))
+    seen = Path(store) / "inventory.json" if store else None
+    facts = FactStore(spark, store) if store else None
+    known = facts.trusted(repo, json.loads(seen.read_text())) if seen and seen.is_file() else None
+    files = cut(walk.files(spark, root, repo, lambda rel: any(manifests.pattern_covers(p, rel) for p in patterns), known))
     if files.isEmpty():
         raise ValueError(f"no source files under {root}")
     nodes = files.where(F.col("class").isin("source", "test", "config")).select("repo", "id", "rel", "python", "test", "class", "language")
     sources = files.join(nodes.select("id"), "id", "left_semi")
-    parsed = cut(FactStore(spark, store).parse(sources) if store else extract.parse(sources))
+    parsed = cut(facts.parse(sources) if facts else extract.parse(sources))
+    if seen:
+        # files that are not parsed have no stored facts and are read again
+        render.write_atomic(seen, json.dumps(walk.inventory(files)))
     t = extract.child_tables(parsed)
     alias = spark.createDataFrame([(repo, *r) for r in manifests.alias_rows(prof)] or [(repo, "", "\0", "\0", 0, False)], "repo string, scope string, pattern string, target string, place int, stop boolean")
     local = spark.createDataFrame([(repo, w["name"]) for w in prof.packages] or [(repo, "\0")], "repo string, package string")
@@ -66,19 +78,20 @@ def build(spark: SparkSession, root: str | Path, store: str | None = None) -> In
     front = sym.where("NOT test")
     http = contracts.http_files(t["http"].join(nodes.where("NOT test AND NOT python").select(F.col("id").alias("file")), "file", "left_semi"), t["extends"], front)
     links = cut(contracts.route_links(routes, sym, t["literals"], http))
-    return Index(repo, root, prof, files, nodes, t, out, edges, links)
+    return Index(repo, root, prof, files, nodes, t, out, edges, links, store)
 
 
-def write_indexes(ix: Index) -> dict:
-    """Write the import and the route index; returns what the run found.
+def write_indexes(ix: Index, state: Path | None = None) -> dict:
+    """Write the import and the route index into ``state``; returns what the run found.
 
-    The indexes are files for single lookups, so their rows come to the driver
-    here; they have one line per imported file.
+    The indexes are files for single lookups, so their rows pass the driver
+    here, in order and one partition at a time.
     """
-    rows = [(r.target, r.importers) for r in graph.import_index(ix.nodes, ix.edges).collect()]
+    pairs = graph.import_pairs(ix.nodes, ix.edges).orderBy("target", "importer").toLocalIterator()
+    rows = [(t, ", ".join(r.importer for r in g)) for t, g in itertools.groupby(pairs, lambda r: r.target)]
     rate = resolve.rates(ix.outcomes).first()
     miss = [(r.rel, r.specifier) for r in ix.outcomes.where("outcome = 'unresolved'").join(ix.nodes.select(F.col("id").alias("file"), "rel"), "file").select("rel", "specifier").orderBy("rel", "specifier").collect()]
-    here = ix.root / INDEX_DIR
+    here = state or ix.root / INDEX_DIR
     value = rate.rate if rate else 1.0
     render.write_atomic(here / "imports.md", render.imports_markdown(ix.profile.name or ix.repo, rows, value, len(miss)))
     links = link_rows(ix)
@@ -99,13 +112,41 @@ def link_rows(ix: Index) -> list[dict]:
     return [{"view": r.view, "file": r.file, "routes": list(r.routes), "callers": list(r.callers)} for r in c.orderBy("file", "view").collect()]
 
 
-def map_facts(ix: Index, max_domains: int = cluster.MAX_DOMAINS, seed: int = cluster.SEED) -> dict:
-    """All that the map shows: clusters with names, symbols, confidence and flows, most important first."""
-    spark, n, e = ix.files.sparkSession, ix.nodes, ix.edges
+def history(ix: Index, git: bool = True) -> tuple[DataFrame, DataFrame, bool]:
+    """Churn ``repo, id, n``, pairs ``repo, lo, hi, w, commits``, and whether there is a log.
+
+    With a store both are kept by path under the HEAD they were read at; while
+    it has not moved the log is not read, and paths that are no file any more
+    drop out.
+    """
+    spark, n = ix.files.sparkSession, ix.nodes
+    head = gitlog.head(ix.root) if git else None
+    memo = Path(ix.store) / "git" / head if ix.store and head else None
+    ids = n.select("repo", "id", "rel")
+    if memo and all((memo / t / "_SUCCESS").is_file() for t in ("churn", "pairs")):
+        churn = spark.read.parquet(str(memo / "churn")).join(ids, ["repo", "rel"]).select("repo", "id", "n")
+        p = spark.read.parquet(str(memo / "pairs")).join(ids.select("repo", F.col("rel").alias("a"), F.col("id").alias("x")), ["repo", "a"]).join(ids.select("repo", F.col("rel").alias("b"), F.col("id").alias("y")), ["repo", "b"])
+        return cut(churn), cut(p.select("repo", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "w", "commits")), True
     commits = gitlog.commits(spark, ix.root, ix.repo)
+    commits = commits if git else commits.limit(0)
     touch = cut(cochange.touched(commits, n))
-    churn = cochange.churn(touch)
-    pairs = cut(cochange.pairs(touch, n))
+    churn, pairs = cochange.churn(touch), cut(cochange.pairs(touch, n))
+    has_log = not commits.isEmpty()
+    if memo and has_log:
+        shutil.rmtree(memo.parent, True)
+        churn.join(ids, ["repo", "id"]).select("repo", "rel", "n").write.parquet(str(memo / "churn"))
+        named = pairs.join(ids.select("repo", F.col("rel").alias("a"), F.col("id").alias("lo")), ["repo", "lo"]).join(ids.select("repo", F.col("rel").alias("b"), F.col("id").alias("hi")), ["repo", "hi"])
+        named.select("repo", "a", "b", "w", "commits").write.parquet(str(memo / "pairs"))
+    return churn, pairs, has_log
+
+
+def map_facts(ix: Index, max_domains: int = cluster.MAX_DOMAINS, seed: int = cluster.SEED, git: bool = True) -> dict:
+    """All that the map shows: clusters with names, symbols, confidence and flows, most important first.
+
+    Without ``git`` the history is not read: no co-change and no churn.
+    """
+    spark, n, e = ix.files.sparkSession, ix.nodes, ix.edges
+    churn, pairs, has_log = history(ix, git)
     url = contracts.url_pairs(ix.tables["urls"].join(n.select(F.col("id").alias("file"), "python"), "file"))
     sym = ix.tables["symbols"].join(n.select(F.col("id").alias("file"), "python"), "file")
     sem = contracts.semantic_pairs(sym, url)
@@ -117,7 +158,6 @@ def map_facts(ix: Index, max_domains: int = cluster.MAX_DOMAINS, seed: int = clu
     scores = cut(graph.importance(graph.pagerank(n, arcs), fan, churn, entries))
     c = cut(cluster.clusters(n, fused, max_domains, seed))
     m, stab = c.select("repo", "id", "cluster"), c.select("id", "stability")
-    has_log = not commits.isEmpty()
     conf = {r.cluster: r for r in summary.confidence(m, e, ix.outcomes.where("outcome = 'unresolved'"), stab, pairs if has_log else None, resolve.rates(ix.outcomes)).collect()}
     dirs, syms = cut(summary.dominant_dirs(m, n, scores)), cut(summary.pick_symbols(m, sym, scores))
     ext = summary.cluster_externals(m, ix.outcomes.where("outcome = 'external'").select("file", "package"))
@@ -184,16 +224,19 @@ def coarse_pages(facts: dict, seed: int) -> list[dict]:
     return list(units.values())
 
 
-def write_map(ix: Index, budget: int = 4000, max_domains: int = cluster.MAX_DOMAINS, seed: int = cluster.SEED) -> str:
-    """Write ``CODEBASE.md`` (split into domain pages if it does not fit) and ``index.json``; returns the root page."""
-    facts = map_facts(ix, max_domains, seed)
+def write_map(ix: Index, budget: int = 4000, max_domains: int = cluster.MAX_DOMAINS, seed: int = cluster.SEED, state: Path | None = None, out: Path | None = None, index: bool = True, git: bool = True) -> str:
+    """Write the map to ``out`` (split into pages of ``state`` if it does not fit) and ``index.json``; returns the root page."""
+    facts = map_facts(ix, max_domains, seed, git)
     text, fits = render.fitted_map(ix.profile.name or ix.repo, facts, budget)
-    here = ix.root / INDEX_DIR
+    here = state or ix.root / INDEX_DIR
+    out = out or here / "CODEBASE.md"
     if not fits:
         units = coarse_pages(facts, seed)
-        text, pages = render.split_map(ix.profile.name or ix.repo, facts, units, assign_slugs([u["label"] for u in units]))
+        folder = Path(os.path.relpath(here / "domains", out.parent)).as_posix()
+        text, pages = render.split_map(ix.profile.name or ix.repo, facts, units, assign_slugs([u["label"] for u in units]), budget, folder)
         for slug, page in pages.items():
             render.write_atomic(here / "domains" / f"{slug}.md", page)
-    render.write_atomic(here / "CODEBASE.md", text)
-    render.write_atomic(here / "index.json", render.index_json(str(ix.root), facts, render.count_tokens(text)))
+    render.write_atomic(out, text)
+    if index:
+        render.write_atomic(here / "index.json", render.index_json(str(ix.root), facts, render.count_tokens(text)))
     return text

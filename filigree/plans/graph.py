@@ -35,6 +35,11 @@ def imports_index(spark: SparkSession, d: str) -> DataFrame:
     return graph.import_index(n, A.edges(spark, d, n))
 
 
+def import_pairs(spark: SparkSession, d: str) -> DataFrame:
+    n = A.nodes(spark, d)
+    return graph.import_pairs(n, A.edges(spark, d, n))
+
+
 def import_hubs(spark: SparkSession, d: str) -> DataFrame:
     n = A.nodes(spark, d)
     return graph.hubs(n, A.edges(spark, d, n)).select("repo", F.col("rank").cast("long").alias("rank"), "rel", "importers")
@@ -114,7 +119,7 @@ def match_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (importers_closure, importers_depth2, deps_closure, deps_direct, imports_index, import_hubs, suggest_paths, churn, cochange_pairs, directory_pairs, fused_graph, degrees, pagerank, importance, directory_partition, cluster_deps, match_clusters)
+    for f in (importers_closure, importers_depth2, deps_closure, deps_direct, imports_index, import_pairs, import_hubs, suggest_paths, churn, cochange_pairs, directory_pairs, fused_graph, degrees, pagerank, importance, directory_partition, cluster_deps, match_clusters)
 }
 
 _N = A.SQL["nodes"]
@@ -173,6 +178,7 @@ SQL = {
     "deps_closure": _closure("src", "dst", 40),
     "deps_direct": "SELECT DISTINCT src, dst FROM edges WHERE src % 50 = 0 AND src <> dst AND src IN (SELECT id FROM files) AND dst IS NOT NULL",
     "imports_index": f"""WITH {_NE} SELECT a.repo, b.rel AS target, string_agg(DISTINCT a.rel, ', ' ORDER BY a.rel) AS importers FROM dedges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id GROUP BY a.repo, b.rel""",
+    "import_pairs": f"""WITH {_NE} SELECT DISTINCT a.repo, b.rel AS target, a.rel AS importer FROM dedges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id""",
     "import_hubs": f"""WITH {_NE}, h AS (SELECT e.repo, n.rel, count(*) AS importers FROM dedges e JOIN nodes n ON e.dst = n.id GROUP BY e.repo, n.rel),
 k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY importers DESC, rel) AS rank FROM h) SELECT repo, rank, rel, importers FROM k WHERE rank <= 8""",
     "suggest_paths": f"""WITH {_N}, k AS (SELECT repo, rel AS path, row_number() OVER (PARTITION BY repo ORDER BY rel) AS rank FROM nodes WHERE contains(lower(rel), 'ledger')) SELECT repo, rank, path FROM k WHERE rank <= 5""",

@@ -103,23 +103,40 @@ def fitted_map(title: str, facts: dict, budget: int) -> tuple[str, bool]:
     return text, False
 
 
-def split_map(title: str, facts: dict, units: list[dict], slugs: list[str]) -> tuple[str, dict[str, str]]:
-    """A root page that points to one page per unit; a unit has ``label``, ``domains``, ``terms`` and ``budget``.
+# Terms and domain names shown per line of a root page, tried in turn until it fits its budget.
+ROOT_LADDER = ((8, None), (4, None), (0, None), (0, 8), (0, 3), (0, 0))
 
+
+def _root_page(title: str, files: int, units: list[dict], slugs: list[str], folder: str, terms: int, names: int | None) -> str:
+    out = [f"# {title}", "", f"{files} files in {len(units)} units.", ""]
+    for u, slug in zip(units, slugs, strict=True):
+        every = [d["name"] for d in u["domains"]]
+        said = every if names is None else every[:names] + [f"and {len(every) - names} more domains"] * (len(every) > names)
+        tail = f". Terms: {', '.join(u['terms'][:terms])}" if u["terms"][:terms] else ""
+        out.append(f"- [{u['label']}]({folder}/{slug}.md): {sum(len(d['files']) for d in u['domains'])} files; {'; '.join(said)}{tail}.")
+    return "\n".join(out) + "\n"
+
+
+def split_map(title: str, facts: dict, units: list[dict], slugs: list[str], budget: int | None = None, folder: str = "domains") -> tuple[str, dict[str, str]]:
+    """A root page that points to one page per unit in ``folder``; a unit has ``label``, ``domains``, ``terms`` and ``budget``.
+
+    The root page shows fewer terms, then fewer names, until it keeps to
+    ``budget``; every unit keeps its line.  Where that cannot be kept at all,
+    nothing is left out.
     A page keeps to its unit's budget by the ladder, and by dropping files from
     the end of its list, which it then says.
     """
     pages = {}
-    root = [f"# {title}", "", f"{facts['files']} files in {len(units)} units.", ""]
     for u, slug in zip(units, slugs, strict=True):
         files = [p for d in u["domains"] for p in d["files"]]
-        root.append(f"- [{u['label']}](domains/{slug}.md): {len(files)} files; " + "; ".join(d["name"] for d in u["domains"]) + (f". Terms: {', '.join(u['terms'])}" if u["terms"] else "") + ".")
         for (symbols, flows), shown in zip(LADDER, (len(files), 60, 60, 30, 15, 8, 4, 4)):
             more = [f"- and {len(files) - shown} more"] * (len(files) > shown)
             pages[slug] = map_markdown(u["label"], {**{k: v for k, v in facts.items() if k != "relations"}, "files": len(files), "domains": u["domains"], "hubs": []}, symbols, flows) + "\nFiles:\n" + "\n".join([*(f"- `{p}`" for p in files[:shown]), *more]) + "\n"
             if count_tokens(pages[slug]) <= u["budget"]:
                 break
-    return "\n".join(root) + "\n", pages
+    roots = [_root_page(title, facts["files"], units, slugs, folder, *rung) for rung in ROOT_LADDER]
+    text = next((r for r in roots if budget is None or count_tokens(r) <= budget), roots[0])
+    return text, pages
 
 
 def index_json(root: str, facts: dict, map_tokens: int) -> str:
@@ -131,7 +148,7 @@ def agents_block(has_routes: bool) -> str:
     lines = [START, "## Code lookups (filigree)", "", "This repository is indexed. Ask the index before changing a file:", "", "- `filigree importers <file> [--depth N] [--json]`: every file that imports `<file>`, directly or transitively.", "- `filigree deps <file>`: what the file imports."]
     if has_routes:
         lines.append("- `filigree callers <View>`: frontend files requesting that backend view's routes, with their importers.")
-    return "\n".join([*lines, "", "Each answer says whether the index is fresh; if not, run `filigree build` and ask again.", END])
+    return "\n".join([*lines, "", "Each answer says whether the index is fresh; if not, run `filigree` and ask again.", END])
 
 
 def merge_block(existing: str | None, block: str) -> str:

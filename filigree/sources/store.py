@@ -23,6 +23,14 @@ class FactStore:
     def __init__(self, spark: SparkSession, path: str):
         self.target = VersionedTarget(spark, f"{path.rstrip('/')}/facts-{FORMAT}", ["repo", "rel"], "hash")
 
+    def trusted(self, repo: str, inventory: dict[str, list]) -> dict[str, list]:
+        """The entries of a file inventory whose facts are stored, so that their text is not needed again."""
+        stored = self.target.read()
+        if stored is None:
+            return {}
+        have = {r.rel: r.hash for r in stored.where(F.col("repo") == repo).select("rel", "hash").collect()}
+        return {rel: v for rel, v in inventory.items() if have.get(rel) == v[2]}
+
     def parse(self, files: DataFrame) -> DataFrame:
         """Facts of ``files(repo, id, rel, language, hash, text)`` as ``extract.parse`` gives them.
 

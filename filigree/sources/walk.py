@@ -108,20 +108,32 @@ def snapshot(root: str | Path, covered: Callable[[str], bool] = lambda rel: Fals
     return [(r, m, s) for r, (m, s) in sorted(out.items())]
 
 
-def files(spark: SparkSession, root: str | Path, repo: str | None = None, covered: Callable[[str], bool] = lambda rel: False) -> DataFrame:
+def files(spark: SparkSession, root: str | Path, repo: str | None = None, covered: Callable[[str], bool] = lambda rel: False, known: dict[str, list] | None = None) -> DataFrame:
     """The ``files`` table of a checkout: ``repo, id, rel, language, bytes, loc, class, mtime_ns, hash, text``.
 
-    Ids count from 0 in path order, which many tie-breaks rely on.
+    Ids count from 0 in path order, which many tie-breaks rely on.  Files whose
+    time stamp and size are as in ``known`` (see ``inventory``) are not read:
+    they take over hash, lines and class, and have a null ``text``.
     """
     root = Path(root).resolve()
     repo = repo or root.name
     rows = []
     for rel, size, mtime in walk(root, covered):
         if CODE.search(rel) and size <= SIZE_MOST:
+            was = (known or {}).get(rel)
+            if was and was[:2] == [mtime, size]:
+                rows.append((repo, len(rows), rel, size, mtime, was[2], None, was[3], was[4]))
+                continue
             text = (root / rel).read_bytes().decode("utf-8", "replace")
-            rows.append((repo, len(rows), rel, size, mtime, hashlib.sha256(text.encode()).hexdigest(), text))
-    df = spark.createDataFrame(rows, "repo string, id long, rel string, bytes long, mtime_ns long, hash string, text string")
-    return classified(df)
+            rows.append((repo, len(rows), rel, size, mtime, hashlib.sha256(text.encode()).hexdigest(), text, None, None))
+    df = spark.createDataFrame(rows, "repo string, id long, rel string, bytes long, mtime_ns long, hash string, text string, known_loc long, known_class string")
+    new = classified(df)
+    return new.withColumns({"loc": F.coalesce("known_loc", "loc"), "class": F.coalesce("known_class", "class")}).withColumn("test", F.col("class") == "test").drop("known_loc", "known_class")
+
+
+def inventory(files: DataFrame) -> dict[str, list]:
+    """``rel`` to time stamp, size, hash, lines and class: what the next walk need not read again."""
+    return {r.rel: [r.mtime_ns, r.bytes, r.hash, r.loc, r["class"]] for r in files.select("rel", "mtime_ns", "bytes", "hash", "loc", "class").collect()}
 
 
 def classified(df: DataFrame) -> DataFrame:

@@ -139,6 +139,35 @@ def test_signed_balance_adds_up(spark):
     assert rows(orphans.current_orphans(both)) == [(1, 2, 0)]
 
 
+def test_ledger_is_kept_up_by_deltas(spark, tmp_path):
+    mk = lambda r: spark.createDataFrame(r, FILES)
+    one = [(1, "r", "src/a.ts", "h", T(1), None), (2, "r", "src/b.ts", "h", T(1), None), (3, "q", "m/x.py", "h", T(1), None)]
+    shared = spark.createDataFrame([(90,)], "id long")
+    edges = spark.createDataFrame([(1, 2, T(1)), (1, 2, T(1)), (3, 9, None), (1, 90, T(1)), (1, None, None)], EDGES)
+    refs = spark.createDataFrame([(1, 0, "./b", 1, T(1)), (1, 1, "./late.js", 2, T(1)), (3, 0, ".gone", 1, None), (1, 2, "react", 1, None), (1, 3, None, 1, None)], REFS)
+    led = orphans.OrphanLedger(spark, str(tmp_path / "l"))
+    got = lambda: sorted((r.tab, r.repo, r.key, r.refs) for r in led.orphans().collect())
+    assert led.apply(1, orphans.presence_deltas(mk(one), shared), orphans.reference_deltas(edges, refs, mk(one)))
+    first = [("edges", "", "9", 1), ("refs", "q", "m/gone", 1), ("refs", "r", "src/late.js", 1)]
+    assert got() == first
+    assert not led.apply(1, orphans.presence_deltas(mk(one), shared)) and got() == first
+    # b goes, late.ts and file 9 come
+    gone, new = [one[1]], [(2, "r", "src/b.ts", "h", T(1), T(2)), (4, "r", "src/late.ts", "h", T(2), None), (9, "q", "m/gone.py", "h", T(2), None)]
+    assert led.apply(2, orphans.presence_deltas(mk(gone), None, -1), orphans.presence_deltas(mk(new)))
+    assert got() == [("edges", "", "2", 1), ("refs", "r", "src/b", 1)]
+    # a reference is taken back; the balances are those of all batches at once
+    assert led.apply(3, orphans.reference_deltas(edges.limit(0), refs.where("pos = 0 AND file = 1"), mk(one), -1))
+    assert got() == [("edges", "", "2", 1)]
+    whole = orphans.OrphanLedger(spark, str(tmp_path / "w"))
+    whole.apply(1, orphans.presence_deltas(mk([one[0], one[2], *new]), shared), orphans.reference_deltas(edges, refs.where("NOT (pos = 0 AND file = 1)"), mk(one)))
+    plain = lambda x: rows(x.target.read().drop("_run"))
+    assert plain(whole) == plain(led)
+    with pytest.raises(RuntimeError):
+        led.apply(9, orphans.presence_deltas(mk(one)))
+    empty = orphans.OrphanLedger(spark, str(tmp_path / "e"))
+    assert empty.apply(1, orphans.presence_deltas(mk([])), orphans.reference_deltas(edges.limit(0), refs.limit(0), mk([]))) and empty.orphans().count() == 0
+
+
 # -- hot keys ---------------------------------------------------------------------------
 
 

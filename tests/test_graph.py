@@ -234,6 +234,15 @@ def test_evaluation_measures(spark):
     assert (m.tp, m.fp, m.fn) == (1, 2, 3)
     b = evals.bootstrap(spark.createDataFrame([(i, 0.5) for i in range(20)], "task long, d double"), samples=50).first()
     assert (b.low, b.high, b.better, b.worse) == (0.5, 0.5, 20, 0)
+    r = np.random.default_rng(4)
+    d = r.normal(0.1, 1, 150)
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(d)], "task long, d double")
+    b = evals.bootstrap(df, samples=4000)
+    means = d[r.integers(0, 150, (4000, 150))].mean(1)
+    got = b.first()
+    assert abs(got.low - np.quantile(means, 0.025)) < 0.02 and abs(got.high - np.quantile(means, 0.975)) < 0.02 and got.delta == pytest.approx(d.mean())
+    assert tuple(got) == pytest.approx(tuple(evals.bootstrap(df.repartition(7), samples=4000).first()))
+    assert evals.bootstrap(df.limit(0), samples=10).first().low is None
     q = spark.createDataFrame([(1, "Parsing tokens")], "query long, text string")
     t = spark.createDataFrame([(7, "token parsing of files"), (8, "the tokens"), (9, None), (10, "")], "id long, text string")
     assert [(r.id, r.score) for r in evals.lexical_search(q, t).orderBy("rank").collect()] == [(7, 2), (8, 1)]

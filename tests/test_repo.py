@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,14 +112,43 @@ def test_freshness_and_protocol(routed):
     os.remove(routed / "frontend/new.ts")
     ask = lambda **m: json.loads(serve.handle(routed, json.dumps({"jsonrpc": "2.0", "id": 1, **m})))
     assert ask(method="initialize")["result"]["serverInfo"]["name"] == "filigree"
-    assert [t["name"] for t in ask(method="tools/list")["result"]["tools"]] == ["importers", "callers"]
-    got = ask(method="tools/call", params={"name": "importers", "arguments": {"file": "backend/db.py", "depth": 0}})
-    assert json.loads(got["result"]["content"][0]["text"])["importers"] == [] and not got["result"]["isError"]
-    assert ask(method="tools/call", params={"name": "importers", "arguments": {"file": "../x"}})["result"]["isError"]
+    assert [t["name"] for t in ask(method="tools/list")["result"]["tools"]] == ["importers", "route_callers"]
+    call = lambda name, **a: ask(method="tools/call", params={"name": name, "arguments": a})["result"]
+    text = lambda r: r["content"][0]["text"]
+    assert ask(method="initialize", params={"protocolVersion": "2025-06-18"})["result"]["protocolVersion"] == "2025-06-18"
+    assert ask(method="initialize", params={"protocolVersion": "1999"})["result"]["protocolVersion"] == "2025-11-25"
+    seen = ask(method="server/discover")["result"]
+    assert seen["resultType"] == "complete" and "2024-11-05" in seen["supportedVersions"] and seen["_meta"]["io.modelcontextprotocol/serverInfo"]["name"] == "filigree"
+    got = call("importers", path="backend/db.py")
+    assert json.loads(text(got))["importers"] == [{"path": "backend/server.py", "depth": 1}] and not got["isError"]
+    none = call("importers", path="backend/db.py", depth=0)
+    assert text(none).startswith("no importers for 'backend/db.py'") and text(none).endswith("index fresh") and not none["isError"]
+    assert json.loads(text(call("route_callers", view="users")))["matches"][0]["importers"] == {"frontend/api.ts": ["frontend/list.ts"]}
+    assert "similar indexed views: users" in text(call("route_callers", view="user"))
+    for bad in ({"path": "../x"}, {"file": "backend/db.py"}, {"path": 3}, {"path": "a", "depth": -1}, {"path": "a", "depth": True}, {"path": "a", "depth": "1"}):
+        assert call("importers", **bad)["isError"], bad
+    assert call("route_callers")["isError"]
+    assert serve.handle(routed, json.dumps({"jsonrpc": "2.0", "id": 5, "method": "notifications/initialized"})) is None and serve.handle(routed, "[1]") is None
     assert ask(method="nope")["error"]["code"] == -32601 and ask(method="tools/call", params={"name": "x"})["error"]["code"] == -32602
     assert json.loads(serve.handle(routed, "{"))["error"]["code"] == -32700 and serve.handle(routed, '{"method": "ping"}') is None
 
 
+def test_command_line_analysis(tmp_path, capsys):
+    root = tree(tmp_path / "p", {"src/a.ts": "import { b } from './b';\nimport './gone';\nexport const a = b;\n", "src/b.ts": "export const b = 1;\n", "importers/c.ts": "export const c = 1;\n"})
+    state, out = tmp_path / "state", tmp_path / "docs" / "MAP.md"
+    assert main([str(root), "--index-dir", str(state), "--unresolved"]) == 0
+    assert "src/a.ts: ./gone" in capsys.readouterr().out and (state / "imports.md").is_file() and not (root / ".filigree").exists()
+    assert main([str(root), "--map", "--out", str(out), "--index-dir", str(state), "--no-index", "--no-git"]) == 0
+    said = capsys.readouterr().out
+    assert "map: " in said and "seconds: " in said and out.is_file() and not (state / "index.json").exists()
+    assert main(["importers", "src/b.ts", "--repo", str(root), "--index-dir", str(state), "--json"]) == 0
+    assert json.loads(capsys.readouterr().out)["importers"] == [{"path": "src/a.ts", "depth": 1}]
+    assert main(["deps", "src/a.ts", "--repo", str(root)]) == 2
+    assert main(["agents", "--repo", str(root), "--write", "AGENTS.md"]) == 0 and "importers" in (root / "AGENTS.md").read_text()
+    with pytest.raises(SystemExit):
+        main([str(root), "--no-index"])
+
+
 def test_map_fits_or_splits(spark, tmp_path):
     files = {f"src/{d}/{n}.ts": (f"import {{ x }} from './{m}';\n" if m else "") + f"export class {d.title()}{n.title()} {{}}\n" for d in ("auth", "billing", "search") for n, m in (("index", "service"), ("service", "types"), ("types", ""))}
     root = tree(tmp_path / "p", files)
@@ -132,6 +162,13 @@ def test_map_fits_or_splits(spark, tmp_path):
     # nothing links the three directories, so they ride in one bucket
     assert "[Files in src](domains/files-in-src.md): 9 files; Authentication; Billing; Search" in root_page
     assert "## Billing" in (root / ".filigree/domains/files-in-src.md").read_text()
+    units = [{"label": f"Unit {i}", "domains": [{"name": f"Domain {j}", "files": ["x"]} for j in range(40)], "terms": ["term"] * 8, "budget": 300} for i in range(6)]
+    facts = pipeline.map_facts(ix)
+    for u in units:
+        u["domains"] = [{**facts["domains"][0], **d} for d in u["domains"]]
+    tight, _ = render.split_map("t", facts, units, [f"u{i}" for i in range(6)], 150, "../x")
+    loose, _ = render.split_map("t", facts, units, [f"u{i}" for i in range(6)])
+    assert render.count_tokens(tight) <= 150 < render.count_tokens(loose) and tight.count("(../x/u") == 6 and "Domain 39" in loose
 
 
 def test_script_facts():
@@ -251,3 +288,50 @@ def test_store_parses_only_what_changed(spark, tmp_path, monkeypatch):
     assert run(texts) == {0: ["./b"], 1: [], 2: ["os"]}
     assert run({**{k: v for k, v in texts.items() if k != "a.ts"}, "c.py": "import re"}) == {0: [], 1: ["re"]}
     assert seen == [["a.ts", "b.ts", "c.py"], ["c.py"]]
+
+
+def test_build_reuses_stats_and_history(spark, tmp_path, monkeypatch):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "p"), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    root = tree(tmp_path / "p", {"a.ts": "import './b';\n", "b.ts": "export const b = 1;\n", "c.ts": "export const c = 1;\n"})
+    git("init", "-q")
+    for i in range(3):
+        (root / "a.ts").write_text(f"import './b';\n// {i}\n")
+        (root / "b.ts").write_text(f"export const b = {i};\n")
+        git("add", "-A")
+        git("commit", "-qm", str(i))
+    read, real = [], Path.read_bytes
+    monkeypatch.setattr(Path, "read_bytes", lambda p: read.append(p.name) or real(p))
+    store = str(tmp_path / "store")
+
+    def build():
+        read.clear()
+        ix = pipeline.build(spark, root, store)
+        sources = sorted(x for x in read if x.endswith(".ts"))
+        rel = {r.id: r.rel for r in ix.nodes.collect()}
+        classes = {(r.rel, r.loc, r["class"], r.hash) for r in ix.files.collect()}
+        return ix, sources, {(rel[r.src], rel[r.dst]) for r in ix.edges.collect()}, classes
+
+    def log(ix):
+        churn, pairs, has = pipeline.history(ix)
+        return sorted(tuple(r) for r in churn.collect()), sorted(tuple(r) for r in pairs.collect()), has
+
+    one, sources, edges, classes = build()
+    assert sources == ["a.ts", "b.ts", "c.ts"] and edges == {("a.ts", "b.ts")}
+    first = log(one)
+    assert first[2] and len(first[0]) == 3 and [(r[1], r[2]) for r in first[1]] == [(0, 1)]
+    two, sources, again, same = build()
+    assert sources == [] and again == edges and same == classes
+    with monkeypatch.context() as m:
+        m.setattr(pipeline.gitlog, "read_log", lambda *_: pytest.fail("the log was read although HEAD stands still"))
+        assert log(two) == first
+    (root / "a.ts").write_text("import './c';\n// longer than before\n")
+    (root / "aa.ts").write_text("import './a';\n")
+    three, sources, edges, _ = build()
+    assert sources == ["a.ts", "aa.ts"] and edges == {("a.ts", "c.ts"), ("aa.ts", "a.ts")}
+    # the remembered pair follows its paths to the new numbers
+    assert [(r[1], r[2]) for r in log(three)[1]] == [(0, 2)]
+    git("add", "-A")
+    git("commit", "-qm", "more")
+    assert {r[1]: r[2] for r in log(build()[0])[0]} == {0: 4, 1: 1, 2: 3, 3: 1}
