@@ -154,7 +154,7 @@ def bootstrap(deltas: DataFrame, samples: int = 5000, seed: int = 0) -> DataFram
         sizes[r["part"]] = r["count"]
     n = int(sizes.sum())
 
-    def sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def sums(key, pdf):
         part, d = int(key[0]), pdf.sort_values("task").d.to_numpy()
         draws = np.random.default_rng([seed, BOOTSTRAP_PARTS]).multinomial(n, sizes / n, samples)[:, part]
         rng, even = np.random.default_rng([seed, part]), np.full(len(d), 1 / len(d))
