@@ -21,7 +21,7 @@ def test_queries(spark, tmp_path, kind):
 
 def test_extra_rows_change_nothing(spark, tmp_path):
     d = awkward.write(tmp_path, "nulls")
-    for name in ("p3_found", "p6_found", "p2_target_state"):
+    for name in ("p6_found", "p2_target_state"):
         q = general.QUERIES[name]
         rows = lambda x: {tuple(r) for r in q(spark, x).collect() if r[0] is not None}
         assert rows(d) == rows(str(awkward.SOURCE)), name
