@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filigree.operators import search
 from filigree.operators.graph import top_per
 
 # Words that do not count in search.
@@ -45,21 +46,27 @@ def stem(word: Column) -> Column:
 def words(text: Column) -> Column:
     """Distinct stems of a text's words, camel case split, stop words out; null gives none."""
     low = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z0-9])([A-Z])", "$1 $2"))
-    found = F.transform(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)), stem)
+    found = F.transform(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))), stem)
     return F.filter(F.array_distinct(found), lambda x: ~x.isin(*STOP))
 
 
 def lexical_search(queries: DataFrame, texts: DataFrame, k: int = 50) -> DataFrame:
     """The ``k`` texts sharing most words with each query: ``query, rank, id, score``.
 
-    ``queries(query, text)``, ``texts(id, text)``; ties by id.  Query words are
-    few; adaptive execution splits the texts' rows of a hot word, and overlaps
-    are counted on the map side before the top k are taken.
+    ``queries(query, text)``, ``texts(id, text)`` with ids of type long; ties by
+    id, null last.  Several texts of one id count as one.  Overlaps are counted
+    by blocks of queries and texts (``search``), so pairs with a word in common
+    are never rows.
     """
-    q = queries.select("query", F.explode(words(F.col("text"))).alias("word")).distinct()
-    t = texts.select("id", F.explode(words(F.col("text"))).alias("word")).distinct()
-    n = t.join(q, "word").groupBy("query", "id").agg(F.count("*").alias("score"))
-    return top_per(n, ["query"], [F.desc("score"), F.asc("id")], k).select("query", "rank", "id", "score")
+
+    def of(df: DataFrame, key: str) -> DataFrame:
+        found = F.flatten(F.transform(F.collect_set("text"), words))
+        return df.groupBy(key).agg(F.array_distinct(found).alias("words"))
+
+    n = search.best_of_tasks(of(queries, "query"), of(texts, "id"), k)
+    # each task has sent k rows a query at most
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id")))
+    return n.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
 def label_quality(labels: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def route_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text").distinct()
+    docs = table(spark, d, "documents").select("doc_id", "text")
     q = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query"), "text")
     return evals.lexical_search(q, docs.select(F.col("doc_id").alias("id"), "text")).select("query", F.col("rank").cast("long").alias("rank"), "id", "score")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -248,6 +249,29 @@ def test_evaluation_measures(spark):
     assert [(r.id, r.score) for r in evals.lexical_search(q, t).orderBy("rank").collect()] == [(7, 2), (8, 1)]
 
 
+def test_lexical_search_by_blocks(spark, monkeypatch):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("bcdfgh") for _ in range(6)) for _ in range(60)]
+    text = lambda: " ".join(vocabulary[min(r.randrange(60), r.randrange(60))] for _ in range(r.randrange(25)))
+    t = [(i, text()) for i in range(400)] + [(None, "bbbbbb cccccc"), (900, "bbbbbb cccccc"), (7, text()), (8, None)]
+    q = [(i, text()) for i in range(40)] + [(99, "bbbbbb cccccc dd")]
+    words = lambda rows: {i: {w for j, x in rows if i == j and x for w in x.split()} for i, _ in rows}
+    want, of = set(), words(t)
+    for i, w in words(q).items():
+        n = sorted((-len(w & x), j is None, j or 0, j) for j, x in of.items() if w & x)[:5]
+        want |= {(i, k + 1, j, -s) for k, (s, _, _, j) in enumerate(n)}
+    ts, qs = spark.createDataFrame(t, "id long, text string"), spark.createDataFrame(q, "query long, text string")
+    for queries, texts, rare in ((512, 4096, 256), (7, 16, 256), (7, 3, 1), (16, 50, 1 << 40)):
+        monkeypatch.setattr("filigree.operators.search.QUERIES", queries, raising=False)
+        monkeypatch.setattr("filigree.operators.search.TEXTS", texts, raising=False)
+        monkeypatch.setattr("filigree.operators.search.RARE", rare, raising=False)
+        got = evals.lexical_search(qs, ts, 5)
+        assert {tuple(x) for x in got.collect()} == want
+    # no row for each word that a pair shares
+    assert not {"SortMergeJoin", "HashJoin"} & set(re.findall("SortMergeJoin|HashJoin", got._jdf.queryExecution().toString()))
+    assert evals.lexical_search(qs.limit(0), ts).count() == 0 == evals.lexical_search(qs, ts.limit(0)).count()
+
+
 def test_freshness(spark):
     s = spark.createDataFrame([("r", "a", 1, 1), ("r", "b", 1, None), ("r", "c", 1, 1)], "repo string, path string, mtime_ns long, size long")
     n = spark.createDataFrame([("r", "a", 2, 1), ("r", "b", 1, None), ("r", "d", 1, 1), ("q", "z", 1, 1)], "repo string, path string, mtime_ns long, size long")
