@@ -137,9 +137,13 @@ def parts(g: Graph, label: np.ndarray) -> np.ndarray:
         part = low
 
 
-def partition(g: Graph, gamma: float, seed: int) -> np.ndarray:
-    """Communities at one resolution, all connected, as the id of their least node."""
-    level, place, label, depth = g, np.arange(len(g.ids)), np.arange(len(g.ids)), 0
+def partition(g: Graph, gamma: float, seed: int, label: np.ndarray | None = None, depth: int = 0) -> np.ndarray:
+    """Communities at one resolution, all connected, as the id of their least node.
+
+    ``g`` may be a contracted level; then ``depth`` is its number and ``label``
+    holds the labels to begin with.
+    """
+    level, place, label = g, np.arange(len(g.ids)), np.arange(len(g.ids)) if label is None else label
     while True:
         new = moved(level, label, gamma, seed, depth, 0)
         part = parts(level, new)
@@ -252,12 +256,14 @@ def kernel(nodes: DataFrame, fused: DataFrame, most: int = MAX_DOMAINS, seed: in
 # -- tables: repositories of any size ------------------------------------------------
 #
 # ``run`` numbers the pairs of resolution and seed, which are all worked on at
-# once.  Nodes have ``run, repo, gamma, seed, m2, id, k, c``, edges ``run, src,
-# dst, w`` in both directions.
+# once.  Nodes have ``run, repo, gamma, seed, m2, id, k, c``, edges ``run, repo,
+# src, dst, w`` in both directions.
 
 
 def _moves(nodes: DataFrame, edges: DataFrame, level: int, phase: int) -> DataFrame:
-    for r in range(ROUNDS):
+    # salt and round are columns: with literals each round would have code of its own to compile and to keep
+    nodes = nodes.withColumns({"salt": F.pmod(F.col("seed") * 7919 + _salt(0, level, phase, 0), F.lit(_P)), "round": F.lit(0)})
+    for _ in range(ROUNDS):
         tot = nodes.groupBy("run", "c").agg(F.sum("k").alias("tot"))
         link = edges.join(nodes.select("run", F.col("id").alias("dst"), F.col("c").alias("to")), ["run", "dst"]).groupBy("run", F.col("src").alias("id"), "to").agg(F.sum("w").alias("link"))
         link = link.join(tot.select("run", F.col("c").alias("to"), F.col("tot").alias("there")), ["run", "to"])
@@ -267,14 +273,15 @@ def _moves(nodes: DataFrame, edges: DataFrame, level: int, phase: int) -> DataFr
         best = j.groupBy("run", "id").agg(F.max(gain).alias("best"), F.max(F.when(F.col("to") == F.col("c"), F.col("link"))).alias("own"))
         stays = F.coalesce("own", F.lit(0)) - F.col("gamma") * F.col("k") * (F.col("tot") - F.col("k")) / F.col("m2")
         wants = F.coalesce(F.col("best.gain") > stays + LEAST_GAIN, F.lit(False))
-        salt = F.pmod(F.col("seed") * 7919 + _salt(0, level, phase, r), F.lit(_P))
-        goes = F.col("wants") & (F.pmod(F.expr("lot div 512"), F.lit(_share(r))) == 0)
-        new = mine.join(best, ["run", "id"], "left").withColumns({"wants": wants, "lot": _lot(F.col("id"), salt)})
-        nodes = cut(new.select("run", "repo", "gamma", "seed", "m2", "id", "k", F.when(goes, -F.col("best.to")).otherwise(F.col("c")).alias("c"), "wants"))
+        share = F.when(F.col("round") < CALM, F.lit(2)).otherwise(F.expr(f"2 + (round - {CALM}) div 4"))
+        goes = F.col("wants") & (F.pmod(F.expr("lot div 512"), share) == 0)
+        new = mine.join(best, ["run", "id"], "left").withColumns({"wants": wants, "lot": _lot(F.col("id"), F.col("salt"))})
+        after = F.pmod(F.col("salt") + 69_621, F.lit(_P)).alias("salt"), (F.col("round") + 1).alias("round")
+        nodes = cut(new.select("run", "repo", "gamma", "seed", "m2", "id", "k", F.when(goes, -F.col("best.to")).otherwise(F.col("c")).alias("c"), *after, "wants"))
         if nodes.where("wants").isEmpty():
             break
         nodes = nodes.drop("wants")
-    return nodes.drop("wants")
+    return nodes.drop("wants", "salt", "round")
 
 
 def _parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -294,19 +301,49 @@ def _parts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _contract(edges: DataFrame, part: DataFrame) -> DataFrame:
     a, b = part.select("run", F.col("id").alias("src"), F.col("part").alias("a")), part.select("run", F.col("id").alias("dst"), F.col("part").alias("b"))
-    return edges.join(a, ["run", "src"]).join(b, ["run", "dst"]).where("a <> b").groupBy("run", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+    return edges.join(a, ["run", "src"]).join(b, ["run", "dst"]).where("a <> b").groupBy("run", "repo", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
 
 
 def _inside(edges: DataFrame, part: DataFrame) -> DataFrame:
     a, b = part.select("run", F.col("id").alias("src"), F.col("part").alias("a")), part.select("run", F.col("id").alias("dst"), F.col("part").alias("b"))
-    return edges.join(a, ["run", "src"]).join(b, ["run", "dst"]).where("a = b").select("run", "src", "dst", "w")
+    return edges.join(a, ["run", "src"]).join(b, ["run", "dst"]).where("a = b").select("run", "repo", "src", "dst", "w")
+
+
+def _finished(nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """``run, repo, at, c``: what ``partition`` makes of the graphs of a level, each in one task."""
+
+    def run(key, ns: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
+        ns, es = ns.sort_values("id"), es.sort_values(["src", "dst"])
+        ids = ns.id.to_numpy()
+        at = lambda v: np.searchsorted(ids, v.to_numpy())
+        g = Graph(ids, at(es.src), at(es.dst), es.w.to_numpy(), ns.k.to_numpy())
+        c = partition(g, ns.gamma.iloc[0], int(ns.seed.iloc[0]), at(ns.c), depth)
+        return pd.DataFrame({"run": key[0], "repo": key[1], "at": ids, "c": c})
+
+    es = edges.select(F.col("run").alias("r"), F.col("repo").alias("p"), "src", "dst", "w")
+    return nodes.groupBy("run", "repo").cogroup(es.groupBy("r", "p")).applyInPandas(run, "run int, repo string, at long, c long")
 
 
 def partitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``run, repo, id, c`` of every run: ``partition`` on tables."""
+    """``run, repo, id, c`` of every run: ``partition`` on tables.
+
+    A graph, contracted or not, that has come down to ``KERNEL_EDGES`` nodes
+    and edges is finished in one task; what is larger goes on by joins.
+    """
     place = cut(nodes.select("run", "repo", "id", F.col("id").alias("at")))  # the node of the level that each file is in
     done, depth = [], 0
     while True:
+        size = nodes.groupBy("run", "repo").agg(F.count("*").alias("n")).join(edges.groupBy("run", "repo").agg(F.count("*").alias("m")), ["run", "repo"], "left")
+        size = cut(size.select("run", "repo", ((F.col("n") <= KERNEL_EDGES) & (F.coalesce("m", F.lit(0)) <= 2 * KERNEL_EDGES)).alias("small")))
+        kinds = {r.small for r in size.select("small").distinct().collect()}
+        if True in kinds:
+            small, large = size.where("small").select("run", "repo"), size.where("NOT small").select("run", "repo")
+            of = lambda df, what: df.join(what, ["run", "repo"], "left_semi") if False in kinds else df
+            ends = _finished(of(nodes, small), of(edges, small), depth)
+            done.append(cut(place.join(ends, ["run", "repo", "at"]).select("run", "repo", "id", "c")))
+            if False not in kinds:
+                break
+            nodes, edges, place = (cut(of(df, large)) for df in (nodes, edges, place))
         old = nodes.select("run", "id", F.col("c").alias("old"))
         new = _moves(nodes, edges, depth, 0)
         part = _parts(new, edges)
@@ -334,18 +371,20 @@ def partitions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _folds(state: DataFrame, edges: DataFrame, least: int) -> DataFrame:
-    """``folded`` on tables."""
+    """``folded`` on tables; every round works on the graph of the clusters."""
+    pulls = first = cut(_contract(edges, state.select("run", "id", F.col("c").alias("part"))))
+    names = cut(state.groupBy("run", "c").agg(F.count("*").alias("n")).select("run", "c", F.col("c").alias("now"), "n"))
     for _ in range(FOLDS):
-        few = state.groupBy("run", "c").agg(F.count("*").alias("n")).where(F.col("n") < least).select("run", F.col("c").alias("src"))
-        pull = _contract(edges, state.select("run", "id", F.col("c").alias("part"))).join(few, ["run", "src"], "left_semi")
-        best = cut(pull.groupBy("run", "src").agg(F.max_by("dst", F.struct("w", "dst")).alias("dst")))
+        few = names.groupBy("run", "now").agg(F.sum("n").alias("n")).where(F.col("n") < least).select("run", F.col("now").alias("src"))
+        best = cut(pulls.join(few, ["run", "src"], "left_semi").groupBy("run", "src").agg(F.max_by("dst", F.struct("w", "dst")).alias("dst")))
         if best.isEmpty():
             break
         tied = best.unionByName(best.select("run", F.col("dst").alias("src"), F.col("src").alias("dst")))
-        names = tied.select("run", F.col("src").alias("id")).distinct().withColumn("c", F.lit(0).cast("long"))
-        to = _parts(names, tied).withColumnRenamed("id", "c")
-        state = cut(state.join(to, ["run", "c"], "left").select("run", "repo", "id", F.coalesce("part", "c").alias("c")))
-    return state
+        ends = tied.select("run", F.col("src").alias("id")).distinct().withColumn("c", F.lit(0).cast("long"))
+        to = _parts(ends, tied).withColumnRenamed("id", "now")
+        names = cut(names.join(to, ["run", "now"], "left").select("run", "c", F.coalesce("part", "now").alias("now"), "n"))
+        pulls = cut(_contract(first, names.select("run", F.col("c").alias("id"), F.col("now").alias("part"))))
+    return cut(state.join(names.select("run", "c", "now"), ["run", "c"]).select("run", "repo", "id", F.col("now").alias("c")))
 
 
 def _chosen(state: DataFrame, edges: DataFrame, most: int, rungs: int) -> DataFrame:
@@ -368,7 +407,7 @@ def _chosen(state: DataFrame, edges: DataFrame, most: int, rungs: int) -> DataFr
         return pd.DataFrame({"run": key[0], "repo": key[1], "c": names, "to": capped(names, cs.n.to_numpy(), at(es.src), at(es.dst), es.w.to_numpy(), most)})
 
     cs = size.join(over.select("run", "repo"), ["run", "repo"], "left_semi")
-    es = pull.join(cs.select("run", "repo", F.col("c").alias("src")), ["run", "src"]).select(F.col("run").alias("r"), F.col("repo").alias("p"), "src", "dst", "w")
+    es = pull.select(F.col("run").alias("r"), F.col("repo").alias("p"), "src", "dst", "w")
     # the graph of one repository's clusters meets in a task, not that of its files
     to = cs.groupBy("run", "repo").cogroup(es.groupBy("r", "p")).applyInPandas(cap, "run int, repo string, c long, to long")
     return cut(state.join(to, ["run", "repo", "c"], "left").select("try", "repo", "id", F.coalesce("to", "c").alias("c")))
@@ -384,14 +423,14 @@ def _tables(nodes: DataFrame, fused: DataFrame, ladder: Sequence[float], seeds:
     runs = F.explode(F.array(*[F.struct(F.lit(i * len(ladder) + j).alias("run"), F.lit(float(g)).alias("gamma"), F.lit(s).cast("long").alias("seed")) for i, s in enumerate(seeds) for j, g in enumerate(ladder)]))
     n = n.join(k, "id", "left").join(m2, "repo", "left").select(runs.alias("r"), "repo", F.coalesce("m2", F.lit(1.0)).alias("m2"), "id", F.coalesce("k", F.lit(0)).alias("k"))
     runs_e = F.explode(F.sequence(F.lit(0), F.lit(len(seeds) * len(ladder) - 1)))
-    return cut(n.select("r.run", "repo", "r.gamma", "r.seed", "m2", "id", "k", F.col("id").alias("c"))), cut(e.select(runs_e.alias("run"), "src", "dst", "w"))
+    return cut(n.select("r.run", "repo", "r.gamma", "r.seed", "m2", "id", "k", F.col("id").alias("c"))), e.select(runs_e.alias("run"), "repo", "src", "dst", "w")
 
 
 def distributed(nodes: DataFrame, fused: DataFrame, most: int = MAX_DOMAINS, seed: int = SEED, ladder: Sequence[float] = LADDER, runs: int = STABILITY_RUNS) -> DataFrame:
-    """The result of ``kernel`` by joins and aggregations, for repositories of any size.
+    """The result of ``kernel`` for repositories of any size, by joins and aggregations until a level fits in a task.
 
-    Only the graph of a repository's clusters is ever in one task, and that
-    only where no resolution fits the cap.
+    In one task are only levels of up to ``KERNEL_EDGES`` nodes and edges, and,
+    where no resolution fits the cap, the graph of a repository's clusters.
     """
     state, edges = _tables(nodes, fused, ladder, [seed ^ k for k in range(runs + 1)])
     state = _folds(partitions(state, edges), edges, LEAST_SIZE)

@@ -27,9 +27,9 @@ def cluster_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cluster_distributed(spark: SparkSession, d: str) -> DataFrame:
-    """One resolution by joins and aggregations alone, without reruns."""
+    """One resolution without reruns; graphs too large for a task by joins and aggregations."""
     n = cut(A.nodes(spark, d))
-    return cluster.distributed(n, cut(G._fused(spark, d, n, A.edges(spark, d, n))), most=1 << 30, ladder=(1.0,), runs=0)
+    return cluster.distributed(n, G._fused(spark, d, n, A.edges(spark, d, n)), most=1 << 30, ladder=(1.0,), runs=0)
 
 
 def dominant_dirs(spark: SparkSession, d: str) -> DataFrame:

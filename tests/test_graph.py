@@ -190,6 +190,28 @@ def test_tables_give_the_clusters_of_the_arrays(spark, monkeypatch):
     assert by[300] != by[301] and len({by[i] for i in range(200, 205)}) == 1 and by[200] != by[209]
 
 
+def test_levels_that_fit_are_finished_in_a_task(spark, monkeypatch):
+    r = random.Random(6)
+    pairs = random_pairs(r, 60, 110), random_pairs(r, 20, 30, 100)
+    e = [(x, *p) for x, ps in zip("ab", pairs) for p in ps]
+    n = [("a", i) for i in range(60)] + [("b", i) for i in range(100, 120)] + [("c", 200)]
+    ns, es = spark.createDataFrame(n, "repo string, id long"), spark.createDataFrame(e, "repo string, lo long, hi long, w double")
+    want = set()
+    for repo in "abc":
+        g = cluster.Graph.of([i for x, i in n if x == repo], *(zip(*[p[1:] for p in e if p[0] == repo]) if repo != "c" else ([], [], [])))
+        want |= {(repo, int(i), int(c)) for i, c in zip(g.ids, cluster.folded(g, cluster.partition(g, 1.0, 3)))}
+    jobs = {}
+    # at 50, "a" is too large at first and handed over as a contracted graph
+    for limit in (cluster.KERNEL_EDGES, 50):
+        monkeypatch.setattr(cluster, "KERNEL_EDGES", limit)
+        spark.sparkContext.setJobGroup(f"limit {limit}", "")
+        got = cluster.distributed(ns, es, 1 << 30, 3, (1.0,), 0).collect()
+        jobs[limit] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"limit {limit}"))
+        assert {(x.repo, x.id, x.cluster) for x in got} == want
+    # no rounds of joins where all fit
+    assert jobs[1_000_000] < 0.5 * jobs[50], jobs
+
+
 def test_confidence_drops_missing_agreement(spark):
     m = spark.createDataFrame([("r", i, i // 2) for i in range(4)], "repo string, id long, cluster long")
     e = spark.createDataFrame([("r", 0, 1)], "repo string, src long, dst long")
